@@ -31,8 +31,15 @@ def add_features(df: DataFrame, *, quantity="quantity", cost="cost", revenue="re
     total_cost = (F.col(quantity) * F.col(cost)).cast("decimal(18,4)")
     df = df.withColumn("total_cost", total_cost)
     df = df.withColumn("profit", (F.col(revenue) - F.col("total_cost")).cast("decimal(18,4)"))
+    df = df.withColumn("profit_margin_pct", margin_pct("profit", revenue))
+    if order_date is None:          # calendar features need the order date
+        return df
+    return calendar_features(df, order_date, month_no_name)
+
+
+def calendar_features(df: DataFrame, order_date="order_date", month_no_name="month_no") -> DataFrame:
+    """full month name and month number of the order date."""
     return df.withColumns({
-        "profit_margin_pct": margin_pct("profit", revenue),
         "order_month_name": month_name(order_date),
         month_no_name: F.month(order_date),
     })

@@ -57,6 +57,14 @@ def sorted_ranges(df: DataFrame, order: Sequence, num_partitions: int | None = N
         (F.col("_mid") - F.shiftleft(F.shiftright("_mid", 33), 33)).alias("_pos"))
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint (shared checkpoint folder), so
+    that a multi-pass report computes its input once and a lost executor
+    re-reads the checkpoint instead of re-running the whole plan."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def _range_offsets(ranges: DataFrame, value: Column | None = None) -> DataFrame:
     """One row per range: rows and (optionally) value sum before it, and totals."""
     aggs = [F.count(F.lit(1)).alias("_n")]

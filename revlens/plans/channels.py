@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from revlens.functions.semantics import (MILLION, THOUSAND, exact_mean, pct_label,
                                          scale_round, scale_round_dec, share_pct, snap_round)
+from revlens.plans.common import reads
 
 
+@reads("channel", "revenue")
 def channel_share(sales: DataFrame) -> DataFrame:
     """Revenue per channel (millions, 1 dp) and its share of the total,
     computed from the two *rounded* figures as the reference does."""
@@ -27,6 +29,7 @@ def channel_share(sales: DataFrame) -> DataFrame:
                       pct_label(share, " %").alias("Contribution")).orderBy("Channel")
 
 
+@reads("channel", "profit_margin_pct")
 def channel_margin(sales: DataFrame) -> DataFrame:
     """Unweighted mean row margin per channel, as text ('37.9 %')."""
     return (sales.groupBy(F.col("channel").alias("Channel"))
@@ -35,6 +38,7 @@ def channel_margin(sales: DataFrame) -> DataFrame:
             .orderBy("Channel"))
 
 
+@reads("channel", "product_name", "revenue", "profit", "profit_margin_pct")
 def channel_product_matrix(sales: DataFrame) -> DataFrame:
     """Revenue, profit and mean margin per (channel, product), with the
     margin rank inside the channel (on the unrounded mean)."""

@@ -17,14 +17,17 @@ from pyspark.sql import functions as F
 from revlens.functions.semantics import (MILLION, THOUSAND, day_diff, first_match,
                                          month_boundaries, safe_div, scale_round,
                                          scale_round_dec, snap_round)
-from revlens.operators.ordered import percentile_cont, with_ntile, with_rank
+from revlens.operators.ordered import materialize, percentile_cont, with_ntile, with_rank
+from revlens.plans.common import reads
 
 
+@reads("customer_name", "revenue")
 def customer_ranking(sales: DataFrame) -> DataFrame:
     """Revenue per customer (millions, 1 dp) with the mean (1 dp) and
     median of those rounded values, and the rank (gaps after ties)."""
     per = sales.groupBy(F.col("customer_name").alias("Customer")).agg(
         scale_round_dec(F.sum("revenue"), MILLION, 1).alias("_value"))
+    per = materialize(per)          # mean, median and rank all read it
     mean = snap_round(per.agg(F.sum("_value").cast("double") / F.count("_value")).scalar(), 1)
     median = snap_round(percentile_cont(per, "_value", 0.5).scalar(), 2)
     per = with_rank(per, "_value", desc=True, name="rank")
@@ -78,6 +81,7 @@ def rfm_base(sales: DataFrame) -> DataFrame:
         scale_round_dec(F.sum("revenue"), THOUSAND, 2).alias("_monetary"))
 
 
+@reads("customer_name", "order_date", "order_number", "revenue")
 def rfm_segmentation(sales: DataFrame, recency_bounds=RECENCY_BOUNDS,
                      score_direction: str = "reference") -> DataFrame:
     """Recency / frequency / monetary scores and segment per customer.
@@ -128,6 +132,7 @@ def customer_stats(sales: DataFrame) -> DataFrame:
                                              F.col("Active_Months")), 2))
 
 
+@reads("customer_name", "order_date", "order_number", "revenue")
 def customer_lifetime_value(sales: DataFrame, horizon_months: int = 12) -> DataFrame:
     """Projected CLV = AOV x orders per month x horizon, in thousands.
 

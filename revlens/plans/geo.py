@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from revlens.functions.semantics import MILLION, exact_mean, scale_round, snap_round
-from revlens.operators.ordered import with_rank
+from revlens.operators.ordered import materialize, with_rank
+from revlens.plans.common import reads
 
 
+@reads("state_name", "us_region", "revenue")
 def state_region_revenue(sales: DataFrame) -> DataFrame:
     """Revenue per state name and per region (millions, 1 dp).  A state
     present in two regions yields two rows with the same state total."""
@@ -28,6 +30,7 @@ def state_region_revenue(sales: DataFrame) -> DataFrame:
     ).orderBy(F.desc("Total_State_Revenue"), "States", "Region")   # rows unique per (state, region)
 
 
+@reads("state_name", "us_region", "revenue", "profit", "profit_margin_pct")
 def state_margin(sales: DataFrame) -> DataFrame:
     """Revenue, profit and mean margin per (state, region), ranked on
     the unrounded mean margin."""
@@ -35,7 +38,7 @@ def state_margin(sales: DataFrame) -> DataFrame:
                         F.col("us_region").alias("Region")).agg(
         F.sum("revenue").alias("_rev"), F.sum("profit").alias("_profit"),
         exact_mean("profit_margin_pct").alias("_margin"))
-    per = with_rank(per, "_margin", desc=True, name="Margin_Rank")
+    per = with_rank(materialize(per), "_margin", desc=True, name="Margin_Rank")
     return per.select(
         "State", "Region",
         scale_round("_rev", MILLION, 2).alias("Revenue_M"),

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from revlens.functions.semantics import pct_label, range_bucket, snap_round
+from revlens.plans.common import reads
 
 # Order-value buckets, closed-open, tested in this order; the
 # last label carries a trailing blank in the reference.
@@ -33,6 +34,7 @@ def order_totals(sales: DataFrame) -> DataFrame:
     return sales.groupBy("order_number").agg(F.round(F.sum("revenue"), 2).alias("total_purchase"))
 
 
+@reads("order_number", "revenue")
 def order_value_distribution(sales: DataFrame) -> DataFrame:
     """Orders per value bucket and their share of all orders (1 dp)."""
     buckets = (order_totals(sales)

@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 from revlens.functions.semantics import (MILLION, THOUSAND, dec_lit, exact_mean, first_match,
                                          pct_change, pct_label, safe_div, scale_round,
                                          scale_round_dec, snap_round)
-from revlens.operators.ordered import with_range_cumsum, with_rank
+from revlens.operators.ordered import materialize, with_range_cumsum, with_rank
+from revlens.plans.common import reads
 
 
+@reads("product_name", "revenue")
 def top_products_by_revenue(sales: DataFrame, n: int = 10) -> DataFrame:
     """The ``n`` products with the largest revenue (millions, 2 dp).
     Ties on the rounded value are broken by product name."""
@@ -26,6 +28,7 @@ def top_products_by_revenue(sales: DataFrame, n: int = 10) -> DataFrame:
             .orderBy(F.desc("Total_Sales_Value"), "Products").limit(n))
 
 
+@reads("product_name", "profit_margin_pct")
 def top_products_by_margin(sales: DataFrame, n: int = 10) -> DataFrame:
     """The ``n`` products with the highest *unweighted* mean row margin."""
     return (sales.groupBy(F.col("product_name").alias("Product"))
@@ -33,6 +36,7 @@ def top_products_by_margin(sales: DataFrame, n: int = 10) -> DataFrame:
             .orderBy(F.desc("Profit_Margin"), "Product").limit(n))
 
 
+@reads("product_name", "order_date", "revenue")
 def yoy_growth(sales: DataFrame) -> DataFrame:
     """Revenue per product and year (thousands, 1 dp) and the growth
     against the product's previous year *present* ('Base Year' for the first;
@@ -48,6 +52,7 @@ def yoy_growth(sales: DataFrame) -> DataFrame:
                          growth.alias("YoY_Growth")).orderBy("Product", "Year")
 
 
+@reads("product_name", "revenue", "total_cost", "profit_margin_pct")
 def cost_efficiency(sales: DataFrame) -> DataFrame:
     """Revenue per cost dollar per product, ranked on the unrounded ratio."""
     per = sales.groupBy(F.col("product_name").alias("Product")).agg(
@@ -55,7 +60,7 @@ def cost_efficiency(sales: DataFrame) -> DataFrame:
         exact_mean("profit_margin_pct").alias("_margin"))
     per = per.withColumn("_ratio", safe_div(F.col("_rev").cast("double"),
                                             F.col("_cost").cast("double")))
-    per = with_rank(per, "_ratio", desc=True, name="Efficiency_Rank")
+    per = with_rank(materialize(per), "_ratio", desc=True, name="Efficiency_Rank")
     return per.select(
         "Product",
         scale_round("_rev", MILLION, 2).alias("Revenue_M"),
@@ -71,6 +76,7 @@ ABC_CUTS = (("0.70", "A — Core"), ("0.90", "B — Support"))
 ABC_OTHER = "C — Review"
 
 
+@reads("product_name", "revenue")
 def abc_pareto(sales: DataFrame, cuts=ABC_CUTS, other: str = ABC_OTHER) -> DataFrame:
     """ABC classes from the running share of product revenue.
 
@@ -79,7 +85,7 @@ def abc_pareto(sales: DataFrame, cuts=ABC_CUTS, other: str = ABC_OTHER) -> DataF
     DECIMAL: ``running <= cut * total``."""
     per = sales.groupBy(F.col("product_name").alias("Product")).agg(
         scale_round_dec(F.sum("revenue"), MILLION, 2).alias("_rm"))
-    per = with_range_cumsum(per, "_rm", "_rm", desc=True, name="_cum")
+    per = with_range_cumsum(materialize(per), "_rm", "_rm", desc=True, name="_cum")
     total = per.agg(F.sum("_rm")).scalar()             # scalar subquery, one row
     per = per.withColumn("_total", total)
     cls = first_match([(F.col("_cum") <= F.col("_total") * dec_lit(c), label)

@@ -18,7 +18,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def _on_sales(report, **params) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return report(sales_fact(spark, sf_dir), **params)
+        return report(sales_fact(spark, sf_dir, columns=report.reads), **params)
     run.__name__ = report.__name__
     run.__doc__ = report.__doc__
     return run

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from revlens.functions.semantics import (MILLION, month_name, pct_change, pct_label,
                                          scale_round, scale_round_dec, snap_round)
+from revlens.plans.common import reads
 
 
 def _monthly(sales: DataFrame, with_name: bool = False) -> DataFrame:
@@ -25,6 +26,7 @@ def _monthly(sales: DataFrame, with_name: bool = False) -> DataFrame:
     return sales.groupBy(*keys).agg(F.sum("revenue").alias("_rev"))
 
 
+@reads("order_date", "revenue")
 def monthly_trend(sales: DataFrame, digits: int = 1) -> DataFrame:
     """B1: revenue per (year, month) in millions and the change against the
     previous *row* (a missing month is skipped, not zero-filled)."""
@@ -38,6 +40,7 @@ def monthly_trend(sales: DataFrame, digits: int = 1) -> DataFrame:
         pct_label(diff, "%").alias("Difference")).orderBy("Year", "Month")
 
 
+@reads("order_date", "revenue")
 def seasonality(sales: DataFrame) -> DataFrame:
     """B2: revenue per calendar month name over all years, largest first."""
     return (sales.groupBy(month_name("order_date").alias("Month"))
@@ -45,6 +48,7 @@ def seasonality(sales: DataFrame) -> DataFrame:
             .orderBy(F.desc("Total_Revenue"), "Month"))
 
 
+@reads("order_date", "revenue")
 def rolling_averages(sales: DataFrame, window: int = 3) -> DataFrame:
     """Monthly revenue (millions, 2 dp), the running mean restarting each
     year and the rolling mean of the last ``window`` rows across years.
@@ -71,6 +75,7 @@ REFERENCE_PIVOT_YEARS = (2014, 2015, 2016, 2017)
 DEFAULT_PIVOT_YEARS = tuple(range(1995, 2002))
 
 
+@reads("month_no", "order_month_name", "order_date", "revenue")
 def month_year_pivot(sales: DataFrame, years: Sequence[int] = DEFAULT_PIVOT_YEARS) -> DataFrame:
     """Month x year revenue grid (millions, 2 dp).
 

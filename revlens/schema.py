@@ -36,7 +36,10 @@ SALES_COLUMNS = [f.name for f in SALES_SCHEMA.fields]
 MAX_TEXT_LENGTH = 50
 
 
-def conform(df):
-    """Project ``df`` onto the fact schema (column order and types)."""
+def conform(df, columns=None):
+    """Project ``df`` onto the fact schema (column order and types); with
+    ``columns``, onto that subset of the schema."""
     from pyspark.sql import functions as F
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in SALES_SCHEMA.fields])
+    keep = SALES_COLUMNS if columns is None else [c for c in SALES_COLUMNS if c in set(columns)]
+    types = {f.name: f.dataType for f in SALES_SCHEMA.fields}
+    return df.select(*[F.col(c).cast(types[c]).alias(c) for c in keep])

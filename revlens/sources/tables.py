@@ -25,9 +25,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revlens.operators.cleaning import mask_outside_year
-from revlens.operators.features import add_features, round_money
+from revlens.operators.features import add_features, calendar_features, round_money
 from revlens.operators.joins import bounded_broadcast, lookup_join
-from revlens.schema import conform
+from revlens.schema import SALES_COLUMNS, conform
 
 TABLE_NAMES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
                "events", "documents", "embeddings", "pages", "benchmark", "labels",
@@ -86,35 +86,68 @@ def customer_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
                        drop_right_keys=True, name="regions")
 
 
+# Which lookups each fact column needs (all lookups are left joins on unique
+# keys, so a lookup whose columns are not read can be left out of the plan).
+_NEEDS_ORDERS = {"order_date", "customer_name", "channel", "state", "state_name", "us_region",
+                 "lat", "lon", "budget", "order_month_name", "month_no"}
+_NEEDS_CUSTOMERS = {"customer_name", "channel", "state", "state_name", "us_region", "lat", "lon"}
+_NEEDS_PRODUCTS = {"product_name", "unit_price", "revenue", "cost", "budget", "total_cost",
+                   "profit", "profit_margin_pct"}
+
+_FACT_PLANS: dict[tuple, DataFrame] = {}
+
+
 def sales_fact(spark: SparkSession, sf_dir: str, *, budget_year: int = BUDGET_YEAR,
-               round_money_cols: bool = False) -> DataFrame:
-    """The 20-column sales fact (schema ``revlens.schema.SALES_SCHEMA``), lazily.
-
-    Every report takes this DataFrame; Catalyst prunes the columns a report
-    does not read all the way down to the Parquet scans."""
-    li = read_table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_quantity", "l_discount", "l_tax")
-    orders = read_table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("order_date"))
-    orders = lookup_join(orders, customer_lookup(spark, sf_dir), "o_custkey", "c_custkey",
-                         on_duplicate="trust", name="customers")
-    fact = lookup_join(li, orders, "l_orderkey", "o_orderkey", on_duplicate="trust",
-                       name="orders")
-    fact = lookup_join(fact, product_lookup(spark, sf_dir), "l_partkey", "p_partkey",
-                       on_duplicate="trust", name="products")
+               round_money_cols: bool = False, columns=None) -> DataFrame:
+    """The sales fact (schema ``revlens.schema.SALES_SCHEMA``), lazily.
+
+    ``columns`` restricts the fact to the columns a report reads; lookups
+    that contribute none of them are not joined at all (Catalyst cannot drop
+    an outer join by itself: it does not know the lookup keys are unique).
+    Plans are memoised per session, so repeated reports skip plan building."""
+    wanted = tuple(SALES_COLUMNS) if columns is None else tuple(
+        c for c in SALES_COLUMNS if c in set(columns))
+    key = (id(spark), sf_dir, budget_year, round_money_cols, wanted)
+    if key not in _FACT_PLANS:
+        _FACT_PLANS[key] = _build_fact(spark, sf_dir, budget_year, round_money_cols, set(wanted))
+    return _FACT_PLANS[key]
+
+
+def _build_fact(spark, sf_dir, budget_year, round_money_cols, wanted) -> DataFrame:
+    li_cols = ["l_orderkey", "l_partkey", "l_quantity", "l_discount", "l_tax"]
+    fact = read_table(spark, sf_dir, "lineitem").select(*li_cols)
+    if wanted & _NEEDS_ORDERS:
+        orders = read_table(spark, sf_dir, "orders").select(
+            "o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("order_date"))
+        if wanted & _NEEDS_CUSTOMERS:
+            orders = lookup_join(orders, customer_lookup(spark, sf_dir), "o_custkey", "c_custkey",
+                                 on_duplicate="trust", name="customers")
+        fact = lookup_join(fact, orders, "l_orderkey", "o_orderkey", on_duplicate="trust",
+                           name="orders")
+    if wanted & _NEEDS_PRODUCTS:
+        fact = lookup_join(fact, product_lookup(spark, sf_dir), "l_partkey", "p_partkey",
+                           on_duplicate="trust", name="products")
     quantity = F.col("l_quantity").cast("int")
     cost_factor = (F.lit(float(COST_BASE)) + F.col("l_discount") + F.col("l_tax"))
-    fact = fact.select(
-        F.col("o_orderkey").cast("string").alias("order_number"),
-        "order_date", "customer_name", "channel", "product_name",
-        quantity.alias("quantity"),
-        F.col("unit_price").cast("decimal(18,2)").alias("unit_price"),
-        (quantity * F.col("unit_price")).cast("decimal(18,2)").alias("revenue"),
-        (F.col("unit_price") * cost_factor.cast("decimal(4,2)")).cast("decimal(18,4)").alias("cost"),
-        "state", "state_name", "us_region", "lat", "lon", "budget")
-    fact = mask_outside_year(fact, "budget", "order_date", budget_year)
-    fact = add_features(fact)
-    fact = conform(fact)
+    exprs = {
+        "order_number": F.col("l_orderkey").cast("string"),
+        "quantity": quantity,
+        "unit_price": F.col("unit_price").cast("decimal(18,2)"),
+        "revenue": (quantity * F.col("unit_price")).cast("decimal(18,2)"),
+        "cost": (F.col("unit_price") * cost_factor.cast("decimal(4,2)")).cast("decimal(18,4)"),
+    }
+    passthrough = [c for c in ("order_date", "customer_name", "channel", "product_name", "state",
+                               "state_name", "us_region", "lat", "lon", "budget")
+                   if c in fact.columns]
+    fact = fact.select(*passthrough, *[e.alias(n) for n, e in exprs.items()
+                                       if n in ("order_number", "quantity") or "unit_price" in fact.columns])
+    if "budget" in fact.columns and "order_date" in fact.columns:
+        fact = mask_outside_year(fact, "budget", "order_date", budget_year)
+    if "cost" in fact.columns:
+        fact = add_features(fact, order_date=None)
+    if "order_date" in fact.columns:
+        fact = calendar_features(fact)
+    fact = conform(fact, [c for c in SALES_COLUMNS if c in wanted])
     return round_money(fact) if round_money_cols else fact
 
 
