@@ -10,7 +10,8 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revlens.plans import channels, customers, geo, orders, products, trend
+from revlens.plans import (channels, customers, derived, geo, operator_queries, orders,
+                           products, trend)
 from revlens.sources.tables import sales_fact
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,10 +51,45 @@ REPORTS: dict[str, Query] = {
 }
 
 
+DERIVED: dict[str, Query] = {
+    "d1_headline_kpis": _on_sales(derived.headline_kpis),
+    "d2_region_performance": _on_sales(derived.region_performance),
+    "d3_rfm_segment_mix": _on_sales(derived.rfm_segment_mix),
+    "d4_product_quadrants": _on_sales(derived.product_quadrants),
+    "d5_below_mean_median": _on_sales(derived.below_mean_median),
+    "d6_repeat_purchase": _on_sales(derived.repeat_purchase),
+    "d7_abc_mix": _on_sales(derived.abc_mix),
+}
+
+_oq = operator_queries
+OPERATORS: dict[str, Query] = {
+    "j_star_enrich": _oq.star_enrich,
+    "j06_fanout_check": _oq.fanout_check,
+    "q06_unmatched_lookups": _oq.unmatched_lookups,
+    "p06_simultaneous_rename": _oq.simultaneous_rename,
+    "p07_budget_mask": _oq.budget_mask,
+    "p12_bucketize": _oq.bucketize_orders,
+    "f06_round_money": _oq.money_rounding,
+    "f15_month_boundaries": _oq.month_span,
+    "a07_safe_ratio": _oq.safe_ratio,
+    "a08_pivot": _oq.pivot_api,
+    "a11_median": _oq.order_value_quartiles,
+    "w03_global_rank": _oq.global_rank,
+    "w05_global_ntile": _oq.global_ntile,
+    "w08c_range_cumsum": _oq.range_cumsum,
+    "o02_topk": _oq.top_customers,
+    "q01_shape": _oq.shapes,
+    "q02_nulls": _oq.nulls,
+    "q03_duplicates": _oq.duplicates,
+    "q04_schema": _oq.schema_info,
+    "q05_validate": _oq.validation,
+}
+
+
 def all_queries() -> dict[str, Query]:
-    return dict(REPORTS)
+    return {**REPORTS, **DERIVED, **OPERATORS}
 
 
 def all_oracles() -> dict[str, str]:
-    from revlens.plans.oracle import REPORT_SQL
-    return dict(REPORT_SQL)
+    from revlens.plans.oracle import DERIVED_SQL, OPERATOR_SQL, REPORT_SQL
+    return {**REPORT_SQL, **DERIVED_SQL, **OPERATOR_SQL}

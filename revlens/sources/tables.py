@@ -154,3 +154,54 @@ def _build_fact(spark, sf_dir, budget_year, round_money_cols, wanted) -> DataFra
 def load_sales(spark: SparkSession, path: str) -> DataFrame:
     """A materialised sales fact (Parquet) as the report input."""
     return conform(spark.read.parquet(path))
+
+
+def sheets_from_tables(spark: SparkSession, sf_dir: str, budget_year: int = BUDGET_YEAR
+                       ) -> dict[str, DataFrame]:
+    """The driver's tables presented as the six raw sheets of the cleaning
+    pipeline (reference column names; State Regions already has its header).
+
+    Order lines carry a cost factor instead of the line total and unit cost;
+    ``derive_line_measures`` rebuilds those two after the joins."""
+    li = read_table(spark, sf_dir, "lineitem")
+    orders = read_table(spark, sf_dir, "orders")
+    lines = lookup_join(li.select("l_orderkey", "l_partkey", "l_quantity", "l_discount", "l_tax"),
+                        orders.select("o_orderkey", "o_custkey", "o_orderdate"),
+                        "l_orderkey", "o_orderkey", on_duplicate="trust", name="orders")
+    sales_orders = lines.select(
+        F.col("l_orderkey").cast("string").alias("OrderNumber"),
+        F.col("o_orderdate").alias("OrderDate"),
+        F.col("l_quantity").cast("int").alias("Order Quantity"),
+        (F.lit(float(COST_BASE)) + F.col("l_discount") + F.col("l_tax")).cast("decimal(4,2)")
+        .alias("Cost Factor"),
+        F.col("o_custkey").alias("Customer Name Index"),
+        F.col("l_partkey").alias("Product Description Index"))
+    customers = read_table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("Customer Index"), F.col("c_name").alias("Customer Names"),
+        F.col("c_mktsegment").alias("Channel"), F.col("c_nationkey").alias("Delivery Region Index"))
+    part = read_table(spark, sf_dir, "part")
+    products = part.select(F.col("p_partkey").alias("Index"), F.col("p_brand").alias("Product Name"),
+                           F.col("p_retailprice").cast("decimal(10,2)").alias("Unit Price"))
+    nation = read_table(spark, sf_dir, "nation")
+    regions = nation.select(
+        F.col("n_nationkey").alias("id"), F.col("n_nationkey").cast("string").alias("state_code"),
+        F.col("n_name").alias("state"), F.col("n_nationkey").cast("double").alias("latitude"),
+        F.col("n_regionkey").cast("double").alias("longitude"))
+    region = read_table(spark, sf_dir, "region")
+    state_regions = lookup_join(nation, region, "n_regionkey", "r_regionkey", on_duplicate="trust") \
+        .select(F.col("n_nationkey").cast("string").alias("State Code"),
+                F.col("r_name").alias("Region"))
+    budgets = products.groupBy("Product Name").agg(
+        (F.sum("Unit Price") * BUDGET_MULTIPLIER).cast("decimal(18,2)")
+        .alias(f"{budget_year} Budgets"))
+    return {"Sales Orders": sales_orders, "Customers": customers, "Products": products,
+            "Regions": regions, "State Regions": state_regions,
+            f"{budget_year} Budgets": budgets}
+
+
+def derive_line_measures(df: DataFrame) -> DataFrame:
+    """Line total and unit cost of the table-backed order sheet (after the joins)."""
+    return df.withColumns({
+        "line total": (F.col("order quantity") * F.col("unit price")).cast("decimal(18,2)"),
+        "total unit cost": (F.col("unit price") * F.col("cost factor")).cast("decimal(18,4)"),
+    })
