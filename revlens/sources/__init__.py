@@ -1,0 +1,2 @@
+"""Sources and sinks: driver tables -> sales fact (tables), sheet catalogues
+and typed CSV load (sheets), CSV / Parquet / table writers (sinks)."""
