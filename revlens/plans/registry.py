@@ -22,6 +22,7 @@ def _on_sales(report, **params) -> Query:
         return report(sales_fact(spark, sf_dir, columns=report.reads), **params)
     run.__name__ = report.__name__
     run.__doc__ = report.__doc__
+    run.__wrapped__ = (lambda sales: report(sales, **params)) if params else report
     return run
 
 
