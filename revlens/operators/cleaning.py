@@ -87,3 +87,17 @@ def mask_outside_year(df: DataFrame, value_col: str, date_col: str, year: int) -
     (a NULL date also gives NULL)."""
     keep = F.year(F.col(date_col)) == F.lit(year)
     return df.withColumn(value_col, F.when(keep, F.col(value_col)))
+
+
+def apply_collation(df: DataFrame, columns: Sequence[str],
+                    collation: str = "UTF8_LCASE_RTRIM") -> DataFrame:
+    """Compare/group text like SQL Server's default collation: case
+    insensitive and blind to trailing blanks ('Ab' groups with 'aB ').
+    The default (binary) comparison is what the reports use."""
+    return df.withColumns({c: F.collate(F.col(c), collation) for c in columns})
+
+
+def preview(df: DataFrame, n: int = 100) -> DataFrame:
+    """``TOP n *`` / ``head(n)`` made deterministic — the first ``n``
+    rows in the order of all columns (a top-k, not a full sort)."""
+    return df.orderBy(*[F.col(f"`{c}`").asc_nulls_first() for c in df.columns]).limit(n)

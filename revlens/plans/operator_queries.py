@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from revlens.functions.semantics import (THOUSAND, day_diff, month_boundaries, safe_div,
                                          scale_round, scale_round_dec, snap_round)
-from revlens.operators.cleaning import rename_simultaneous
+from revlens.operators.cleaning import preview, rename_simultaneous
 from revlens.operators.features import round_money
 from revlens.operators.joins import duplicate_keys, lookup_join, unmatched_counts
 from revlens.operators.ordered import (materialize, percentile_cont, with_ntile,
@@ -245,3 +245,8 @@ def top_customers(spark: SparkSession, sf_dir: str, n: int = 10) -> DataFrame:
     per = _customer_revenue(spark, sf_dir)
     return per.select("Customer", F.col("_rk").cast("double").alias("Revenue_K")) \
         .orderBy(F.desc("Revenue_K"), "Customer").limit(n)
+
+
+def fact_preview(spark: SparkSession, sf_dir: str, n: int = 100) -> DataFrame:
+    """O3: ``SELECT TOP 100 * FROM Sales`` with a deterministic order."""
+    return output_types(preview(sales_fact(spark, sf_dir), n))

@@ -79,6 +79,7 @@ OPERATORS: dict[str, Query] = {
     "w05_global_ntile": _oq.global_ntile,
     "w08c_range_cumsum": _oq.range_cumsum,
     "o02_topk": _oq.top_customers,
+    "o03_preview": _oq.fact_preview,
     "q01_shape": _oq.shapes,
     "q02_nulls": _oq.nulls,
     "q03_duplicates": _oq.duplicates,

@@ -6,8 +6,8 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from revlens.operators.cleaning import (mask_outside_year, normalize_columns, promote_header,
-                                        rename_simultaneous, select_strict)
+from revlens.operators.cleaning import (apply_collation, mask_outside_year, normalize_columns,
+                                        promote_header, rename_simultaneous, select_strict)
 from revlens.operators.features import round_money
 from revlens.operators.joins import DuplicateKeyError, lookup_join
 from revlens.plans.pipeline import clean_sales
@@ -138,3 +138,9 @@ def test_sales_table_write_and_read(spark, scratch, sf_dir):
 def test_load_sheets_missing_sheet(spark):
     with pytest.raises(KeyError):
         load_sheets(spark, {"Sales Orders": "/nowhere"}, required=("Sales Orders", "Customers"))
+
+
+def test_collation_option_groups_case_and_trailing_blanks(spark):
+    df = spark.createDataFrame([("Ab",), ("aB ",), ("c",)], "name string")
+    assert df.groupBy("name").count().count() == 3
+    assert apply_collation(df, ["name"]).groupBy("name").count().count() == 2
