@@ -27,6 +27,7 @@ from __future__ import annotations
 
 from typing import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,7 +50,15 @@ def sorted_ranges(df: DataFrame, order: Sequence, num_partitions: int | None = N
     ensure_checkpoint_dir(df.sparkSession)
     exprs = _order_exprs(order)
     k = _num_ranges(df, num_partitions)
-    laid_out = df.repartitionByRange(k, *exprs).sortWithinPartitions(*exprs).checkpoint(eager=True)
+    # The range sample and the checkpoint are two jobs over the same input:
+    # keep it in the block cache between them (an optimisation only; the
+    # checkpoint is what cuts the lineage).
+    src = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        laid_out = src.repartitionByRange(k, *exprs).sortWithinPartitions(*exprs) \
+            .checkpoint(eager=True)
+    finally:
+        src.unpersist()
     with_id = laid_out.withColumn("_mid", F.monotonically_increasing_id())
     return with_id.select(
         *[F.col(f"`{c}`") for c in laid_out.columns],
