@@ -37,8 +37,9 @@ TABLE_NAMES = ["region", "nation", "customer", "supplier", "part", "orders", "li
 BUDGET_YEAR = 2000          # the reference's budget year is 2017; this data spans 1995-2001
 BUDGET_MULTIPLIER = 1000
 COST_BASE = "0.55"          # unit cost factor = 0.55 + discount + tax
-# Upper bound (rows) under which a geography lookup is broadcast.
+# Upper bounds (rows) under which a small lookup is broadcast.
 GEO_BROADCAST_ROWS = 100_000
+BUDGET_BROADCAST_ROWS = 1_000_000
 
 
 def table_path(sf_dir: str, name: str) -> str:
@@ -72,6 +73,10 @@ def product_lookup(spark: SparkSession, sf_dir: str, budget_year_only=True) -> D
         F.col("p_retailprice").cast("decimal(10,2)").alias("unit_price"))
     budgets = part.groupBy("product_name").agg(
         (F.sum("unit_price") * BUDGET_MULTIPLIER).cast("decimal(18,2)").alias("budget"))
+    # one row per product name: few keys, so a shuffle join would hash every
+    # part row into a handful of partitions; broadcast it behind a row check
+    budgets = bounded_broadcast(budgets, BUDGET_BROADCAST_ROWS,
+                                table_path(sf_dir, "part") + "#budgets")
     return lookup_join(part, budgets, "product_name", on_duplicate="trust", name="budgets")
 
 
