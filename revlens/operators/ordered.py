@@ -21,6 +21,12 @@ computed by a tiny window and broadcast back.
 * RANGE cumulative sum (W8c): histogram with sums, inclusive prefix, join back.
 * percentile_cont (G3): histogram prefix counts locate the two order
   statistics; the answer is a one-row DataFrame (use ``.scalar()``).
+
+Small inputs: every operator first checks whether its input holds at most
+``small_rows`` rows (``limit(small_rows + 1).count()``, cheap on a
+materialised input).  Below that proven bound the plain window function
+runs in one task — a handful of jobs fewer; above it the distributed form
+is used.  ``small_rows=0`` always takes the distributed form.
 """
 
 from __future__ import annotations
@@ -33,6 +39,13 @@ from pyspark.sql import functions as F
 
 from revlens.session import ensure_checkpoint_dir
 
+# Inputs proven to hold at most this many rows are ordered in one task.
+SMALL_ORDERED_ROWS = 100_000
+
+
+def _is_small(df: DataFrame, small_rows: int | None) -> bool:
+    return bool(small_rows) and df.limit(small_rows + 1).count() <= small_rows
+
 
 def _order_exprs(order: Sequence) -> list[Column]:
     return [F.col(o) if isinstance(o, str) else o for o in order]
@@ -116,8 +129,11 @@ def ntile_from_row_number(rn: Column, total: Column, n: int) -> Column:
 
 
 def with_ntile(df: DataFrame, n: int, order: Sequence, name: str = "ntile",
-               num_partitions: int | None = None) -> DataFrame:
+               num_partitions: int | None = None,
+               small_rows: int | None = SMALL_ORDERED_ROWS) -> DataFrame:
     """G1: ``NTILE(n) OVER (ORDER BY order)``, distributed."""
+    if _is_small(df, small_rows):
+        return df.withColumn(name, F.ntile(n).over(Window.orderBy(*_order_exprs(order))))
     out = with_row_number(df, order, "_rn", num_partitions, keep_total="_cnt")
     return out.withColumn(name, ntile_from_row_number(F.col("_rn"), F.col("_cnt"), n)) \
         .drop("_rn", "_cnt")
@@ -137,9 +153,13 @@ def _prefix_over_values(hist: DataFrame, key: str, desc: bool, value: str,
 
 
 def with_rank(df: DataFrame, key: str, desc: bool = True, name: str = "rank",
-              num_partitions: int | None = None) -> DataFrame:
+              num_partitions: int | None = None,
+              small_rows: int | None = SMALL_ORDERED_ROWS) -> DataFrame:
     """``RANK() OVER (ORDER BY key [DESC])``, distributed (gaps after ties;
     NULL lowest: last in DESC, first in ASC)."""
+    if _is_small(df, small_rows):
+        order = F.col(key).desc_nulls_last() if desc else F.col(key).asc_nulls_first()
+        return df.withColumn(name, F.rank().over(Window.orderBy(order)))
     hist = df.groupBy(key).agg(F.count(F.lit(1)).alias("_c"))
     ranked = _prefix_over_values(hist, key, desc, "_c", num_partitions) \
         .select(F.col(key).alias("_k"), (F.col("_cum") - F.col("_c") + 1).cast("int").alias(name))
@@ -147,9 +167,13 @@ def with_rank(df: DataFrame, key: str, desc: bool = True, name: str = "rank",
 
 
 def with_range_cumsum(df: DataFrame, key: str, value: str, desc: bool = True,
-                      name: str = "cumulative", num_partitions: int | None = None) -> DataFrame:
+                      name: str = "cumulative", num_partitions: int | None = None,
+                      small_rows: int | None = SMALL_ORDERED_ROWS) -> DataFrame:
     """``SUM(value) OVER (ORDER BY key [DESC])`` with the default RANGE
     frame — rows with equal keys share one cumulative value."""
+    if _is_small(df, small_rows):
+        order = F.col(key).desc_nulls_last() if desc else F.col(key).asc_nulls_first()
+        return df.withColumn(name, F.sum(value).over(Window.orderBy(order)))
     hist = df.groupBy(key).agg(F.sum(value).alias("_v"))
     cum = _prefix_over_values(hist, key, desc, "_v", num_partitions) \
         .select(F.col(key).alias("_k"), F.col("_cum").alias(name))
@@ -157,11 +181,14 @@ def with_range_cumsum(df: DataFrame, key: str, value: str, desc: bool = True,
 
 
 def percentile_cont(df: DataFrame, col: str, p: float = 0.5, name: str = "percentile",
-                    num_partitions: int | None = None) -> DataFrame:
+                    num_partitions: int | None = None,
+                    small_rows: int | None = SMALL_ORDERED_ROWS) -> DataFrame:
     """Exact ``PERCENTILE_CONT(p)`` of ``col`` (NULLs ignored) as a one-row
     DataFrame, with linear interpolation between the two order statistics."""
     if not 0.0 <= p <= 1.0:
         raise ValueError("p must be in [0, 1]")
+    if _is_small(df, small_rows):
+        return df.agg(F.percentile(F.col(col).cast("double"), p).alias(name))
     hist = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_c"))
     cum = _prefix_over_values(hist, col, False, "_c", num_partitions)
     total = hist.agg(F.sum("_c")).scalar()   # scalar subquery, runs once

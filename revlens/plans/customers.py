@@ -97,7 +97,8 @@ def rfm_segmentation(sales: DataFrame, recency_bounds=RECENCY_BOUNDS,
     def order(c):
         return [F.col(c).desc() if desc else F.col(c).asc(), F.col("Customer").asc()]
 
-    scored = with_ntile(rfm_base(sales), 5, order("Frequency"), name="F_Score")
+    base = materialize(rfm_base(sales))        # both NTILEs and the anchor read it
+    scored = with_ntile(base, 5, order("Frequency"), name="F_Score")
     scored = with_ntile(scored, 5, order("_monetary"), name="M_Score")
     anchor = scored.agg(F.max("_last")).scalar()            # = MAX(order_date) of the table
     scored = scored.withColumn("Recency", day_diff("_last", anchor)) \
