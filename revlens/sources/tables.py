@@ -99,7 +99,7 @@ _NEEDS_CUSTOMERS = {"customer_name", "channel", "state", "state_name", "us_regio
 _NEEDS_PRODUCTS = {"product_name", "unit_price", "revenue", "cost", "budget", "total_cost",
                    "profit", "profit_margin_pct"}
 
-_FACT_PLANS: dict[tuple, DataFrame] = {}
+_FACT_PLANS: dict[tuple, tuple[SparkSession, DataFrame]] = {}
 
 
 def sales_fact(spark: SparkSession, sf_dir: str, *, budget_year: int = BUDGET_YEAR,
@@ -113,9 +113,11 @@ def sales_fact(spark: SparkSession, sf_dir: str, *, budget_year: int = BUDGET_YE
     wanted = tuple(SALES_COLUMNS) if columns is None else tuple(
         c for c in SALES_COLUMNS if c in set(columns))
     key = (id(spark), sf_dir, budget_year, round_money_cols, wanted)
-    if key not in _FACT_PLANS:
-        _FACT_PLANS[key] = _build_fact(spark, sf_dir, budget_year, round_money_cols, set(wanted))
-    return _FACT_PLANS[key]
+    cached = _FACT_PLANS.get(key)
+    if cached is None or cached[0] is not spark:   # the entry pins its session object
+        cached = (spark, _build_fact(spark, sf_dir, budget_year, round_money_cols, set(wanted)))
+        _FACT_PLANS[key] = cached
+    return cached[1]
 
 
 def _build_fact(spark, sf_dir, budget_year, round_money_cols, wanted) -> DataFrame:
