@@ -18,6 +18,8 @@ RECOMMENDED_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # remove checkpoint files once the DataFrame that owns them is collected
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
