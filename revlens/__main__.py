@@ -4,6 +4,7 @@
   python -m revlens build-fact --tables DIR --out PATH [--budget-year 2000]
   python -m revlens clean --sheets CATALOG.json --out PATH [--format csv] [--budget-year 2017]
   python -m revlens report NAME|all --fact PATH [--out DIR] [--format csv|parquet] [--show N]
+                                    [--start DATE] [--end DATE]
 
 ``build-fact`` turns the TPC-H-style tables into the typed fact table;
 ``clean`` runs the six-sheet cleaning pipeline over a sheet catalogue
@@ -74,6 +75,8 @@ def main(argv=None) -> int:
     rp.add_argument("--out", default=None)
     rp.add_argument("--format", default="csv", choices=["csv", "parquet"])
     rp.add_argument("--show", type=int, default=0, help="print the first N rows")
+    rp.add_argument("--start", default=None, help="first order date (partition pruning)")
+    rp.add_argument("--end", default=None, help="last order date (inclusive)")
 
     args = parser.parse_args(argv)
     if args.cmd == "list":
@@ -102,7 +105,7 @@ def main(argv=None) -> int:
         write_sales_table(fact, args.out)
     elif args.cmd == "report":
         from revlens.sources.sinks import read_sales_table
-        sales = read_sales_table(spark, args.fact)
+        sales = read_sales_table(spark, args.fact, start=args.start, end=args.end)
         names = list(REPORT_FUNCS) if args.name == "all" else [args.name]
         unknown = [n for n in names if n not in REPORT_FUNCS]
         if unknown:

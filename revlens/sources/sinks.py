@@ -51,7 +51,24 @@ def save_as_table(sales: DataFrame, name: str, bucket_by: Sequence[str] = (),
     writer.saveAsTable(name)
 
 
-def read_sales_table(spark, path: str) -> DataFrame:
-    """Read a fact written by ``write_sales_table`` (drops the partition column)."""
+def read_sales_table(spark, path: str, start=None, end=None) -> DataFrame:
+    """Read a fact written by ``write_sales_table`` (drops the partition column).
+
+    ``start`` / ``end`` (inclusive dates or ISO strings) restrict the rows:
+    the year bounds prune whole ``order_year`` directories and the date bounds
+    are pushed to the Parquet reader (row groups are skipped by their min/max
+    statistics, tight because files are sorted by date)."""
     df = spark.read.parquet(path)
+    if (start is not None or end is not None) and "order_year" in df.columns:
+        if start is not None:
+            df = df.filter((F.col("order_year") >= F.year(F.lit(start).cast("date")))
+                           & (F.col("order_date") >= F.lit(start).cast("date")))
+        if end is not None:
+            df = df.filter((F.col("order_year") <= F.year(F.lit(end).cast("date")))
+                           & (F.col("order_date") <= F.lit(end).cast("date")))
+    elif start is not None or end is not None:
+        if start is not None:
+            df = df.filter(F.col("order_date") >= F.lit(start).cast("date"))
+        if end is not None:
+            df = df.filter(F.col("order_date") <= F.lit(end).cast("date"))
     return df.select(*SALES_COLUMNS)

@@ -144,3 +144,14 @@ def test_collation_option_groups_case_and_trailing_blanks(spark):
     df = spark.createDataFrame([("Ab",), ("aB ",), ("c",)], "name string")
     assert df.groupBy("name").count().count() == 3
     assert apply_collation(df, ["name"]).groupBy("name").count().count() == 2
+
+
+def test_date_range_read_prunes_partitions(spark, scratch, sf_dir):
+    fact = sales_fact(spark, sf_dir)
+    write_sales_table(fact, f"{scratch}/t")
+    part = read_sales_table(spark, f"{scratch}/t", start="2000-03-01", end="2000-05-31")
+    want = fact.filter(F.col("order_date").between("2000-03-01", "2000-05-31"))
+    assert part.exceptAll(want).count() == 0 and want.exceptAll(part).count() == 0
+    plan = part._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(order_year" in plan
+    assert "PushedFilters: [IsNotNull(order_date), GreaterThanOrEqual(order_date" in plan
