@@ -1,10 +1,12 @@
 """Channel reports: B5 revenue share, B9 mean margin, B14 channel x product
 profitability matrix.
 
-B5 is written aggregate-first: the reference's ``SELECT DISTINCT ..., SUM()
-OVER (PARTITION BY ...)`` over raw rows would send every fact row to one
-partition for the ``OVER ()`` total; here the total is a scalar subquery over
-the per-channel aggregate.
+All three are functions of per-(channel[, product]) measures; the ``*_from``
+forms re-aggregate to their key, so they take either a minimal aggregate of
+the fact or the shared ``channel_product`` grain.  B5 is written
+aggregate-first: the reference's ``SELECT DISTINCT ..., SUM() OVER (...)``
+over raw rows would send every fact row to one partition for the
+``OVER ()`` total; here the total is a scalar subquery over the aggregate.
 """
 
 from __future__ import annotations
@@ -12,16 +14,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from revlens.functions.semantics import (MILLION, THOUSAND, exact_mean, pct_label,
-                                         scale_round, scale_round_dec, share_pct, snap_round)
+from revlens.functions.semantics import (MILLION, THOUSAND, pct_label, scale_round,
+                                         scale_round_dec, share_pct, snap_round)
 from revlens.plans.common import reads
+from revlens.plans.grains import by_channel_product, margin_mean
 
 
 @reads("channel", "revenue")
 def channel_share(sales: DataFrame) -> DataFrame:
     """Revenue per channel (millions, 1 dp) and its share of the total,
     computed from the two *rounded* figures as the reference does."""
-    per = sales.groupBy(F.col("channel").alias("Channel")).agg(F.sum("revenue").alias("_rev"))
+    return channel_share_from(
+        sales.groupBy(F.col("channel").alias("Channel")).agg(F.sum("revenue").alias("_rev")))
+
+
+def channel_share_from(measures: DataFrame) -> DataFrame:
+    per = measures.groupBy("Channel").agg(F.sum("_rev").alias("_rev"))
     total = per.agg(scale_round_dec(F.sum("_rev"), MILLION, 1).cast("double")).scalar()
     rev = scale_round("_rev", MILLION, 1)
     share = snap_round(share_pct(rev, total), 2)
@@ -32,9 +40,14 @@ def channel_share(sales: DataFrame) -> DataFrame:
 @reads("channel", "profit_margin_pct")
 def channel_margin(sales: DataFrame) -> DataFrame:
     """Unweighted mean row margin per channel, as text ('37.9 %')."""
-    return (sales.groupBy(F.col("channel").alias("Channel"))
-            .agg(pct_label(snap_round(exact_mean("profit_margin_pct"), 1), " %")
-                 .alias("AVG_Profit_Margin"))
+    return channel_margin_from(sales.groupBy(F.col("channel").alias("Channel")).agg(
+        F.sum("profit_margin_pct").alias("_margin_sum"),
+        F.count("profit_margin_pct").alias("_margin_n")))
+
+
+def channel_margin_from(measures: DataFrame) -> DataFrame:
+    return (measures.groupBy("Channel")
+            .agg(pct_label(snap_round(margin_mean(), 1), " %").alias("AVG_Profit_Margin"))
             .orderBy("Channel"))
 
 
@@ -42,10 +55,13 @@ def channel_margin(sales: DataFrame) -> DataFrame:
 def channel_product_matrix(sales: DataFrame) -> DataFrame:
     """Revenue, profit and mean margin per (channel, product), with the
     margin rank inside the channel (on the unrounded mean)."""
-    per = sales.groupBy(F.col("channel").alias("Channel"),
-                        F.col("product_name").alias("Product")).agg(
-        F.sum("revenue").alias("_rev"), F.sum("profit").alias("_profit"),
-        exact_mean("profit_margin_pct").alias("_margin"))
+    return channel_product_matrix_from(by_channel_product(sales))
+
+
+def channel_product_matrix_from(measures: DataFrame) -> DataFrame:
+    per = measures.groupBy("Channel", "Product").agg(
+        F.sum("_rev").alias("_rev"), F.sum("_profit").alias("_profit"),
+        margin_mean().alias("_margin"))
     in_channel = Window.partitionBy("Channel").orderBy(F.desc("_margin"))
     return per.select(
         "Channel", "Product",

@@ -1,12 +1,15 @@
 """Customer reports: B7 ranking against mean and median, B10 RFM segments,
 B11 lifetime value.
 
-The customer table grows with the data, so nothing here orders it inside a
-single task: the rank, both NTILEs and the median use the distributed
-operators of ``revlens.operators.ordered``; mean, median and the anchor
-date are scalar subqueries (one row).  ``COUNT(DISTINCT order)`` per customer
-is planned by Spark as a two-level aggregation keyed by (customer, order)
-first, so a very large customer is spread over many tasks.
+All three are functions of one row per customer (the ``customer`` grain:
+``_rev``, ``_orders``, ``_first``, ``_last``); the ``*_from`` forms take that
+table as is.  The customer table grows with the data, so nothing here
+orders it inside a single task beyond a proven size bound: the rank, both
+NTILEs and the median use the operators of ``revlens.operators.ordered``;
+mean, median and the anchor date are scalar subqueries (one row).
+``COUNT(DISTINCT order)`` per customer is planned by Spark as a two-level
+aggregation keyed by (customer, order) first, so a very large customer is
+spread over many tasks.
 """
 
 from __future__ import annotations
@@ -19,14 +22,19 @@ from revlens.functions.semantics import (MILLION, THOUSAND, day_diff, first_matc
                                          scale_round_dec, snap_round)
 from revlens.operators.ordered import materialize, percentile_cont, with_ntile, with_rank
 from revlens.plans.common import reads
+from revlens.plans.grains import by_customer
 
 
 @reads("customer_name", "revenue")
 def customer_ranking(sales: DataFrame) -> DataFrame:
     """Revenue per customer (millions, 1 dp) with the mean (1 dp) and
     median of those rounded values, and the rank (gaps after ties)."""
-    per = sales.groupBy(F.col("customer_name").alias("Customer")).agg(
-        scale_round_dec(F.sum("revenue"), MILLION, 1).alias("_value"))
+    return customer_ranking_from(
+        sales.groupBy(F.col("customer_name").alias("Customer")).agg(F.sum("revenue").alias("_rev")))
+
+
+def customer_ranking_from(customers: DataFrame) -> DataFrame:
+    per = customers.select("Customer", scale_round_dec("_rev", MILLION, 1).alias("_value"))
     per = materialize(per)          # mean, median and rank all read it
     mean = snap_round(per.agg(F.sum("_value").cast("double") / F.count("_value")).scalar(), 1)
     median = snap_round(percentile_cont(per, "_value", 0.5).scalar(), 2)
@@ -73,14 +81,6 @@ def rfm_segment(total, f_score, m_score, rules=SEGMENTS, other=OTHER_SEGMENT):
     return first_match(conds, other)
 
 
-def rfm_base(sales: DataFrame) -> DataFrame:
-    """Per customer: last order date, distinct orders, revenue in thousands (2 dp)."""
-    return sales.groupBy(F.col("customer_name").alias("Customer")).agg(
-        F.max("order_date").alias("_last"),
-        F.countDistinct("order_number").alias("Frequency"),
-        scale_round_dec(F.sum("revenue"), THOUSAND, 2).alias("_monetary"))
-
-
 @reads("customer_name", "order_date", "order_number", "revenue")
 def rfm_segmentation(sales: DataFrame, recency_bounds=RECENCY_BOUNDS,
                      score_direction: str = "reference") -> DataFrame:
@@ -90,6 +90,11 @@ def rfm_segmentation(sales: DataFrame, recency_bounds=RECENCY_BOUNDS,
     score 1 is the most frequent / largest spender while R gives 5 to the
     most recent ('reference', the default); ``score_direction='high_is_best'``
     orders F and M ascending instead.  Ties are broken by customer name."""
+    return rfm_segmentation_from(by_customer(sales), recency_bounds, score_direction)
+
+
+def rfm_segmentation_from(customers: DataFrame, recency_bounds=RECENCY_BOUNDS,
+                          score_direction: str = "reference") -> DataFrame:
     if score_direction not in ("reference", "high_is_best"):
         raise ValueError("score_direction must be 'reference' or 'high_is_best'")
     desc = score_direction == "reference"
@@ -97,7 +102,9 @@ def rfm_segmentation(sales: DataFrame, recency_bounds=RECENCY_BOUNDS,
     def order(c):
         return [F.col(c).desc() if desc else F.col(c).asc(), F.col("Customer").asc()]
 
-    base = materialize(rfm_base(sales))        # both NTILEs and the anchor read it
+    base = materialize(customers.select(       # both NTILEs and the anchor read it
+        "Customer", "_last", F.col("_orders").alias("Frequency"),
+        scale_round_dec("_rev", THOUSAND, 2).alias("_monetary")))
     scored = with_ntile(base, 5, order("Frequency"), name="F_Score")
     scored = with_ntile(scored, 5, order("_monetary"), name="M_Score")
     anchor = scored.agg(F.max("_last")).scalar()            # = MAX(order_date) of the table
@@ -118,13 +125,11 @@ def rfm_segmentation(sales: DataFrame, recency_bounds=RECENCY_BOUNDS,
     ).orderBy("Customer")
 
 
-def customer_stats(sales: DataFrame) -> DataFrame:
+def customer_stats(customers: DataFrame) -> DataFrame:
     """Per customer: distinct orders, revenue, mean order value, active months
     (month boundaries crossed) and orders per active month."""
-    per = sales.groupBy(F.col("customer_name").alias("Customer")).agg(
-        F.countDistinct("order_number").alias("Total_Orders"),
-        F.round(F.sum("revenue"), 2).alias("_revenue"),
-        F.min("order_date").alias("_first"), F.max("order_date").alias("_last"))
+    per = customers.select("Customer", F.col("_orders").alias("Total_Orders"),
+                           F.round("_rev", 2).alias("_revenue"), "_first", "_last")
     return per.select(
         "Customer", "Total_Orders", "_revenue",
         snap_round(F.col("_revenue").cast("double") / F.col("Total_Orders"), 2).alias("_aov"),
@@ -139,7 +144,11 @@ def customer_lifetime_value(sales: DataFrame, horizon_months: int = 12) -> DataF
 
     Uses the already rounded AOV and rate, as the reference does; a customer
     active within a single month has no rate and no CLV (sorted last)."""
-    st = customer_stats(sales)
+    return customer_lifetime_value_from(by_customer(sales), horizon_months)
+
+
+def customer_lifetime_value_from(customers: DataFrame, horizon_months: int = 12) -> DataFrame:
+    st = customer_stats(customers)
     clv = snap_round(F.col("_aov") * F.col("_opm") * horizon_months / 1000, 1)
     return st.select(
         "Customer", F.col("Total_Orders").cast("long").alias("Total_Orders"),

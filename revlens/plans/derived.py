@@ -2,7 +2,8 @@
 
 D1 headline KPIs, D2 region performance, D3 RFM segment mix, D4 product
 quadrants (margin x volume), D5 customers below mean / median, D6 repeat
-purchase share, D7 ABC class mix.
+purchase share, D7 ABC class mix.  Each has a ``*_from`` form over grain
+aggregates or over the report it summarises (used by ``plans.suite``).
 """
 
 from __future__ import annotations
@@ -10,10 +11,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from revlens.functions.semantics import MILLION, exact_mean, safe_div, scale_round, snap_round
+from revlens.functions.semantics import MILLION, safe_div, scale_round, snap_round
 from revlens.operators.ordered import materialize, percentile_cont
 from revlens.plans.common import reads
 from revlens.plans.customers import customer_ranking, rfm_segmentation
+from revlens.plans.grains import margin_mean
 from revlens.plans.products import abc_pareto
 
 
@@ -23,21 +25,35 @@ def headline_kpis(sales: DataFrame) -> DataFrame:
 
     The two distinct counts are scalar subqueries of their own (each a
     two-level aggregation) instead of one multi-distinct Expand."""
-    orders = sales.select("order_number").distinct().agg(F.count(F.lit(1))).scalar()
-    customers = sales.select("customer_name").distinct().agg(F.count(F.lit(1))).scalar()
+    orders = sales.select("order_number").distinct()
+    customers = sales.select("customer_name").distinct()
     sums = sales.agg(F.sum("revenue").alias("_rev"), F.sum("profit").alias("_profit"))
+    return headline_kpis_from(sums, customers, orders)
+
+
+def headline_kpis_from(measures: DataFrame, customers: DataFrame, orders: DataFrame) -> DataFrame:
+    """D1 from revenue/profit measures at any grain and one row per customer
+    and per order."""
+    n_orders = orders.agg(F.count(F.lit(1))).scalar()
+    n_customers = customers.agg(F.count(F.lit(1))).scalar()
+    sums = measures.agg(F.sum("_rev").alias("_rev"), F.sum("_profit").alias("_profit"))
     return sums.select(
         F.col("_rev").cast("double").alias("Total_Revenue"),
         F.round("_profit", 2).cast("double").alias("Total_Profit"),
         snap_round(safe_div(F.col("_profit").cast("double"), F.col("_rev").cast("double")) * 100,
                    2).alias("Profit_Margin_Pct"),
-        orders.alias("Orders"), customers.alias("Customers"))
+        n_orders.alias("Orders"), n_customers.alias("Customers"))
 
 
 @reads("us_region", "revenue")
 def region_performance(sales: DataFrame) -> DataFrame:
     """Revenue per region (millions, 1 dp) and its share of the total."""
-    per = sales.groupBy(F.col("us_region").alias("Region")).agg(F.sum("revenue").alias("_rev"))
+    return region_performance_from(
+        sales.groupBy("us_region").agg(F.sum("revenue").alias("_rev")))
+
+
+def region_performance_from(measures: DataFrame) -> DataFrame:
+    per = measures.groupBy(F.col("us_region").alias("Region")).agg(F.sum("_rev").alias("_rev"))
     total = F.sum("_rev").over(Window.partitionBy())     # bounded: one row per region
     share = snap_round(safe_div(F.col("_rev").cast("double"), total.cast("double")) * 100, 1)
     return per.select("Region", scale_round("_rev", MILLION, 1).alias("Revenue_M"),
@@ -47,7 +63,10 @@ def region_performance(sales: DataFrame) -> DataFrame:
 @reads("customer_name", "order_date", "order_number", "revenue")
 def rfm_segment_mix(sales: DataFrame) -> DataFrame:
     """D3: customers, monetary total (thousands) and mean frequency per segment."""
-    rfm = rfm_segmentation(sales)
+    return rfm_segment_mix_from(rfm_segmentation(sales))
+
+
+def rfm_segment_mix_from(rfm: DataFrame) -> DataFrame:
     return rfm.groupBy("Customer_Segment").agg(
         F.count(F.lit(1)).alias("Customers"),
         F.sum(F.col("Monetary_000s").cast("decimal(18,2)")).cast("double").alias("Monetary_000s"),
@@ -59,9 +78,14 @@ def rfm_segment_mix(sales: DataFrame) -> DataFrame:
 def product_quadrants(sales: DataFrame) -> DataFrame:
     """Each product's revenue and mean margin against the product medians:
     'High Margin' / 'Low Margin' x 'High Volume' / 'Low Volume'."""
-    per = materialize(sales.groupBy(F.col("product_name").alias("Product")).agg(
-        F.sum("revenue").cast("double").alias("_rev"),
-        exact_mean("profit_margin_pct").alias("_margin")))
+    return product_quadrants_from(sales.groupBy(F.col("product_name").alias("Product")).agg(
+        F.sum("revenue").alias("_rev"), F.sum("profit_margin_pct").alias("_margin_sum"),
+        F.count("profit_margin_pct").alias("_margin_n")))
+
+
+def product_quadrants_from(measures: DataFrame) -> DataFrame:
+    per = materialize(measures.groupBy("Product").agg(
+        F.sum("_rev").cast("double").alias("_rev"), margin_mean().alias("_margin")))
     med_rev = percentile_cont(per, "_rev", 0.5).scalar()
     med_margin = percentile_cont(per, "_margin", 0.5).scalar()
     margin_label = F.when(F.col("_margin") >= med_margin, "High Margin").otherwise("Low Margin")
@@ -76,7 +100,10 @@ def product_quadrants(sales: DataFrame) -> DataFrame:
 def below_mean_median(sales: DataFrame) -> DataFrame:
     """Share of customers whose revenue (B7 figures) is below the B7 mean
     and below the B7 median."""
-    ranked = customer_ranking(sales)
+    return below_mean_median_from(customer_ranking(sales))
+
+
+def below_mean_median_from(ranked: DataFrame) -> DataFrame:
     agg = ranked.agg(
         F.count(F.lit(1)).alias("Customers"),
         F.count_if(F.col("Total_Order_Value") < F.col("Avg_Order_Value")).alias("Below_Mean"),
@@ -90,9 +117,13 @@ def below_mean_median(sales: DataFrame) -> DataFrame:
 @reads("customer_name", "order_number")
 def repeat_purchase(sales: DataFrame) -> DataFrame:
     """Customers with at least two distinct orders, and their share."""
-    per = sales.groupBy("customer_name").agg(F.countDistinct("order_number").alias("_orders"))
-    agg = per.agg(F.count(F.lit(1)).alias("Customers"),
-                  F.count_if(F.col("_orders") >= 2).alias("Repeat_Customers"))
+    return repeat_purchase_from(sales.groupBy(F.col("customer_name").alias("Customer")).agg(
+        F.countDistinct("order_number").alias("_orders")))
+
+
+def repeat_purchase_from(customers: DataFrame) -> DataFrame:
+    agg = customers.agg(F.count(F.lit(1)).alias("Customers"),
+                        F.count_if(F.col("_orders") >= 2).alias("Repeat_Customers"))
     return agg.select("Customers", "Repeat_Customers",
                       snap_round(F.col("Repeat_Customers") / F.col("Customers") * 100, 1)
                       .alias("Repeat_Share_Pct"))
@@ -101,7 +132,10 @@ def repeat_purchase(sales: DataFrame) -> DataFrame:
 @reads("product_name", "revenue")
 def abc_mix(sales: DataFrame) -> DataFrame:
     """Products and revenue share per ABC class (from B18)."""
-    abc = abc_pareto(sales)
+    return abc_mix_from(abc_pareto(sales))
+
+
+def abc_mix_from(abc: DataFrame) -> DataFrame:
     per = abc.groupBy("ABC_Class").agg(
         F.count(F.lit(1)).alias("Products"),
         F.sum(F.col("Revenue_M").cast("decimal(18,2)")).alias("_rm"))

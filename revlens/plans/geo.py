@@ -1,8 +1,9 @@
 """Geography reports: B8 revenue by state and region, B15 margin by state.
 
-Both aggregate to one row per (state, region) first; the state and region
-totals of B8 are partitioned windows over that table (rewrite of the
-reference's DISTINCT + ``SUM() OVER (PARTITION BY ...)`` over raw rows).
+Both are functions of per-(state, region) measures (the ``state_region``
+grain).  The state and region totals of B8 are partitioned windows over that
+table (rewrite of the reference's DISTINCT + ``SUM() OVER (PARTITION BY ...)``
+over raw rows).
 """
 
 from __future__ import annotations
@@ -10,16 +11,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from revlens.functions.semantics import MILLION, exact_mean, scale_round, snap_round
+from revlens.functions.semantics import MILLION, scale_round, snap_round
 from revlens.operators.ordered import materialize, with_rank
 from revlens.plans.common import reads
+from revlens.plans.grains import by_state_region, margin_mean
 
 
 @reads("state_name", "us_region", "revenue")
 def state_region_revenue(sales: DataFrame) -> DataFrame:
     """Revenue per state name and per region (millions, 1 dp).  A state
     present in two regions yields two rows with the same state total."""
-    per = sales.groupBy("state_name", "us_region").agg(F.sum("revenue").alias("_rev"))
+    return state_region_revenue_from(
+        sales.groupBy("state_name", "us_region").agg(F.sum("revenue").alias("_rev")))
+
+
+def state_region_revenue_from(measures: DataFrame) -> DataFrame:
+    per = measures.groupBy("state_name", "us_region").agg(F.sum("_rev").alias("_rev"))
     by_state = F.sum("_rev").over(Window.partitionBy("state_name"))
     by_region = F.sum("_rev").over(Window.partitionBy("us_region"))
     return per.select(
@@ -34,10 +41,14 @@ def state_region_revenue(sales: DataFrame) -> DataFrame:
 def state_margin(sales: DataFrame) -> DataFrame:
     """Revenue, profit and mean margin per (state, region), ranked on
     the unrounded mean margin."""
-    per = sales.groupBy(F.col("state_name").alias("State"),
-                        F.col("us_region").alias("Region")).agg(
-        F.sum("revenue").alias("_rev"), F.sum("profit").alias("_profit"),
-        exact_mean("profit_margin_pct").alias("_margin"))
+    return state_margin_from(by_state_region(sales))
+
+
+def state_margin_from(measures: DataFrame) -> DataFrame:
+    per = measures.groupBy(F.col("state_name").alias("State"),
+                           F.col("us_region").alias("Region")).agg(
+        F.sum("_rev").alias("_rev"), F.sum("_profit").alias("_profit"),
+        margin_mean().alias("_margin"))
     per = with_rank(materialize(per), "_margin", desc=True, name="Margin_Rank")
     return per.select(
         "State", "Region",

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from revlens.functions.semantics import pct_label, range_bucket, snap_round
 from revlens.plans.common import reads
+from revlens.plans.grains import by_order
 
 # Order-value buckets, closed-open, tested in this order; the
 # last label carries a trailing blank in the reference.
@@ -29,15 +30,18 @@ def order_value_bucket(total_col) -> "F.Column":
     return range_bucket(total_col, ORDER_VALUE_EDGES, ORDER_VALUE_BELOW, ORDER_VALUE_ABOVE)
 
 
-def order_totals(sales: DataFrame) -> DataFrame:
-    """One row per order: its total rounded to 2 dp (exact)."""
-    return sales.groupBy("order_number").agg(F.round(F.sum("revenue"), 2).alias("total_purchase"))
+order_totals = by_order      # one row per order: its total rounded to 2 dp (exact)
 
 
 @reads("order_number", "revenue")
 def order_value_distribution(sales: DataFrame) -> DataFrame:
     """Orders per value bucket and their share of all orders (1 dp)."""
-    buckets = (order_totals(sales)
+    return order_value_distribution_from(by_order(sales))
+
+
+def order_value_distribution_from(orders: DataFrame) -> DataFrame:
+    """B6 from one row per order (``order_number``, ``total_purchase``)."""
+    buckets = (orders
                .groupBy(order_value_bucket("total_purchase").alias("Order_Value_Category"))
                .agg(F.count(F.lit(1)).alias("Total_orders")))
     all_buckets = Window.partitionBy()                  # bounded: at most six buckets

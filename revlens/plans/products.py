@@ -1,10 +1,12 @@
 """Product reports: B3 top products by revenue, B4 top products by mean
 margin, B12 year-over-year growth, B17 cost efficiency, B18 ABC / Pareto.
 
-Each aggregates to one row per product (or product-year) first.  B17 and
-B18 then order the product table; the rank and the RANGE running total use
-the distributed forms of ``revlens.operators.ordered``, so the catalogue
-size never has to fit one task.
+Each ``*_from`` function takes per-product (or product-year) measures —
+``_rev``, ``_cost``, ``_margin_sum``, ``_margin_n`` — and re-aggregates them
+to its key, so it accepts either a minimal aggregate of the fact (the
+single-report path) or the shared ``product_year`` grain (``plans.suite``).
+B17 and B18 then order the product table with the size-checked operators of
+``revlens.operators.ordered``.
 """
 
 from __future__ import annotations
@@ -12,27 +14,54 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from revlens.functions.semantics import (MILLION, THOUSAND, dec_lit, exact_mean, first_match,
-                                         pct_change, pct_label, safe_div, scale_round,
-                                         scale_round_dec, snap_round)
+from revlens.functions.semantics import (MILLION, THOUSAND, dec_lit, first_match, pct_change,
+                                         pct_label, safe_div, scale_round, scale_round_dec,
+                                         snap_round)
 from revlens.operators.ordered import materialize, with_range_cumsum, with_rank
 from revlens.plans.common import reads
+from revlens.plans.grains import margin_mean
+
+
+def product_measures(sales: DataFrame, cost: bool = False, margin: bool = False,
+                     by_year: bool = False) -> DataFrame:
+    """Per product (and year) revenue, optionally total cost and margin sum/count."""
+    aggs = [F.sum("revenue").alias("_rev")]
+    if cost:
+        aggs.append(F.sum("total_cost").alias("_cost"))
+    if margin:
+        aggs += [F.sum("profit_margin_pct").alias("_margin_sum"),
+                 F.count("profit_margin_pct").alias("_margin_n")]
+    keys = [F.col("product_name").alias("Product")]
+    if by_year:
+        keys.append(F.year("order_date").alias("Year"))
+    return sales.groupBy(*keys).agg(*aggs)
 
 
 @reads("product_name", "revenue")
 def top_products_by_revenue(sales: DataFrame, n: int = 10) -> DataFrame:
     """The ``n`` products with the largest revenue (millions, 2 dp).
     Ties on the rounded value are broken by product name."""
-    return (sales.groupBy(F.col("product_name").alias("Products"))
-            .agg(scale_round(F.sum("revenue"), MILLION, 2).alias("Total_Sales_Value"))
+    return top_products_by_revenue_from(product_measures(sales), n)
+
+
+def top_products_by_revenue_from(measures: DataFrame, n: int = 10) -> DataFrame:
+    return (measures.groupBy(F.col("Product").alias("Products"))
+            .agg(scale_round(F.sum("_rev"), MILLION, 2).alias("Total_Sales_Value"))
             .orderBy(F.desc("Total_Sales_Value"), "Products").limit(n))
 
 
 @reads("product_name", "profit_margin_pct")
 def top_products_by_margin(sales: DataFrame, n: int = 10) -> DataFrame:
     """The ``n`` products with the highest *unweighted* mean row margin."""
-    return (sales.groupBy(F.col("product_name").alias("Product"))
-            .agg(snap_round(exact_mean("profit_margin_pct"), 2).alias("Profit_Margin"))
+    return top_products_by_margin_from(
+        sales.groupBy(F.col("product_name").alias("Product")).agg(
+            F.sum("profit_margin_pct").alias("_margin_sum"),
+            F.count("profit_margin_pct").alias("_margin_n")), n)
+
+
+def top_products_by_margin_from(measures: DataFrame, n: int = 10) -> DataFrame:
+    return (measures.groupBy("Product")
+            .agg(snap_round(margin_mean(), 2).alias("Profit_Margin"))
             .orderBy(F.desc("Profit_Margin"), "Product").limit(n))
 
 
@@ -41,9 +70,12 @@ def yoy_growth(sales: DataFrame) -> DataFrame:
     """Revenue per product and year (thousands, 1 dp) and the growth
     against the product's previous year *present* ('Base Year' for the first;
     a zero base gives ' %')."""
-    yearly = sales.groupBy(F.col("product_name").alias("Product"),
-                           F.year("order_date").alias("Year")) \
-        .agg(scale_round(F.sum("revenue"), THOUSAND, 1).alias("Revenue_K"))
+    return yoy_growth_from(product_measures(sales, by_year=True))
+
+
+def yoy_growth_from(measures: DataFrame) -> DataFrame:
+    yearly = measures.groupBy("Product", "Year") \
+        .agg(scale_round(F.sum("_rev"), THOUSAND, 1).alias("Revenue_K"))
     prev = F.lag("Revenue_K").over(Window.partitionBy("Product").orderBy("Year"))
     yearly = yearly.withColumn("_prev", prev)
     growth = first_match([(F.col("_prev").isNull(), "Base Year")],
@@ -55,9 +87,13 @@ def yoy_growth(sales: DataFrame) -> DataFrame:
 @reads("product_name", "revenue", "total_cost", "profit_margin_pct")
 def cost_efficiency(sales: DataFrame) -> DataFrame:
     """Revenue per cost dollar per product, ranked on the unrounded ratio."""
-    per = sales.groupBy(F.col("product_name").alias("Product")).agg(
-        F.sum("revenue").alias("_rev"), F.sum("total_cost").alias("_cost"),
-        exact_mean("profit_margin_pct").alias("_margin"))
+    return cost_efficiency_from(product_measures(sales, cost=True, margin=True))
+
+
+def cost_efficiency_from(measures: DataFrame) -> DataFrame:
+    per = measures.groupBy("Product").agg(
+        F.sum("_rev").alias("_rev"), F.sum("_cost").alias("_cost"),
+        margin_mean().alias("_margin"))
     per = per.withColumn("_ratio", safe_div(F.col("_rev").cast("double"),
                                             F.col("_cost").cast("double")))
     per = with_rank(materialize(per), "_ratio", desc=True, name="Efficiency_Rank")
@@ -83,8 +119,11 @@ def abc_pareto(sales: DataFrame, cuts=ABC_CUTS, other: str = ABC_OTHER) -> DataF
     Running and grand totals add the 2-dp rounded millions; tied revenues
     share one running total (RANGE frame).  Class cuts compare exactly in
     DECIMAL: ``running <= cut * total``."""
-    per = sales.groupBy(F.col("product_name").alias("Product")).agg(
-        scale_round_dec(F.sum("revenue"), MILLION, 2).alias("_rm"))
+    return abc_pareto_from(product_measures(sales), cuts, other)
+
+
+def abc_pareto_from(measures: DataFrame, cuts=ABC_CUTS, other: str = ABC_OTHER) -> DataFrame:
+    per = measures.groupBy("Product").agg(scale_round_dec(F.sum("_rev"), MILLION, 2).alias("_rm"))
     per = with_range_cumsum(materialize(per), "_rm", "_rm", desc=True, name="_cum")
     total = per.agg(F.sum("_rm")).scalar()             # scalar subquery, one row
     per = per.withColumn("_total", total)

@@ -1,10 +1,10 @@
 """Time reports: B1 monthly trend + MoM, B2 seasonality, B13 running and
 rolling averages, B16 month x year pivot.
 
-All four first aggregate the fact to at most one row per calendar month
-(partial + final hash aggregation, one shuffle).  The windows that follow
-run over that month table, whose size is bounded by the calendar (12 rows
-per year), never over fact rows.
+All four are functions of the monthly revenue table (``Year``, ``Month``,
+``_rev``): one partial + final hash aggregation of the fact.  The windows
+that follow run over that month table, whose size is bounded by the
+calendar (12 rows per year), never over fact rows.
 """
 
 from __future__ import annotations
@@ -14,23 +14,31 @@ from typing import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from revlens.functions.semantics import (MILLION, month_name, pct_change, pct_label,
-                                         scale_round, scale_round_dec, snap_round)
+from revlens.functions.semantics import (MILLION, pct_change, pct_label, scale_round,
+                                         scale_round_dec, snap_round)
 from revlens.plans.common import reads
+from revlens.plans.grains import by_month
 
 
-def _monthly(sales: DataFrame, with_name: bool = False) -> DataFrame:
-    keys = [F.year("order_date").alias("Year"), F.month("order_date").alias("Month")]
-    if with_name:
-        keys.append(month_name("order_date").alias("Month_Name"))
-    return sales.groupBy(*keys).agg(F.sum("revenue").alias("_rev"))
+def _month_name(month_col: str = "Month"):
+    """Full English month name of a month number."""
+    return F.date_format(F.make_date(F.lit(2000), F.col(month_col), F.lit(1)), "MMMM")
+
+
+def _months(monthly: DataFrame) -> DataFrame:
+    return monthly.groupBy("Year", "Month").agg(F.sum("_rev").alias("_rev"))
 
 
 @reads("order_date", "revenue")
 def monthly_trend(sales: DataFrame, digits: int = 1) -> DataFrame:
     """B1: revenue per (year, month) in millions and the change against the
     previous *row* (a missing month is skipped, not zero-filled)."""
-    m = _monthly(sales).withColumn("Current_Month_Revenue", scale_round("_rev", MILLION, digits))
+    return monthly_trend_from(by_month(sales), digits)
+
+
+def monthly_trend_from(monthly: DataFrame, digits: int = 1) -> DataFrame:
+    m = _months(monthly).withColumn("Current_Month_Revenue",
+                                    scale_round("_rev", MILLION, digits))
     calendar = Window.orderBy("Year", "Month")          # bounded: one row per month
     m = m.withColumn("Previous_Month_Revenue", F.lag("Current_Month_Revenue").over(calendar))
     diff = snap_round(pct_change("Current_Month_Revenue", "Previous_Month_Revenue"), 2)
@@ -43,8 +51,12 @@ def monthly_trend(sales: DataFrame, digits: int = 1) -> DataFrame:
 @reads("order_date", "revenue")
 def seasonality(sales: DataFrame) -> DataFrame:
     """B2: revenue per calendar month name over all years, largest first."""
-    return (sales.groupBy(month_name("order_date").alias("Month"))
-            .agg(scale_round(F.sum("revenue"), MILLION, 2).alias("Total_Revenue"))
+    return seasonality_from(by_month(sales))
+
+
+def seasonality_from(monthly: DataFrame) -> DataFrame:
+    return (monthly.groupBy(_month_name().alias("Month"))
+            .agg(scale_round(F.sum("_rev"), MILLION, 2).alias("Total_Revenue"))
             .orderBy(F.desc("Total_Revenue"), "Month"))
 
 
@@ -55,8 +67,11 @@ def rolling_averages(sales: DataFrame, window: int = 3) -> DataFrame:
 
     Means are taken over the *rounded* monthly values, as the reference does,
     computed exactly in DECIMAL and snapped to 2 dp."""
-    m = _monthly(sales, with_name=True).withColumn(
-        "_rm", scale_round_dec("_rev", MILLION, 2))
+    return rolling_averages_from(by_month(sales), window)
+
+
+def rolling_averages_from(monthly: DataFrame, window: int = 3) -> DataFrame:
+    m = _months(monthly).withColumn("_rm", scale_round_dec("_rev", MILLION, 2))
     running = Window.partitionBy("Year").orderBy("Month").rowsBetween(Window.unboundedPreceding, 0)
     rolling = Window.orderBy("Year", "Month").rowsBetween(-(window - 1), 0)
 
@@ -65,7 +80,7 @@ def rolling_averages(sales: DataFrame, window: int = 3) -> DataFrame:
 
     return m.select(
         F.col("Year").cast("long").alias("Year"), F.col("Month").cast("long").alias("Month"),
-        "Month_Name", F.col("_rm").cast("double").alias("Revenue_M"),
+        _month_name().alias("Month_Name"), F.col("_rm").cast("double").alias("Revenue_M"),
         mean_over(running).alias("Running_Avg"),
         mean_over(rolling).alias("Rolling_3M_Avg_M")).orderBy("Year", "Month")
 
@@ -75,19 +90,23 @@ REFERENCE_PIVOT_YEARS = (2014, 2015, 2016, 2017)
 DEFAULT_PIVOT_YEARS = tuple(range(1995, 2002))
 
 
-@reads("month_no", "order_month_name", "order_date", "revenue")
+@reads("order_date", "revenue")
 def month_year_pivot(sales: DataFrame, years: Sequence[int] = DEFAULT_PIVOT_YEARS) -> DataFrame:
     """Month x year revenue grid (millions, 2 dp).
 
     Conditional sums over an explicit year list (one pass, no extra job to
     discover pivot values); an absent year is 0.0, and the total covers all
     years, listed or not."""
-    year = F.year("order_date")
-    cells = [scale_round(F.sum(F.when(year == y, F.col("revenue")).otherwise(F.lit(0))),
+    return month_year_pivot_from(by_month(sales), years)
+
+
+def month_year_pivot_from(monthly: DataFrame,
+                          years: Sequence[int] = DEFAULT_PIVOT_YEARS) -> DataFrame:
+    cells = [scale_round(F.sum(F.when(F.col("Year") == y, F.col("_rev")).otherwise(F.lit(0))),
                          MILLION, 2).alias(f"{y}_M") for y in years]
-    return (sales.groupBy(F.col("month_no").alias("Month_Num"),
-                          F.col("order_month_name").alias("Month"))
-            .agg(*cells, scale_round(F.sum("revenue"), MILLION, 2).alias("All_Years_Total_M"))
-            .select(F.col("Month_Num").cast("long").alias("Month_Num"), "Month",
+    return (monthly.groupBy(F.col("Month").alias("Month_Num"))
+            .agg(*cells, scale_round(F.sum("_rev"), MILLION, 2).alias("All_Years_Total_M"))
+            .select(F.col("Month_Num").cast("long").alias("Month_Num"),
+                    _month_name("Month_Num").alias("Month"),
                     *[f"{y}_M" for y in years], "All_Years_Total_M")
             .orderBy("Month_Num"))
