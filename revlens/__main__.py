@@ -110,8 +110,12 @@ def main(argv=None) -> int:
         unknown = [n for n in names if n not in REPORT_FUNCS]
         if unknown:
             parser.error(f"unknown report(s): {unknown}; see 'revlens list'")
-        for name in names:
-            df = REPORT_FUNCS[name](sales)
+        if len(names) > 1:          # whole catalogue: each grain aggregated once
+            from revlens.plans.suite import run_reports
+            frames = run_reports(sales, names)
+        else:
+            frames = {names[0]: REPORT_FUNCS[names[0]](sales)}
+        for name, df in frames.items():
             if args.out:
                 _write(df, f"{args.out.rstrip('/')}/{name}", args.format)
             if args.show:
