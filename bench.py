@@ -5,7 +5,9 @@
 2. Every report (B1-B18) and derived table (D1-D7) on the stored fact:
    median wall time of 3 runs, result collected to the driver.
 3. ``suite_all_reports_sec``: the same 27 reports through ``plans.suite``
-   (each grain aggregated once), median of 3 runs — reported separately.
+   (each grain aggregated once), median of 3 runs — reported separately;
+   ``suite_all_reports_parallel_sec``: the same with 4 reports run side by
+   side (concurrent Spark jobs from driver threads).
 
 An untimed warm-up runs the same steps on sf0.001 first, so the numbers are
 steady-state (not JVM start-up).
@@ -27,12 +29,13 @@ import uuid
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from revlens.plans.registry import DERIVED, REPORTS  # noqa: E402
-from revlens.plans.suite import run_reports  # noqa: E402
+from revlens.plans.suite import execute_reports, run_reports  # noqa: E402
 from revlens.session import ensure_checkpoint_dir, local_session  # noqa: E402
 from revlens.sources.sinks import read_sales_table, write_sales_table  # noqa: E402
 from revlens.sources.tables import sales_fact  # noqa: E402
 
 RUNS = 3
+SUITE_THREADS = 4
 WARMUP_DIR = "/root/testdata/sf0.001"
 
 
@@ -67,13 +70,17 @@ def main() -> None:
 
     # the whole catalogue through the shared-grain suite (reported apart from
     # the per-report total above, not added to it)
-    suite_runs = []
+    suite_runs, parallel_runs = [], []
     for _ in range(RUNS):
         t = time.perf_counter()
         for df in run_reports(sales).values():
             df.collect()
         suite_runs.append(time.perf_counter() - t)
+        t = time.perf_counter()
+        execute_reports(sales, lambda name, df: df.collect(), parallel=SUITE_THREADS)
+        parallel_runs.append(time.perf_counter() - t)
     suite_all = statistics.median(suite_runs)
+    suite_parallel = statistics.median(parallel_runs)
 
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({
@@ -85,6 +92,8 @@ def main() -> None:
         "cpus": cpus,
         "runs_per_report": RUNS,
         "suite_all_reports_sec": round(suite_all, 3),
+        "suite_all_reports_parallel_sec": round(suite_parallel, 3),
+        "suite_threads": SUITE_THREADS,
     }))
     spark.stop()
 

@@ -75,6 +75,8 @@ def main(argv=None) -> int:
     rp.add_argument("--out", default=None)
     rp.add_argument("--format", default="csv", choices=["csv", "parquet"])
     rp.add_argument("--show", type=int, default=0, help="print the first N rows")
+    rp.add_argument("--parallel", type=int, default=4,
+                    help="reports run side by side (concurrent Spark jobs)")
     rp.add_argument("--start", default=None, help="first order date (partition pruning)")
     rp.add_argument("--end", default=None, help="last order date (inclusive)")
 
@@ -110,17 +112,21 @@ def main(argv=None) -> int:
         unknown = [n for n in names if n not in REPORT_FUNCS]
         if unknown:
             parser.error(f"unknown report(s): {unknown}; see 'revlens list'")
-        if len(names) > 1:          # whole catalogue: each grain aggregated once
-            from revlens.plans.suite import run_reports
-            frames = run_reports(sales, names)
-        else:
-            frames = {names[0]: REPORT_FUNCS[names[0]](sales)}
-        for name, df in frames.items():
+        def act(name, df):
             if args.out:
                 _write(df, f"{args.out.rstrip('/')}/{name}", args.format)
-            if args.show:
+            return df.take(args.show) if args.show else None
+
+        if len(names) > 1:          # whole catalogue: each grain aggregated once
+            from revlens.plans.suite import execute_reports
+            shown = execute_reports(sales, act, names, parallel=args.parallel)
+        else:
+            shown = {names[0]: act(names[0], REPORT_FUNCS[names[0]](sales))}
+        for name, rows in shown.items():
+            if rows is not None:
                 print(f"== {name}")
-                df.show(args.show, truncate=False)
+                for row in rows:
+                    print(row)
     return 0
 
 

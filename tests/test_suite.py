@@ -29,3 +29,12 @@ def test_suite_equals_single_report(spark, sf_dir, suite, name):
 def test_subset_pulls_prerequisites(spark, sf_dir):
     out = run_reports(sales_fact(spark, sf_dir), ["d7_abc_mix"])
     assert list(out) == ["d7_abc_mix"] and out["d7_abc_mix"].count() == 3
+
+
+def test_parallel_execution_equals_sequential(spark, sf_dir, suite):
+    from revlens.plans.suite import execute_reports
+    rows = execute_reports(sales_fact(spark, sf_dir), lambda name, df: df.collect(), parallel=4)
+    assert set(rows) == set(SINGLE)
+    for name in ("b07_customer_ranking", "b10_rfm_segmentation", "d3_rfm_segment_mix",
+                 "d7_abc_mix", "b18_abc_pareto"):
+        assert rows[name] == suite[name].collect()
