@@ -1,5 +1,10 @@
 """Benchmark: the reference's workflow on Spark.
 
+Headline ``value`` = ``fact_build`` + all 27 reports as ``python -m revlens
+report all`` runs them (shared grains, 4 reports side by side).  Per-report
+times (each report alone) are in ``queries``; their sum is
+``single_reports_sum_sec``.
+
 1. ``fact_build``: driver tables -> sales fact (star joins, features) ->
    typed Parquet table partitioned by order year (the clean/export/load step).
 2. Every report (B1-B18) and derived table (D1-D7) on the stored fact:
@@ -83,9 +88,10 @@ def main() -> None:
     suite_parallel = statistics.median(parallel_runs)
 
     m = re.search(r"sf([0-9.]+)", sf_dir)
+    single_sum = sum(v for k, v in times.items() if k != "fact_build")
     print(json.dumps({
-        "metric": "fact_build_plus_reports_wall_time",
-        "value": round(sum(times.values()), 3),
+        "metric": "fact_build_plus_all_reports_wall_time",
+        "value": round(times["fact_build"] + suite_parallel, 3),
         "unit": "sec",
         "queries": {k: round(v, 3) for k, v in times.items()},
         "sf": float(m.group(1)) if m else None,
@@ -94,6 +100,7 @@ def main() -> None:
         "suite_all_reports_sec": round(suite_all, 3),
         "suite_all_reports_parallel_sec": round(suite_parallel, 3),
         "suite_threads": SUITE_THREADS,
+        "single_reports_sum_sec": round(single_sum, 3),
     }))
     spark.stop()
 
