@@ -20,11 +20,24 @@ from revlens.plans.products import abc_pareto
 
 
 @reads("order_number", "customer_name", "revenue", "profit")
-def headline_kpis(sales: DataFrame) -> DataFrame:
+def headline_kpis(sales: DataFrame, approx_distinct: bool = False, rsd: float = 0.01) -> DataFrame:
     """One row — revenue, profit, weighted margin, orders, customers.
 
     The two distinct counts are scalar subqueries of their own (each a
-    two-level aggregation) instead of one multi-distinct Expand."""
+    two-level aggregation) instead of one multi-distinct Expand.  With
+    ``approx_distinct=True`` (opt-in) they are HyperLogLog++ sketches
+    (``approx_count_distinct``, relative standard deviation ``rsd``): one
+    pass, no shuffle of the keys."""
+    if approx_distinct:
+        sums = sales.agg(F.sum("revenue").alias("_rev"), F.sum("profit").alias("_profit"),
+                         F.approx_count_distinct("order_number", rsd).alias("Orders"),
+                         F.approx_count_distinct("customer_name", rsd).alias("Customers"))
+        return sums.select(
+            F.col("_rev").cast("double").alias("Total_Revenue"),
+            F.round("_profit", 2).cast("double").alias("Total_Profit"),
+            snap_round(safe_div(F.col("_profit").cast("double"),
+                                F.col("_rev").cast("double")) * 100, 2).alias("Profit_Margin_Pct"),
+            "Orders", "Customers")
     orders = sales.select("order_number").distinct()
     customers = sales.select("customer_name").distinct()
     sums = sales.agg(F.sum("revenue").alias("_rev"), F.sum("profit").alias("_profit"))

@@ -84,3 +84,16 @@ def test_generated_percentile(spark, vals, p):
     got = percentile_cont(df, "v", p, num_partitions=3, small_rows=0).first()[0]
     want = df.agg(F.percentile("v", p)).first()[0]
     assert got == pytest.approx(want, abs=1e-9)
+
+
+def test_approximate_options_are_close(spark, sf_dir):
+    from revlens.plans.customers import customer_ranking
+    from revlens.plans.derived import headline_kpis
+    sales = sales_fact(spark, sf_dir)
+    exact, approx = headline_kpis(sales).first(), headline_kpis(sales, approx_distinct=True).first()
+    assert exact.Total_Revenue == approx.Total_Revenue
+    for col in ("Orders", "Customers"):
+        assert abs(approx[col] - exact[col]) <= 0.05 * exact[col]
+    med_exact = customer_ranking(sales).first().Median_Order_Value
+    med_approx = customer_ranking(sales, approx_median=True).first().Median_Order_Value
+    assert abs(med_exact - med_approx) <= 0.1
