@@ -92,7 +92,7 @@ def main(argv=None) -> int:
         write_sales_table(sales_fact(spark, args.tables, budget_year=args.budget_year), args.out)
     elif args.cmd == "clean":
         from revlens.operators.quality import validate
-        from revlens.plans.pipeline import clean_sales
+        from revlens.plans.enrichment import clean_sales
         from revlens.sources.sheets import REQUIRED_SHEETS, load_sheets
         from revlens.sources.sinks import write_sales_table
         with open(args.sheets) as fh:

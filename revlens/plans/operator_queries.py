@@ -23,7 +23,7 @@ from revlens.operators.ordered import (materialize, percentile_cont, with_ntile,
 from revlens.operators.quality import (duplicate_rows, null_counts, profile_shape,
                                        schema_summary, validation_summary)
 from revlens.plans.orders import order_totals, order_value_bucket
-from revlens.plans.pipeline import clean_sales
+from revlens.plans.enrichment import clean_sales
 from revlens.plans.trend import DEFAULT_PIVOT_YEARS
 from revlens.sources.tables import (derive_line_measures, read_table, sales_fact,
                                     sheets_from_tables)

@@ -10,7 +10,7 @@ from revlens.operators.cleaning import (apply_collation, mask_outside_year, norm
                                         promote_header, rename_simultaneous, select_strict)
 from revlens.operators.features import round_money
 from revlens.operators.joins import DuplicateKeyError, lookup_join
-from revlens.plans.pipeline import clean_sales
+from revlens.plans.enrichment import clean_sales
 from revlens.schema import SALES_COLUMNS
 from revlens.sources.sheets import bulk_load_csv, load_sheets
 from revlens.sources.sinks import read_sales_table, write_csv, write_sales_table
