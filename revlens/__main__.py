@@ -2,6 +2,7 @@
 
   python -m revlens list
   python -m revlens build-fact --tables DIR --out PATH [--budget-year 2000]
+  python -m revlens profile --sheets CATALOG.json [--format csv]
   python -m revlens clean --sheets CATALOG.json --out PATH [--format csv] [--budget-year 2017]
   python -m revlens report NAME|all --fact PATH [--out DIR] [--format csv|parquet] [--show N]
                                     [--start DATE] [--end DATE]
@@ -69,6 +70,10 @@ def main(argv=None) -> int:
                     help="header values found in the first data row of State Regions "
                          "('none' when the sheet has a proper header)")
 
+    pf = sub.add_parser("profile", help="rows, columns, null cells and duplicates per sheet")
+    pf.add_argument("--sheets", required=True, help="JSON file: sheet name -> path")
+    pf.add_argument("--format", default="csv", choices=["csv", "parquet"])
+
     rp = sub.add_parser("report", help="run reports on a stored fact table")
     rp.add_argument("name", help="report name or 'all'")
     rp.add_argument("--fact", required=True)
@@ -105,6 +110,12 @@ def main(argv=None) -> int:
                            round_money_cols=not args.no_round)
         validate(fact, mode="fail")
         write_sales_table(fact, args.out)
+    elif args.cmd == "profile":
+        from revlens.operators.quality import profile_sheets
+        from revlens.sources.sheets import load_sheets
+        with open(args.sheets) as fh:
+            catalog = json.load(fh)
+        profile_sheets(load_sheets(spark, catalog, fmt=args.format)).show(truncate=False)
     elif args.cmd == "report":
         from revlens.sources.sinks import read_sales_table
         sales = read_sales_table(spark, args.fact, start=args.start, end=args.end)

@@ -120,3 +120,19 @@ def validation_summary(df: DataFrame, schema: T.StructType = SALES_SCHEMA,
     long = _unpivot_one_row(counts, names, "violations", "check")
     parts = F.split("check", ":")
     return long.select(parts[0].alias("column"), parts[1].alias("rule"), "violations")
+
+
+def profile_sheets(sheets: Mapping[str, DataFrame]) -> DataFrame:
+    """Q1-Q3 for a whole workbook: (sheet, n_rows, n_cols, null_cells,
+    duplicate_rows) — the notebook's first look at its sheets, one row per
+    sheet, each computed by distributed aggregations."""
+    parts = []
+    for name, df in sheets.items():
+        nulls = reduce(lambda a, b: a + b,
+                       [F.count_if(_is_missing(df, c)) for c in df.columns], F.lit(0))
+        stats = df.agg(F.count(F.lit(1)).alias("n_rows"), nulls.cast("long").alias("null_cells"))
+        dups = duplicate_rows(df).scalar()           # scalar subquery, stays lazy
+        parts.append(stats.select(F.lit(name).alias("sheet"), "n_rows",
+                                  F.lit(len(df.columns)).cast("long").alias("n_cols"),
+                                  "null_cells", dups.alias("duplicate_rows")))
+    return reduce(DataFrame.unionByName, parts)

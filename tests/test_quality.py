@@ -6,8 +6,9 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 
 from revlens.operators.features import add_features
-from revlens.operators.quality import (duplicate_rows, null_counts, profile_shape,
-                                       schema_summary, validate, validation_summary)
+from revlens.operators.quality import (duplicate_rows, null_counts, profile_sheets,
+                                       profile_shape, schema_summary, validate,
+                                       validation_summary)
 from revlens.sources.sinks import write_csv
 from revlens.sources.tables import sales_fact
 
@@ -67,3 +68,11 @@ def test_incremental_load_exactly_once(spark, scratch, sf_dir):
     assert spark.read.parquet(table).count() == 40
     loaded = spark.read.parquet(table).first()
     assert loaded.revenue is not None and isinstance(loaded.revenue, Decimal)
+
+
+def test_profile_sheets(spark):
+    a = spark.createDataFrame([(1, "x"), (1, "x"), (2, None)], "k int, v string")
+    b = spark.createDataFrame([(1.0,), (float("nan"),)], "x double")
+    got = {r.sheet: (r.n_rows, r.n_cols, r.null_cells, r.duplicate_rows)
+           for r in profile_sheets({"A": a, "B": b}).collect()}
+    assert got == {"A": (3, 2, 1, 1), "B": (2, 1, 1, 0)}
