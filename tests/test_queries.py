@@ -65,3 +65,14 @@ def test_partition_count_invariance(spark, sf_dir):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert before == after
+
+
+SPARK_TO_DUCK = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE"}
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_column_types_match_oracle(spark, sf_dir, duck, name):
+    rel = duck.sql(ORACLES[name])
+    duck_types = dict(zip(rel.columns, [str(t) for t in rel.types]))
+    for col, dtype in QUERIES[name](spark, sf_dir).dtypes:
+        assert duck_types.get(col) == SPARK_TO_DUCK.get(dtype, dtype), (col, dtype)
