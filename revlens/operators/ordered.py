@@ -139,11 +139,20 @@ def with_ntile(df: DataFrame, n: int, order: Sequence, name: str = "ntile",
         .drop("_rn", "_cnt")
 
 
+def _key_order(key: str, desc: bool) -> Column:
+    return F.col(key).desc_nulls_last() if desc else F.col(key).asc_nulls_first()
+
+
 def _prefix_over_values(hist: DataFrame, key: str, desc: bool, value: str,
                         num_partitions: int | None) -> DataFrame:
     """Inclusive running sum of ``value`` over ``hist`` ordered by ``key``
     (one row per distinct key): adds ``_cum``."""
-    order = [F.col(key).desc_nulls_last() if desc else F.col(key).asc_nulls_first()]
+    return _prefix_over(hist, [_key_order(key, desc)], value, num_partitions)
+
+
+def _prefix_over(hist: DataFrame, order: Sequence[Column], value: str,
+                 num_partitions: int | None) -> DataFrame:
+    """Inclusive running sum of ``value`` over ``hist`` in ``order``: adds ``_cum``."""
     ranges = sorted_ranges(hist, order, num_partitions)
     offsets = _range_offsets(ranges, F.col(value))
     inside = Window.partitionBy("_rid").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
@@ -154,18 +163,42 @@ def _prefix_over_values(hist: DataFrame, key: str, desc: bool, value: str,
 
 def with_rank(df: DataFrame, key: str, desc: bool = True, name: str = "rank",
               num_partitions: int | None = None,
-              small_rows: int | None = SMALL_ORDERED_ROWS) -> DataFrame:
-    """``RANK() OVER (ORDER BY key [DESC])``, distributed (gaps after ties;
-    NULL lowest: last in DESC, first in ASC)."""
+              small_rows: int | None = SMALL_ORDERED_ROWS,
+              partition_by: str | None = None) -> DataFrame:
+    """``RANK() OVER ([PARTITION BY partition_by] ORDER BY key [DESC])``,
+    distributed (gaps after ties; NULL lowest: last in DESC, first in ASC).
+
+    With ``partition_by`` a group may be as large as a third of the input:
+    the rank is a prefix count over (group, key) in composite order minus the
+    rows of earlier groups, so no group is ordered inside one task."""
     if _is_small(df, small_rows):
-        order = F.col(key).desc_nulls_last() if desc else F.col(key).asc_nulls_first()
-        return df.withColumn(name, F.rank().over(Window.orderBy(order)))
+        window = Window.orderBy(_key_order(key, desc))
+        if partition_by is not None:
+            window = Window.partitionBy(partition_by).orderBy(_key_order(key, desc))
+        return df.withColumn(name, F.rank().over(window))
+    if partition_by is not None:
+        return _partitioned_rank(df, partition_by, key, desc, name, num_partitions)
     hist = df.groupBy(key).agg(F.count(F.lit(1)).alias("_c"))
     ranked = _prefix_over_values(hist, key, desc, "_c", num_partitions) \
         .select(F.col(key).alias("_k"), (F.col("_cum") - F.col("_c") + 1).cast("int").alias(name))
     return df.join(ranked, df[key].eqNullSafe(ranked["_k"]), "left").drop("_k")
 
 
+def _partitioned_rank(df: DataFrame, group: str, key: str, desc: bool, name: str,
+                      num_partitions: int | None) -> DataFrame:
+    hist = df.groupBy(group, key).agg(F.count(F.lit(1)).alias("_c"))
+    group_order = F.col(group).asc_nulls_first()
+    cum = _prefix_over(hist, [group_order, _key_order(key, desc)], "_c", num_partitions)
+    sizes = hist.groupBy(group).agg(F.sum("_c").alias("_g"))
+    starts = _prefix_over(sizes, [group_order], "_g", num_partitions) \
+        .select(F.col(group).alias("_grp"), (F.col("_cum") - F.col("_g")).alias("_start"))
+    ranked = cum.join(starts, cum[group].eqNullSafe(starts["_grp"]), "left").select(
+        F.col(group).alias("_gk"), F.col(key).alias("_k"),
+        (F.col("_cum") - F.col("_c") - F.col("_start") + 1).cast("int").alias(name))
+    cond = df[group].eqNullSafe(ranked["_gk"]) & df[key].eqNullSafe(ranked["_k"])
+    return df.join(ranked, cond, "left").drop("_gk", "_k")
+
+
 def with_range_cumsum(df: DataFrame, key: str, value: str, desc: bool = True,
                       name: str = "cumulative", num_partitions: int | None = None,
                       small_rows: int | None = SMALL_ORDERED_ROWS) -> DataFrame:

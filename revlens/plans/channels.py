@@ -11,11 +11,12 @@ over raw rows would send every fact row to one partition for the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revlens.functions.semantics import (MILLION, THOUSAND, pct_label, scale_round,
                                          scale_round_dec, share_pct, snap_round)
+from revlens.operators.ordered import materialize, with_rank
 from revlens.plans.common import reads
 from revlens.plans.grains import by_channel_product, margin_mean
 
@@ -62,11 +63,12 @@ def channel_product_matrix_from(measures: DataFrame) -> DataFrame:
     per = measures.groupBy("Channel", "Product").agg(
         F.sum("_rev").alias("_rev"), F.sum("_profit").alias("_profit"),
         margin_mean().alias("_margin"))
-    in_channel = Window.partitionBy("Channel").orderBy(F.desc("_margin"))
+    # rank inside the channel; a channel may hold a large share of the catalogue
+    per = with_rank(materialize(per), "_margin", desc=True, name="_rank", partition_by="Channel")
     return per.select(
         "Channel", "Product",
         scale_round("_rev", THOUSAND, 1).alias("Revenue_K"),
         scale_round("_profit", THOUSAND, 1).alias("Profit_K"),
         snap_round("_margin", 2).alias("Avg_Margin_Pct"),
-        F.rank().over(in_channel).cast("long").alias("Margin_Rank_In_Channel"),
+        F.col("_rank").cast("long").alias("Margin_Rank_In_Channel"),
     ).orderBy("Channel", "Margin_Rank_In_Channel", "Product")

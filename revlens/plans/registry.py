@@ -76,6 +76,7 @@ OPERATORS: dict[str, Query] = {
     "a08_pivot": _oq.pivot_api,
     "a11_median": _oq.order_value_quartiles,
     "w03_global_rank": _oq.global_rank,
+    "w04_partitioned_rank": _oq.partitioned_rank,
     "w05_global_ntile": _oq.global_ntile,
     "w08c_range_cumsum": _oq.range_cumsum,
     "o02_topk": _oq.top_customers,

@@ -91,3 +91,16 @@ def test_small_and_distributed_paths_agree(spark):
     assert got["ntile"] == distributed["ntile"] and got["rank"] == distributed["rank"]
     assert got["cum"] == distributed["cum"]
     assert got["p"] == pytest.approx(distributed["p"], abs=1e-9)
+
+
+@pytest.mark.parametrize("desc", [True, False])
+def test_partitioned_rank_matches_window(spark, desc):
+    rows = ([("big", f"b{i}", i % 17) for i in range(600)]          # one large group
+            + [("small", f"s{i}", i % 5) for i in range(40)]
+            + [(None, f"n{i}", None if i % 3 == 0 else i) for i in range(30)])
+    df = spark.createDataFrame(rows, "g string, k string, v int")
+    got = with_rank(df, "v", desc=desc, name="r", num_partitions=5, small_rows=0,
+                    partition_by="g").select("k", "r")
+    order = F.col("v").desc_nulls_last() if desc else F.col("v").asc_nulls_first()
+    want = df.select("k", F.rank().over(Window.partitionBy("g").orderBy(order)).alias("r"))
+    assert sorted(got.collect()) == sorted(want.collect())
