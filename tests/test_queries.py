@@ -76,3 +76,21 @@ def test_column_types_match_oracle(spark, sf_dir, duck, name):
     duck_types = dict(zip(rel.columns, [str(t) for t in rel.types]))
     for col, dtype in QUERIES[name](spark, sf_dir).dtypes:
         assert duck_types.get(col) == SPARK_TO_DUCK.get(dtype, dtype), (col, dtype)
+
+
+@pytest.mark.parametrize("name", ["b07_customer_ranking", "b10_rfm_segmentation",
+                                  "w04_partitioned_rank", "j_star_enrich"])
+def test_queries_hold_under_other_session_settings(spark, sf_dir, duck, name):
+    """The driver's session may differ: ANSI off, AQE off, many partitions."""
+    saved = {k: spark.conf.get(k) for k in ("spark.sql.ansi.enabled",
+                                            "spark.sql.adaptive.enabled",
+                                            "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    try:
+        ok, msg = compare(QUERIES[name](spark, sf_dir), duck.sql(ORACLES[name]))
+    finally:
+        for k, v in saved.items():
+            spark.conf.set(k, v)
+    assert ok, msg
