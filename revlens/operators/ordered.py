@@ -17,7 +17,10 @@ computed by a tiny window and broadcast back.
 
 * row number / NTILE (G1): offset + position, then NTILE arithmetic.
 * RANK (G2): histogram of distinct values (partial aggregation, so a hot
-  value costs one row per task), exclusive prefix count, join back.
+  value costs one row per task), exclusive prefix count, join back.  With
+  ``partition_by`` the prefix runs over (group, value) in composite order and
+  the rows of earlier groups are subtracted, so a group holding a third of
+  the input is still spread over many tasks.
 * RANGE cumulative sum (W8c): histogram with sums, inclusive prefix, join back.
 * percentile_cont (G3): histogram prefix counts locate the two order
   statistics; the answer is a one-row DataFrame (use ``.scalar()``).
