@@ -90,9 +90,21 @@ def pct_label(c, suffix: str) -> Column:
     return F.concat_ws("", num_text(c), F.lit(suffix))
 
 
+# English month names, January first.
+MONTH_NAMES = ("January", "February", "March", "April", "May", "June", "July", "August",
+               "September", "October", "November", "December")
+
+
+def month_name_of(month_no) -> Column:
+    """Full English month name of a month number 1-12 (locale independent)."""
+    return F.element_at(F.array(*[F.lit(m) for m in MONTH_NAMES]), _col(month_no))
+
+
 def month_name(d) -> Column:
-    """full English month name (``date_format 'MMMM'``, not ``monthname``)."""
-    return F.date_format(_col(d), "MMMM")
+    """full English month name of a date.  Spark's ``monthname`` gives
+    'Feb' and ``date_format(d, 'MMMM')`` follows the JVM locale; a fixed
+    name list indexed by the month number is neither."""
+    return month_name_of(F.month(_col(d)))
 
 
 def month_boundaries(start, end) -> Column:

@@ -14,15 +14,15 @@ from typing import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from revlens.functions.semantics import (MILLION, pct_change, pct_label, scale_round,
-                                         scale_round_dec, snap_round)
+from revlens.functions.semantics import (MILLION, month_name_of, pct_change, pct_label,
+                                         scale_round, scale_round_dec, snap_round)
 from revlens.plans.common import reads
 from revlens.plans.grains import by_month
 
 
 def _month_name(month_col: str = "Month"):
     """Full English month name of a month number."""
-    return F.date_format(F.make_date(F.lit(2000), F.col(month_col), F.lit(1)), "MMMM")
+    return month_name_of(month_col)
 
 
 def _months(monthly: DataFrame) -> DataFrame:

@@ -157,3 +157,11 @@ def test_scale_round_is_exact_decimal(spark):
     df = spark.createDataFrame([(Decimal("1234549.99"),), (Decimal("1250000.00"),)], "x decimal(18,2)")
     got = [r.s for r in df.select(scale_round("x", "0.000001", 1).alias("s")).collect()]
     assert got == [1.2, 1.3]
+
+
+def test_month_name_is_english_and_locale_free(spark):
+    from revlens.functions.semantics import month_name
+    df = spark.createDataFrame([(date(2014, m, 3),) for m in range(1, 13)] + [(None,)], "d date")
+    got = [r.n for r in df.select(month_name("d").alias("n")).collect()]
+    assert got[:3] == ["January", "February", "March"] and got[11] == "December"
+    assert got[12] is None
