@@ -96,8 +96,12 @@ MONTH_NAMES = ("January", "February", "March", "April", "May", "June", "July", "
 
 
 def month_name_of(month_no) -> Column:
-    """Full English month name of a month number 1-12 (locale independent)."""
-    return F.element_at(F.array(*[F.lit(m) for m in MONTH_NAMES]), _col(month_no))
+    """Full English month name of a month number 1-12 (locale independent).
+
+    The NULL guard is explicit: ``element_at`` with a NULL index was seen to
+    return a value here instead of NULL."""
+    m = _col(month_no)
+    return F.when(m.isNotNull(), F.element_at(F.array(*[F.lit(n) for n in MONTH_NAMES]), m))
 
 
 def month_name(d) -> Column:
