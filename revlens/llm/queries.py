@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revlens.llm import chat, exact_dedup, sharding
+from revlens.llm import chat, exact_dedup, line_dedup, sharding
 from revlens.llm.common import table
 
 SHARDS = 24
@@ -21,6 +21,14 @@ def sharding_query(spark: SparkSession, sf_dir: str) -> DataFrame:
         "shard", "slot", "grown_shard")
 
 
+def line_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with later repeats of 50 words and more in whole lines
+    deleted; ``text`` is what stays."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs).select(
+        "doc_id", "text", F.col("_removed").alias("removed_lines"))
+
+
 def exact_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal texts over all documents."""
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).select(
@@ -53,6 +61,7 @@ def chat_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_sharding": sharding_query,
+    "op3_line_dedup": line_dedup_query,
     "op4_exact_dedup": exact_dedup_query,
     "op7_chat_formatting": chat_query,
 }

@@ -62,6 +62,47 @@ SELECT doc_id, size, text_crc32, 'key' AS law, shard,
 FROM placed
 """
 
+LINE_DEDUP = """
+WITH parts AS (
+  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line,
+         generate_subscripts(string_split(text, chr(10)), 1) AS pos
+  FROM documents
+), lines AS (
+  SELECT doc_id, pos, line, length(trim(line)) - length(replace(trim(line), ' ', '')) + 1 AS words,
+         row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS idx,
+  FROM parts WHERE trim(line) <> ''
+), summed AS (
+  SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY pos) - words AS before FROM lines
+), windows AS (
+  SELECT doc_id, idx, string_agg(line, chr(10)) OVER stretch AS content,
+         sum(words) OVER stretch AS held
+  FROM summed WINDOW stretch AS (PARTITION BY doc_id ORDER BY before
+                                 RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)
+), sources AS (
+  SELECT doc_id, idx, first_value(doc_id) OVER same AS sid, first_value(idx) OVER same AS sidx
+  FROM windows WHERE held >= 50
+  WINDOW same AS (PARTITION BY content ORDER BY doc_id, idx)
+), diagonals AS (
+  SELECT DISTINCT doc_id, sid, idx - sidx AS diag FROM sources
+  WHERE doc_id <> sid OR idx <> sidx
+), equal_lines AS (
+  SELECT d.doc_id, d.sid, d.diag, a.pos, a.idx, a.words,
+         a.idx - row_number() OVER (PARTITION BY d.doc_id, d.sid, d.diag ORDER BY a.idx) AS run
+  FROM diagonals d JOIN lines a ON a.doc_id = d.doc_id
+  JOIN lines b ON b.doc_id = d.sid AND b.idx = a.idx - d.diag AND b.line = a.line
+), gone AS (
+  SELECT DISTINCT doc_id, pos FROM (
+    SELECT doc_id, pos, sum(words) OVER (PARTITION BY doc_id, sid, diag, run) AS held
+    FROM equal_lines) WHERE held >= 50
+), kept AS (
+  SELECT p.doc_id, string_agg(p.line, chr(10) ORDER BY p.pos) AS text
+  FROM parts p ANTI JOIN gone g ON g.doc_id = p.doc_id AND g.pos = p.pos GROUP BY p.doc_id
+), counted AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(k.text, '') END AS text,
+       coalesce(c.n, 0) AS removed_lines
+FROM documents d LEFT JOIN kept k USING (doc_id) LEFT JOIN counted c USING (doc_id)
+"""
+
 _ESCAPED = "replace({0}, '\\', '\\\\')"
 for _mark in ("<|", "<s>", "</s>", "<<SYS>>", "<</SYS>>", "[INST]", "[/INST]"):
     _ESCAPED = f"replace({_ESCAPED}, '{_mark}', '{_mark[0]}\\{_mark[1:]}')"
@@ -88,6 +129,7 @@ FROM texts
 
 ORACLES = {
     "op2_sharding": SHARDING,
+    "op3_line_dedup": LINE_DEDUP,
     "op4_exact_dedup": EXACT_DEDUP,
     "op7_chat_formatting": CHAT,
 }
