@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revlens.llm import chat, exact_dedup, line_dedup, sharding
+from revlens.llm import chat, exact_dedup, line_dedup, secrets, sharding
 from revlens.llm.common import table
 
 SHARDS = 24
@@ -36,6 +36,19 @@ def exact_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("digest").alias("text_sha256"))
 
 
+def secrets_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents: the base patterns' spans and the random
+    strings found by Markov models trained on the same corpus."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = secrets.train(secrets.labelled_samples(docs))
+    found = secrets.scan(docs, model)
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long")
+              .alias(f"n_{name}") for k, name in enumerate(secrets.KINDS[:3])]
+    return found.select(F.col("id").alias("doc_id"), *counts,
+                        F.sha2(secrets.span_list(F.col("base")), 256).alias("base_sha256"),
+                        secrets.span_list(F.col("spans")).alias("spans"))
+
+
 def chat_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and one whose texts hold control strings, formatted
     and read back from the output."""
@@ -63,5 +76,6 @@ QUERIES = {
     "op2_sharding": sharding_query,
     "op3_line_dedup": line_dedup_query,
     "op4_exact_dedup": exact_dedup_query,
+    "op6_secret_scan": secrets_query,
     "op7_chat_formatting": chat_query,
 }
