@@ -42,8 +42,11 @@ def secrets_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = secrets.train(secrets.labelled_samples(docs))
     found = secrets.scan(docs, model)
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long")
-              .alias(f"n_{name}") for k, name in enumerate(secrets.KINDS[:3])]
+
+    def count_of(kind: int):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+
+    counts = [count_of(k).alias(f"n_{name}") for k, name in enumerate(secrets.KINDS[:3])]
     return found.select(F.col("id").alias("doc_id"), *counts,
                         F.sha2(secrets.span_list(F.col("base")), 256).alias("base_sha256"),
                         secrets.span_list(F.col("spans")).alias("spans"))
