@@ -28,3 +28,14 @@ def md5_fraction(key: Column) -> Column:
     """A uniform draw in (0, 1) from the first 48 bits of the key's MD5."""
     bits = F.conv(F.substring(F.md5(key), 1, 12), 16, 10).cast("double")
     return (bits + 0.5) / float(2 ** 48)
+
+
+def spread_lookup(rows: DataFrame, keys: list[str], answers: DataFrame, spread_by: str,
+                  salts: int = 256) -> DataFrame:
+    """``rows`` joined to their one row of ``answers`` per key, with a key that
+    holds a large part of the rows spread over ``salts`` tasks: the answers go
+    to the distinct (salt, key), at most ``salts`` a key, and these to the
+    rows."""
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
+    met = salted.select("_salt", *keys).distinct().join(answers, keys)
+    return salted.join(met, ["_salt", *keys]).drop("_salt")

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revlens.llm import chat, exact_dedup, line_dedup, secrets, sharding
+from revlens.llm import chat, exact_dedup, line_dedup, near_dup, secrets, sharding
 from revlens.llm.common import table
 
 SHARDS = 24
@@ -36,6 +36,12 @@ def exact_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("digest").alias("text_sha256"))
 
 
+def near_dup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components over all documents."""
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
 def secrets_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in all documents: the base patterns' spans and the random
     strings found by Markov models trained on the same corpus."""
@@ -79,6 +85,7 @@ QUERIES = {
     "op2_sharding": sharding_query,
     "op3_line_dedup": line_dedup_query,
     "op4_exact_dedup": exact_dedup_query,
+    "op5_minhash_near_dup": near_dup_query,
     "op6_secret_scan": secrets_query,
     "op7_chat_formatting": chat_query,
 }
