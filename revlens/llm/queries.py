@@ -7,7 +7,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revlens.llm import chat, exact_dedup, line_dedup, near_dup, secrets, sharding
+from revlens.llm import (chat, decontaminate, exact_dedup, line_dedup, near_dup, secrets,
+                         sharding)
 from revlens.llm.common import table
 
 SHARDS = 24
@@ -81,6 +82,15 @@ def chat_query(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def decontamination_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All benchmark items against all documents: the pairs found."""
+    return decontaminate.contaminations(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(
+        F.col("id").alias("doc_id"), F.col("item").alias("item_id"),
+        F.round("score", 6).alias("score"), F.round("question_overlap", 6).alias("question_overlap"),
+        F.round("answer_overlap", 6).alias("answer_overlap"))
+
+
 QUERIES = {
     "op2_sharding": sharding_query,
     "op3_line_dedup": line_dedup_query,
@@ -88,4 +98,5 @@ QUERIES = {
     "op5_minhash_near_dup": near_dup_query,
     "op6_secret_scan": secrets_query,
     "op7_chat_formatting": chat_query,
+    "op10_decontamination": decontamination_query,
 }

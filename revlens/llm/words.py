@@ -10,6 +10,7 @@ list; only a single word longer than a block makes a larger one.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -59,20 +60,32 @@ def _hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(out)
 
 
-def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and bounds: text i has the words from
-    ``bounds[i]`` to ``bounds[i + 1]``."""
+@dataclass(frozen=True)
+class Words:
+    """Words of some texts: text i has the words from ``bounds[i]`` to
+    ``bounds[i + 1]``; ``begins[i]`` is its first byte in ``data``."""
+    data: np.ndarray
+    begins: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    hashes: np.ndarray
+    bounds: np.ndarray
+
+
+def split_words(texts: list[bytes]) -> Words:
     data = np.frombuffer(b"\n".join([*texts, b""]), dtype=np.uint8)
-    if not len(data):
-        return np.empty(0, dtype=np.uint64), np.zeros(len(texts) + 1, dtype=np.int64)
-    space = _IS_SPACE[data]
-    inside = ~space
-    starts = np.flatnonzero(inside[1:] & space[:-1]) + 1
-    if inside[0]:
-        starts = np.concatenate([[0], starts])
-    ends = np.flatnonzero(space[1:] & inside[:-1]) + 1
     begins = np.cumsum([0, *[len(t) + 1 for t in texts]])
-    return _hash_spans(data, starts, ends), np.searchsorted(starts, begins)
+    space = np.concatenate([[True], _IS_SPACE[data], [True]])
+    starts = np.flatnonzero(~space[1:-1] & space[:-2])
+    ends = np.flatnonzero(~space[1:-1] & space[2:]) + 1
+    return Words(data, begins, starts, ends, _hash_spans(data, starts, ends),
+                 np.searchsorted(starts, begins))
+
+
+def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in order, and the bounds of the texts."""
+    words = split_words(texts)
+    return words.hashes, words.bounds
 
 
 def word_hash(word: str) -> int:
