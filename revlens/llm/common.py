@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revlens.session import ensure_checkpoint_dir
 
+PACKAGE = Path(__file__).resolve().parent.parent
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -19,6 +25,25 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the session's Python workers this package, once; they import the
+    functions that operators send them, wherever the driver was started."""
+    sc = spark.sparkContext
+    if getattr(sc, "_revlens_shipped", False) or not PACKAGE.is_dir():
+        return
+    archive = Path(tempfile.mkdtemp(prefix="revlens-")) / "revlens.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(PACKAGE.rglob("*.py")):
+            out.write(source, source.relative_to(PACKAGE.parent))
+    sc.addPyFile(str(archive))
+    sc._revlens_shipped = True
+
+
+def arrow_map(df: DataFrame, function, schema: str) -> DataFrame:
+    ship_package(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
 def text_of(column: str) -> Column:
     """The text as a string, null as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

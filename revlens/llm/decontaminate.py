@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from revlens.llm.common import checkpointed
+from revlens.llm.common import arrow_map, checkpointed
 from revlens.llm.words import document_chunks, hashed_words, shingles
 
 K1, B = 1.2, 0.75
@@ -278,8 +278,8 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
                               F.col(question_col).cast("string").alias("question"),
                               answer.alias("answer"))
     item_type = source.schema["item"].dataType.simpleString()
-    items = checkpointed(source.mapInArrow(
-        _item_words, f"item {item_type}, question array<long>, answer array<long>")
+    items = checkpointed(arrow_map(
+        source, _item_words, f"item {item_type}, question array<long>, answer array<long>")
         .withColumn("words", F.concat("question", "answer")).filter(F.size("words") > 0))
     total = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("words")), F.lit(0)),
                       F.coalesce(F.max(F.size("words")), F.lit(0))).first()
@@ -306,7 +306,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
         index = build_index(rows, counts, n, all_words / n, window)
         shared = docs.sparkSession.sparkContext.broadcast(index)
         item_kind = to_arrow_type(items.schema["item"].dataType)
-        hits = texts.mapInArrow(_searcher(shared, item_kind, threshold, overlap), schema)
+        hits = arrow_map(texts, _searcher(shared, item_kind, threshold, overlap), schema)
         found = hits if found is None else found.unionByName(hits)
     return found
 

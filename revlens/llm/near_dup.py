@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from revlens.llm.common import checkpointed, spread_lookup
+from revlens.llm.common import arrow_map, checkpointed, spread_lookup
 from revlens.llm.components import component_roots
 from revlens.llm.words import document_chunks, mix, shingle_sets
 
@@ -148,8 +148,8 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
 
     sized = pairs.join(side("a", "n", "sig"), "a").join(side("b", "n", "sig"), "b") \
         .filter(_sizes_allow(F.col("n_a"), F.col("n_b")))
-    likely = checkpointed(sized.select("a", "b", "sig_a", "sig_b")
-                          .mapInArrow(_prune, "a long, b long"))
+    likely = checkpointed(arrow_map(sized.select("a", "b", "sig_a", "sig_b"), _prune,
+                                    "a long, b long"))
     wanted = likely.select(F.col("a").alias("vid")).union(likely.select("b")).distinct() \
         .join(classes.select("vid", "id", "th"), "vid")
     texts = checkpointed(
@@ -163,9 +163,9 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     def text(name: str) -> DataFrame:
         return known.select(F.col("vid").alias(name), F.col("text").alias(f"text_{name}"))
 
-    return checkpointed(likely.join(text("a"), "a").join(text("b"), "b")
-                        .select("a", "b", "text_a", "text_b")
-                        .mapInArrow(_verify, "a long, b long"))
+    both = likely.join(text("a"), "a").join(text("b"), "b")
+    return checkpointed(arrow_map(both.select("a", "b", "text_a", "text_b"), _verify,
+                                  "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -182,8 +182,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     source = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"),
                          F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     id_type = source.schema["id"].dataType.simpleString()
-    rows = checkpointed(source.mapInArrow(
-        _signatures, f"id {id_type}, th long, n long, key binary, sig binary"))
+    rows = checkpointed(arrow_map(
+        source, _signatures, f"id {id_type}, th long, n long, key binary, sig binary"))
 
     best = F.min(F.struct(F.col("id").isNull().alias("unknown"), "id", "th")).alias("least")
     classes = rows.filter("n > 0").groupBy("key").agg(

@@ -44,7 +44,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the byte ranges from starts to ends; both ascend."""
     out = np.empty(len(starts), dtype=np.uint64)
     i = 0
     while i < len(starts):
@@ -78,7 +79,7 @@ def split_words(texts: list[bytes]) -> Words:
     space = np.concatenate([[True], _IS_SPACE[data], [True]])
     starts = np.flatnonzero(~space[1:-1] & space[:-2])
     ends = np.flatnonzero(~space[1:-1] & space[2:]) + 1
-    return Words(data, begins, starts, ends, _hash_spans(data, starts, ends),
+    return Words(data, begins, starts, ends, hash_spans(data, starts, ends),
                  np.searchsorted(starts, begins))
 
 
