@@ -39,7 +39,7 @@ def ship_package(spark: SparkSession) -> None:
     sc._revlens_shipped = True
 
 
-def arrow_map(df: DataFrame, function, schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, function, schema) -> DataFrame:
     ship_package(df.sparkSession)
     return df.mapInArrow(function, schema)
 

@@ -257,6 +257,48 @@ def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["item", "question", "answer"])
 
 
+@dataclass
+class _Items:
+    words: DataFrame
+    frequency: DataFrame
+    number: int
+    all_words: int
+    window: int
+    blocks: int
+
+    def index(self, block: int) -> Index:
+        """The items of one block; about index_words words, whatever the data."""
+        mine = self.words.filter(
+            F.pmod(F.xxhash64("words"), F.lit(self.blocks)) == block)
+        rows = [(r.item, np.array(r.question, dtype=np.int64).view(np.uint64),
+                 np.array(r.answer, dtype=np.int64).view(np.uint64))
+                for r in mine.select("item", "question", "answer")
+                .orderBy("item", "words").collect()]
+        known = mine.select(F.explode("words").alias("term")).distinct() \
+            .join(self.frequency, "term")
+        counts = {r.term & (2 ** 64 - 1): r.df for r in known.collect()}
+        return build_index(rows, counts, self.number, self.all_words / self.number, self.window)
+
+
+def _items(benchmark: DataFrame, item_col: str, question_col: str, answer_col: str | None,
+           index_words: int) -> _Items:
+    answer: Column = F.col(answer_col).cast("string") if answer_col else F.lit(None).cast("string")
+    source = benchmark.select(F.col(item_col).alias("item"),
+                              F.col(question_col).cast("string").alias("question"),
+                              answer.alias("answer"))
+    item_type = source.schema["item"].dataType.simpleString()
+    words = checkpointed(arrow_map(
+        source, _item_words, f"item {item_type}, question array<long>, answer array<long>")
+        .withColumn("words", F.concat("question", "answer")).filter(F.size("words") > 0))
+    number, all_words, longest = (int(x) for x in words.agg(
+        F.count(F.lit(1)), F.coalesce(F.sum(F.size("words")), F.lit(0)),
+        F.coalesce(F.max(F.size("words")), F.lit(0))).first())
+    frequency = words.select(F.explode(F.array_distinct("words")).alias("term")) \
+        .groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return _Items(words, frequency, number, all_words, 2 * max(LEAST_WINDOW // 2, longest),
+                  max(1, math.ceil(all_words / index_words)))
+
+
 def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                    text_col: str = "text", item_col: str = "item_id",
                    question_col: str = "text", answer_col: str | None = None,
@@ -271,42 +313,19 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     leaves its question to be cut.  Other columns are ignored.  Empty tables
     give an empty result.
     """
+    items = _items(benchmark, item_col, question_col, answer_col, index_words)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    id_type = texts.schema["id"].dataType.simpleString()
-    answer: Column = F.col(answer_col).cast("string") if answer_col else F.lit(None).cast("string")
-    source = benchmark.select(F.col(item_col).alias("item"),
-                              F.col(question_col).cast("string").alias("question"),
-                              answer.alias("answer"))
-    item_type = source.schema["item"].dataType.simpleString()
-    items = checkpointed(arrow_map(
-        source, _item_words, f"item {item_type}, question array<long>, answer array<long>")
-        .withColumn("words", F.concat("question", "answer")).filter(F.size("words") > 0))
-    total = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("words")), F.lit(0)),
-                      F.coalesce(F.max(F.size("words")), F.lit(0))).first()
-    n, all_words, longest = (int(x) for x in total)
-    schema = (f"id {id_type}, item {item_type}, score double, question_overlap double, "
+    item_kind = items.words.schema["item"].dataType
+    schema = (f"id {texts.schema['id'].dataType.simpleString()}, "
+              f"item {item_kind.simpleString()}, score double, question_overlap double, "
               "answer_overlap double")
-    if not n:
+    if not items.number:
         return docs.sparkSession.createDataFrame([], schema)
-    window = 2 * max(LEAST_WINDOW // 2, longest)
-    window += window % 2
-    blocks = max(1, math.ceil(all_words / index_words))
-    frequency = items.select(F.explode(F.array_distinct("words")).alias("term")) \
-        .groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    part = items.withColumn("block", F.pmod(F.xxhash64("words"), F.lit(blocks)))
     found = None
-    for block in range(blocks):
-        # about index_words words: the size of a block is set, not the data's
-        mine = part.filter(F.col("block") == block)
-        rows = [(r.item, np.array(r.question, dtype=np.int64).view(np.uint64),
-                 np.array(r.answer, dtype=np.int64).view(np.uint64))
-                for r in mine.select("item", "question", "answer").orderBy("item").collect()]
-        known = mine.select(F.explode("words").alias("term")).distinct().join(frequency, "term")
-        counts = {r.term & (2 ** 64 - 1): r.df for r in known.collect()}
-        index = build_index(rows, counts, n, all_words / n, window)
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-        item_kind = to_arrow_type(items.schema["item"].dataType)
-        hits = arrow_map(texts, _searcher(shared, item_kind, threshold, overlap), schema)
+    for block in range(items.blocks):
+        shared = docs.sparkSession.sparkContext.broadcast(items.index(block))
+        hits = arrow_map(texts, _searcher(shared, to_arrow_type(item_kind), threshold, overlap),
+                         schema)
         found = hits if found is None else found.unionByName(hits)
     return found
 
@@ -328,3 +347,28 @@ def _searcher(shared: Broadcast, item_kind: pa.DataType, threshold: float, overl
                 names=["id", "item", "score", "question_overlap", "answer_overlap"])
 
     return run
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
+                   item_col: str = "item_id", question_col: str = "text",
+                   answer_col: str | None = None, threshold: float = THRESHOLD,
+                   overlap: float = OVERLAP, index_words: int = INDEX_WORDS) -> DataFrame:
+    """The rows of ``docs``, all columns, that hold no item; one pass over the
+    documents a block of items, without a join."""
+    items = _items(benchmark, item_col, question_col, answer_col, index_words)
+    for block in range(items.blocks if items.number else 0):
+        shared = docs.sparkSession.sparkContext.broadcast(items.index(block))
+        docs = arrow_map(docs, _cleaner(shared, text_col, threshold, overlap), docs.schema)
+    return docs
+
+
+def _cleaner(shared: Broadcast, text_col: str, threshold: float, overlap: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            clean = np.ones(batch.num_rows, dtype=bool)
+            for first, chunk in document_chunks(batch, text_col):
+                for d, *_ in search(shared.value, chunk, threshold, overlap):
+                    clean[first + d] = False
+            yield batch.filter(pa.array(clean))
+
+    return run

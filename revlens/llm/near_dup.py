@@ -13,11 +13,22 @@
 4. Survivors are verified exactly, on their full shingle sets.
 
 Only connectivity is asked for, so pairs inside a bucket are not all formed.
-First every member of a bucket is paired with the bucket's first member.
-The links that hold are joined into components.  Then only buckets that still
-hold several components are left, and in these only pairs across components
-whose sizes allow a link: every link inside a bucket is either found or runs
-inside one component.
+
+* First every member of a bucket is paired with the bucket's first member, and
+  the links that hold are joined into components.
+* Buckets that still hold several components go on.  A member can only link to
+  another component when three quarters of its shingles occur in other
+  components; the shingles are counted, and members that fail this exact bound
+  are done.  In a large family of near copies these are the copies with many
+  edits of their own, and then those whose other neighbours are done.
+* Those left are paired with the bucket's most central member, the one with
+  the largest such share, which joins what belongs together; the bound is
+  applied again.
+* What is then left of a bucket is compared in pairs across components, as far
+  as the sizes allow a link.
+
+So every link inside a bucket is found, runs inside one component, or is ruled
+out by the bound.
 """
 
 from __future__ import annotations
@@ -39,6 +50,7 @@ SIMILARITY = 75      # per cent
 BANDS, ROWS = 48, 5
 BATCH = 48           # hashes compared between two looks at the posterior
 MISS = 1e-6
+CENTRAL_ROUNDS = 2   # how often open buckets are joined by their central member
 
 _ROW_BLOCK = 512
 
@@ -140,34 +152,78 @@ def _sizes_allow(n: Column, m: Column) -> Column:
     return F.least(n, m) * 100 >= F.greatest(n, m) * SIMILARITY
 
 
+def _texts(vids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """``vid`` and ``text`` of the classes named."""
+    wanted = vids.distinct().join(classes.select("vid", "id", "th"), "vid")
+    keys = wanted.select(F.col("id").alias("wid"), F.col("th").alias("wth"))
+    texts = docs.join(keys, F.col("id").eqNullSafe(F.col("wid")) & (F.col("th") == F.col("wth")),
+                      "left_semi") \
+        .groupBy(F.col("id").alias("tid"), F.col("th").alias("tth")) \
+        .agg(F.first("text").alias("text"))
+    return checkpointed(
+        wanted.join(texts, F.col("id").eqNullSafe(F.col("tid")) & (F.col("th") == F.col("tth")))
+        .select("vid", "text"))
+
+
 def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes that are similar: pruned, then verified."""
-    def side(name: str, *columns: str) -> DataFrame:
-        return classes.select(F.col("vid").alias(name),
-                              *[F.col(c).alias(f"{c}_{name}") for c in columns])
+    def side(table: DataFrame, name: str) -> DataFrame:
+        return table.select(F.col("vid").alias(name), *[
+            F.col(c).alias(f"{c}_{name}") for c in table.columns if c != "vid"])
 
-    sized = pairs.join(side("a", "n", "sig"), "a").join(side("b", "n", "sig"), "b") \
+    signed = classes.select("vid", "n", "sig")
+    sized = pairs.join(side(signed, "a"), "a").join(side(signed, "b"), "b") \
         .filter(_sizes_allow(F.col("n_a"), F.col("n_b")))
     likely = checkpointed(arrow_map(sized.select("a", "b", "sig_a", "sig_b"), _prune,
                                     "a long, b long"))
-    wanted = likely.select(F.col("a").alias("vid")).union(likely.select("b")).distinct() \
-        .join(classes.select("vid", "id", "th"), "vid")
-    texts = checkpointed(
-        docs.join(wanted.select("id", "th").withColumnsRenamed({"id": "wid", "th": "wth"}),
-                  F.col("id").eqNullSafe(F.col("wid")) & (F.col("th") == F.col("wth")), "left_semi")
-        .groupBy("id", "th").agg(F.first("text").alias("text")))
-    known = wanted.join(texts.withColumnsRenamed({"id": "tid", "th": "tth"}),
-                        F.col("id").eqNullSafe(F.col("tid")) & (F.col("th") == F.col("tth"))) \
-        .select("vid", "text")
-
-    def text(name: str) -> DataFrame:
-        return known.select(F.col("vid").alias(name), F.col("text").alias(f"text_{name}"))
-
-    both = likely.join(text("a"), "a").join(text("b"), "b")
+    texts = _texts(likely.select(F.col("a").alias("vid")).union(likely.select("b")), classes, docs)
+    both = likely.join(side(texts, "a"), "a").join(side(texts, "b"), "b")
     return checkpointed(arrow_map(both.select("a", "b", "text_a", "text_b"), _verify,
                                   "a long, b long"))
 
 
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for first, texts in document_chunks(batch, "text"):
+            sets = list(shingle_sets(texts, SHINGLE))
+            vids = batch.column("vid").slice(first, len(sets)).to_numpy()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(vids, [len(s) for s in sets])),
+                 pa.array(np.concatenate(sets).view(np.int64))], names=["vid", "shingle"])
+
+
+def _still_open(members: DataFrame) -> DataFrame:
+    """Members (bucket, vid, n, root) of buckets with several roots."""
+    open_buckets = members.groupBy("bucket").agg(
+        F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+    return members.join(open_buckets.select("bucket"), "bucket", "left_semi")
+
+
+def _may_link(members: DataFrame, held: DataFrame) -> DataFrame:
+    """Members that can have a link to another root, with ``share``, how much
+    of their shingles other roots have.  ``held``: vid, shingle."""
+    names = members.select("vid", "n", "root").distinct()
+    placed = held.join(names.select("vid", "root"), "vid")
+    foreign = placed.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")) \
+        .filter("low <> high").select("shingle")
+    shared = placed.join(foreign, "shingle").groupBy("vid").agg(F.count(F.lit(1)).alias("others"))
+    able = names.join(shared, "vid").filter(F.col("others") * 100 >= F.col("n") * SIMILARITY) \
+        .select("vid", (F.col("others") / F.col("n")).alias("share"))
+    return checkpointed(_still_open(members.join(able, "vid")))
+
+
+def _relabelled(members: DataFrame, roots: DataFrame) -> DataFrame:
+    return members.join(roots, F.col("vid") == F.col("node"), "left").select(
+        "bucket", "vid", "n", F.coalesce("root", "vid").alias("root"))
+
+
+def _star_pairs(members: DataFrame, first) -> DataFrame:
+    """Each member with its bucket's smallest member in the order ``first``."""
+    centers = members.groupBy("bucket").agg(F.min(F.struct(first, "vid"))["vid"].alias("center"))
+    return members.join(centers, "bucket").filter("vid <> center").select(
+        F.least("vid", "center").alias("a"), F.greatest("vid", "center").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``id``, ``n_shingles``, ``component_id``
     (the smallest id reachable over links) and ``kept`` (the id is that one).
@@ -196,27 +252,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = classes.select("vid", "n", "sig", F.explode(
         F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")) \
         .select("vid", "n", bucket.alias("bucket"))
-    centers = members.groupBy("bucket").agg(
-        F.min("vid").alias("center"), F.count(F.lit(1)).alias("size")) \
-        .filter("size > 1").drop("size")
-    shared = checkpointed(members.join(centers, "bucket"))
-    stars = shared.filter("vid <> center").select(
-        F.col("center").alias("a"), F.col("vid").alias("b")).distinct()
-    links = _links(stars, classes, source)
+    busy = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    shared = checkpointed(members.join(busy.select("bucket"), "bucket", "left_semi"))
+    links = _links(_star_pairs(shared, F.lit(0)), classes, source)
     roots = component_roots(links)
 
-    # buckets whose members are not all in one component yet
-    labelled = shared.join(roots, F.col("vid") == F.col("node"), "left").select(
-        "bucket", "vid", "n", "center", F.coalesce("root", "vid").alias("root"))
-    open_buckets = labelled.groupBy("bucket").agg(
-        F.min("root").alias("low"), F.max("root").alias("high")) \
-        .filter("low <> high").select("bucket")
-    still = checkpointed(labelled.filter("vid <> center").join(open_buckets, "bucket", "left_semi"))
-    x, y = still.alias("x"), still.alias("y")
+    left = checkpointed(_still_open(_relabelled(shared, roots)))
+    held = checkpointed(arrow_map(_texts(left.select("vid"), classes, source), _exploded,
+                                  "vid long, shingle long"))
+    for _ in range(CENTRAL_ROUNDS):
+        left = _may_link(left, held)
+        found = _links(_star_pairs(left, -F.col("share")), classes, source)
+        links = links.union(found)
+        roots = component_roots(links)
+        left = checkpointed(_still_open(_relabelled(left.select("bucket", "vid", "n"), roots)))
+    left = _may_link(_may_link(left, held).drop("share"), held)
+    x, y = left.alias("x"), left.alias("y")
     across = x.join(y, (F.col("x.bucket") == F.col("y.bucket"))
                     & (F.col("x.root") < F.col("y.root"))
                     & _sizes_allow(F.col("x.n"), F.col("y.n"))) \
-        .select(F.col("x.vid").alias("a"), F.col("y.vid").alias("b")).distinct()
+        .select(F.least("x.vid", "y.vid").alias("a"), F.greatest("x.vid", "y.vid").alias("b")) \
+        .distinct()
     late = _links(across, classes, source)
     if not late.isEmpty():
         roots = component_roots(links.union(late))

@@ -302,7 +302,32 @@ def train(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_i
     return trained.toPandas()
 
 
-def score(docs: DataFrame, scorer: pd.DataFrame, id_col: str = "doc_id", text_col: str = "text",
+class Scorer:
+    """The trained weights, ready to score texts; as large as the features of
+    the bounded sample."""
+
+    def __init__(self, trained: pd.DataFrame):
+        self.keep = np.unique(trained.loc[trained["bucket"] >= 0, "bucket"].to_numpy(np.int64))
+        self.table = np.zeros((len(HEADS), len(self.keep)))
+        self.bias = np.full(len(HEADS), -50.0)  # a head that was not trained rejects nothing
+        for head, bucket, weight in trained.itertuples(index=False):
+            if bucket < 0:
+                self.bias[head] = weight
+            else:
+                self.table[head, np.searchsorted(self.keep, bucket)] = weight
+
+    def probabilities(self, batch: pa.RecordBatch, text_col: str) -> np.ndarray:
+        chances = [np.empty((len(HEADS), 0))]
+        for _, texts in document_chunks(batch, text_col):
+            rows, columns = features(texts, self.keep)
+            sums = np.stack([self.bias[h] + np.bincount(
+                rows, weights=self.table[h][columns], minlength=len(texts))
+                for h in range(len(HEADS))])
+            chances.append(1 / (1 + np.exp(-np.clip(sums, -50, 50))))
+        return np.concatenate(chances, axis=1)
+
+
+def score(docs: DataFrame, trained: pd.DataFrame, id_col: str = "doc_id", text_col: str = "text",
           reject: float = REJECT) -> DataFrame:
     """One row per row of ``docs``: ``id``, ``low_quality``, ``toxic``
     (probabilities) and ``rejected``.
@@ -311,28 +336,11 @@ def score(docs: DataFrame, scorer: pd.DataFrame, id_col: str = "doc_id", text_co
     figures alone (all zero); it is not rejected for lack of words.  Repeated
     rows each give a row.  Other columns are ignored.  An empty table gives an
     empty result; a scorer without rows rejects nothing."""
-    scorer = scorer.sort_values(["head", "bucket"])
-    keep = np.unique(scorer.loc[scorer["bucket"] >= 0, "bucket"].to_numpy(np.int64))
-    table = np.zeros((len(HEADS), len(keep)))
-    bias = np.full(len(HEADS), -50.0)
-    for head, bucket, weight in scorer.itertuples(index=False):
-        if bucket < 0:
-            bias[head] = weight
-        else:
-            table[head, np.searchsorted(keep, bucket)] = weight
-    # at most the features of the bounded sample
-    shared = docs.sparkSession.sparkContext.broadcast((keep, table, bias))
+    shared = docs.sparkSession.sparkContext.broadcast(Scorer(trained))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep, table, bias = shared.value
         for batch in batches:
-            chances = [np.empty((len(HEADS), 0))]
-            for _, texts in document_chunks(batch, "text"):
-                rows, columns = features(texts, keep)
-                sums = np.stack([bias[h] + np.bincount(
-                    rows, weights=table[h][columns], minlength=len(texts)) for h in range(len(HEADS))])
-                chances.append(1 / (1 + np.exp(-np.clip(sums, -50, 50))))
-            low, toxic = np.concatenate(chances, axis=1)
+            low, toxic = shared.value.probabilities(batch, "text")
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array(low), pa.array(toxic),
                  pa.array((low >= reject) | (toxic >= reject))],
@@ -342,3 +350,17 @@ def score(docs: DataFrame, scorer: pd.DataFrame, id_col: str = "doc_id", text_co
     id_type = texts.schema["id"].dataType.simpleString()
     return arrow_map(texts, run, f"id {id_type}, low_quality double, toxic double, "
                      "rejected boolean")
+
+
+def accepted(docs: DataFrame, trained: pd.DataFrame, text_col: str = "text",
+             reject: float = REJECT) -> DataFrame:
+    """The rows of ``docs``, all columns, that the scorer does not reject; in
+    one pass, without a join."""
+    shared = docs.sparkSession.sparkContext.broadcast(Scorer(trained))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(
+                (shared.value.probabilities(batch, text_col) < reject).all(axis=0)))
+
+    return arrow_map(docs, run, docs.schema)

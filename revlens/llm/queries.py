@@ -7,13 +7,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revlens.llm import (chat, decontaminate, exact_dedup, line_dedup, near_dup, secrets,
-                         sharding)
+from revlens.llm import (chat, decontaminate, exact_dedup, licences, line_dedup, near_dup, pieces,
+                         quality, secrets, sharding)
 from revlens.llm.common import table
 
 SHARDS = 24
 
 
+def licence_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences and unknown licence sentences of all documents."""
+    found = licences.scan(table(spark, sf_dir, "documents"))
+    unknown = F.size(F.filter("sentences", lambda s: s == licences.UNKNOWN))
+    spans = F.transform("licences", lambda m: F.concat_ws(":", m["licence"], m["start"], m["end"]))
+    return found.select(
+        F.col("id").alias("doc_id"), F.array_join(F.array_distinct(
+            F.transform("licences", lambda m: m["licence"])), ",").alias("licences"),
+        F.size("sentences").cast("long").alias("n_sentences"),
+        unknown.cast("long").alias("n_unknown"), F.array_join(spans, ",").alias("spans"))
+
+
 def sharding_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards by the hash tree of 3 regions, 6 racks."""
     tree = sharding.uniform_tree(SHARDS)
@@ -82,6 +94,24 @@ def chat_query(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def pieces_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded, and decoded again."""
+    vocabulary = pieces.load()
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    both = pieces.decode(pieces.encode(docs, vocabulary), vocabulary)
+    return both.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids",
+                       F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+
+
+def quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored by a scorer trained on the same corpus."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    trained = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, trained).select(
+        F.col("id").alias("doc_id"), F.round("low_quality", 6).alias("low_quality"),
+        F.round("toxic", 6).alias("toxic"), "rejected")
+
+
 def decontamination_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All benchmark items against all documents: the pairs found."""
     return decontaminate.contaminations(
@@ -92,11 +122,14 @@ def decontamination_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_licence_scan": licence_query,
     "op2_sharding": sharding_query,
     "op3_line_dedup": line_dedup_query,
     "op4_exact_dedup": exact_dedup_query,
     "op5_minhash_near_dup": near_dup_query,
     "op6_secret_scan": secrets_query,
     "op7_chat_formatting": chat_query,
+    "op8_sentencepiece": pieces_query,
+    "op9_quality_classifier": quality_query,
     "op10_decontamination": decontamination_query,
 }

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from revlens.llm import queries as _q
 from revlens.llm import sql as _sql
 
 
 def queries():
-    return dict(_q.QUERIES)
+    return {**_q.QUERIES, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql():
