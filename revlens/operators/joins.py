@@ -13,8 +13,6 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_BOUND_CACHE: dict[tuple, bool] = {}
-
 
 class DuplicateKeyError(ValueError):
     """A lookup table has more than one row for some key (would fan out)."""
@@ -24,26 +22,6 @@ def _as_list(x) -> list[str]:
     return [x] if isinstance(x, str) else list(x)
 
 
-def has_at_most(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (reads ``max_rows + 1`` at most)."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int, cache_key=None) -> DataFrame:
-    """Broadcast hint only behind a proven size bound.
-
-    When ``df`` holds more than ``max_rows`` rows it is returned unchanged and
-    the planner/AQE chooses (sort-merge, or a runtime broadcast when small).
-    ``cache_key`` (e.g. the table path) avoids re-checking a static table."""
-    if cache_key is not None and (cache_key, max_rows) in _BOUND_CACHE:
-        small = _BOUND_CACHE[(cache_key, max_rows)]
-    else:
-        small = has_at_most(df, max_rows)
-        if cache_key is not None:
-            _BOUND_CACHE[(cache_key, max_rows)] = small
-    return F.broadcast(df) if small else df
-
-
 def duplicate_keys(dim: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys that occur more than once in ``dim`` with their multiplicity."""
     keys = _as_list(keys)
@@ -59,20 +37,23 @@ def check_unique(dim: DataFrame, keys: Sequence[str], name: str = "lookup") -> N
 
 
 def dedupe_first(dim: DataFrame, keys: Sequence[str], order_by: str) -> DataFrame:
-    """One row per key: the row with the smallest ``order_by``.
+    """One row per key: the row with the smallest ``order_by``, NULLs last,
+    ties by the other columns.
 
-    ``min_by`` is an aggregate with partial (map-side) combine, so a key that
-    repeats a billion times costs one row per partition in the shuffle."""
+    ``min`` of a struct is an aggregate with partial (map-side) combine, so a
+    key that repeats a billion times costs one row per partition in the
+    shuffle; the struct itself is never NULL, so no value is lost."""
     keys = _as_list(keys)
     rest = [c for c in dim.columns if c not in keys]
-    packed = F.min_by(F.struct(*[F.col(c) for c in rest]), F.col(order_by)).alias("_row")
+    order = [F.col(order_by).isNull().alias("_unknown"), F.col(order_by).alias("_order")]
+    packed = F.min(F.struct(*order, *[F.col(c) for c in rest])).alias("_row")
     return dim.groupBy(*keys).agg(packed).select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
 
 
 def lookup_join(fact: DataFrame, dim: DataFrame, left_on, right_on=None, *,
                 how: str = "left", on_duplicate: str = "error", order_by: str | None = None,
                 null_safe: bool = False, drop_right_keys: bool = False,
-                broadcast_max_rows: int | None = None, name: str = "lookup") -> DataFrame:
+                name: str = "lookup") -> DataFrame:
     """Left (by default) equi-join of a fact with a lookup table.
 
     * ``right_on=None`` joins on same-named keys and keeps one key column (J5).
@@ -99,8 +80,6 @@ def lookup_join(fact: DataFrame, dim: DataFrame, left_on, right_on=None, *,
     clash = (set(fact.columns) & set(dim.columns)) - shared_keys
     if clash:
         raise ValueError(f"{name}: ambiguous columns on both sides: {sorted(clash)}")
-    if broadcast_max_rows is not None:
-        dim = bounded_broadcast(dim, broadcast_max_rows)
 
     if right_on is None and not null_safe:
         return fact.join(dim, on=left_keys, how=how)

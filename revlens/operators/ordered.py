@@ -25,31 +25,19 @@ computed by a tiny window and broadcast back.
 * percentile_cont (G3): histogram prefix counts locate the two order
   statistics; the answer is a one-row DataFrame (use ``.scalar()``).
 
-Small inputs: every operator first checks whether its input holds at most
-``small_rows`` rows (``limit(small_rows + 1).count()``, cheap on a
-materialised input).  Below that proven bound the plain window function
-runs in one task — a handful of jobs fewer; above it the distributed form
-is used.  ``small_rows=0`` always takes the distributed form.
+There is one form, whatever the size of the input.  The range sample and the
+checkpoint each evaluate the input, so give a materialised one.
 """
 
 from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from revlens.session import ensure_checkpoint_dir
 
-# Inputs proven to hold at most this many rows are ordered in one task.
-SMALL_ORDERED_ROWS = 100_000
-
-
-def _is_small(df: DataFrame, small_rows: int | None) -> bool:
-    return bool(small_rows) and df.limit(small_rows + 1).count() <= small_rows
-
-
 def _order_exprs(order: Sequence) -> list[Column]:
     return [F.col(o) if isinstance(o, str) else o for o in order]
 
@@ -66,15 +54,8 @@ def sorted_ranges(df: DataFrame, order: Sequence, num_partitions: int | None = N
     ensure_checkpoint_dir(df.sparkSession)
     exprs = _order_exprs(order)
     k = _num_ranges(df, num_partitions)
-    # The range sample and the checkpoint are two jobs over the same input:
-    # keep it in the block cache between them (an optimisation only; the
-    # checkpoint is what cuts the lineage).
-    src = df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        laid_out = src.repartitionByRange(k, *exprs).sortWithinPartitions(*exprs) \
-            .checkpoint(eager=True)
-    finally:
-        src.unpersist()
+    laid_out = df.repartitionByRange(k, *exprs).sortWithinPartitions(*exprs) \
+        .checkpoint(eager=True)
     with_id = laid_out.withColumn("_mid", F.monotonically_increasing_id())
     return with_id.select(
         *[F.col(f"`{c}`") for c in laid_out.columns],
@@ -132,11 +113,8 @@ def ntile_from_row_number(rn: Column, total: Column, n: int) -> Column:
 
 
 def with_ntile(df: DataFrame, n: int, order: Sequence, name: str = "ntile",
-               num_partitions: int | None = None,
-               small_rows: int | None = SMALL_ORDERED_ROWS) -> DataFrame:
+               num_partitions: int | None = None) -> DataFrame:
     """G1: ``NTILE(n) OVER (ORDER BY order)``, distributed."""
-    if _is_small(df, small_rows):
-        return df.withColumn(name, F.ntile(n).over(Window.orderBy(*_order_exprs(order))))
     out = with_row_number(df, order, "_rn", num_partitions, keep_total="_cnt")
     return out.withColumn(name, ntile_from_row_number(F.col("_rn"), F.col("_cnt"), n)) \
         .drop("_rn", "_cnt")
@@ -166,7 +144,6 @@ def _prefix_over(hist: DataFrame, order: Sequence[Column], value: str,
 
 def with_rank(df: DataFrame, key: str, desc: bool = True, name: str = "rank",
               num_partitions: int | None = None,
-              small_rows: int | None = SMALL_ORDERED_ROWS,
               partition_by: str | None = None) -> DataFrame:
     """``RANK() OVER ([PARTITION BY partition_by] ORDER BY key [DESC])``,
     distributed (gaps after ties; NULL lowest: last in DESC, first in ASC).
@@ -174,11 +151,6 @@ def with_rank(df: DataFrame, key: str, desc: bool = True, name: str = "rank",
     With ``partition_by`` a group may be as large as a third of the input:
     the rank is a prefix count over (group, key) in composite order minus the
     rows of earlier groups, so no group is ordered inside one task."""
-    if _is_small(df, small_rows):
-        window = Window.orderBy(_key_order(key, desc))
-        if partition_by is not None:
-            window = Window.partitionBy(partition_by).orderBy(_key_order(key, desc))
-        return df.withColumn(name, F.rank().over(window))
     if partition_by is not None:
         return _partitioned_rank(df, partition_by, key, desc, name, num_partitions)
     hist = df.groupBy(key).agg(F.count(F.lit(1)).alias("_c"))
@@ -203,42 +175,46 @@ def _partitioned_rank(df: DataFrame, group: str, key: str, desc: bool, name: str
 
 
 def with_range_cumsum(df: DataFrame, key: str, value: str, desc: bool = True,
-                      name: str = "cumulative", num_partitions: int | None = None,
-                      small_rows: int | None = SMALL_ORDERED_ROWS) -> DataFrame:
+                      name: str = "cumulative", num_partitions: int | None = None) -> DataFrame:
     """``SUM(value) OVER (ORDER BY key [DESC])`` with the default RANGE
     frame — rows with equal keys share one cumulative value."""
-    if _is_small(df, small_rows):
-        order = F.col(key).desc_nulls_last() if desc else F.col(key).asc_nulls_first()
-        return df.withColumn(name, F.sum(value).over(Window.orderBy(order)))
     hist = df.groupBy(key).agg(F.sum(value).alias("_v"))
     cum = _prefix_over_values(hist, key, desc, "_v", num_partitions) \
         .select(F.col(key).alias("_k"), F.col("_cum").alias(name))
     return df.join(cum, df[key].eqNullSafe(cum["_k"]), "left").drop("_k")
 
 
-def percentile_cont(df: DataFrame, col: str, p: float = 0.5, name: str = "percentile",
-                    num_partitions: int | None = None,
-                    small_rows: int | None = SMALL_ORDERED_ROWS) -> DataFrame:
-    """Exact ``PERCENTILE_CONT(p)`` of ``col`` (NULLs ignored) as a one-row
-    DataFrame, with linear interpolation between the two order statistics."""
-    if not 0.0 <= p <= 1.0:
+def percentiles_cont(df: DataFrame, col: str, shares: Sequence[float],
+                     names: Sequence[str] | None = None,
+                     num_partitions: int | None = None) -> DataFrame:
+    """Exact ``PERCENTILE_CONT`` of ``col`` (NULLs ignored) for several
+    shares in one pass, as a one-row DataFrame, with linear interpolation
+    between the two order statistics of each."""
+    if any(not 0.0 <= p <= 1.0 for p in shares):
         raise ValueError("p must be in [0, 1]")
-    if _is_small(df, small_rows):
-        return df.agg(F.percentile(F.col(col).cast("double"), p).alias(name))
+    names = list(names or [f"p{i}" for i in range(len(shares))])
     hist = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_c"))
+    hist = materialize(hist)
     cum = _prefix_over_values(hist, col, False, "_c", num_partitions)
     total = hist.agg(F.sum("_c")).scalar()   # scalar subquery, runs once
-    pos = F.lit(p) * (F.col("_n") - 1)
-    located = (cum.withColumn("_n", total)
-               .withColumn("_lo", F.floor(pos)).withColumn("_hi", F.ceil(pos))
-               .withColumn("_frac", pos - F.floor(pos))
-               .withColumn("_start", F.col("_cum") - F.col("_c")))
-    # only the (at most two) rows holding the order statistics survive the filter
-    hit_lo = (F.col("_start") <= F.col("_lo")) & (F.col("_lo") < F.col("_cum"))
-    hit_hi = (F.col("_start") <= F.col("_hi")) & (F.col("_hi") < F.col("_cum"))
-    picked = located.filter(hit_lo | hit_hi).agg(
-        F.max(F.when(hit_lo, F.col(col))).cast("double").alias("_vlo"),
-        F.max(F.when(hit_hi, F.col(col))).cast("double").alias("_vhi"),
-        F.max("_frac").alias("_f"))
-    return picked.select(
-        (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_f")).alias(name))
+    located = cum.withColumn("_n", total).withColumn("_start", F.col("_cum") - F.col("_c"))
+
+    def value_at(rank: Column) -> Column:
+        hit = (F.col("_start") <= rank) & (rank < F.col("_cum"))
+        return F.max(F.when(hit, F.col(col))).cast("double")
+
+    aggs = []
+    for i, p in enumerate(shares):
+        pos = F.lit(p) * (F.col("_n") - 1)
+        aggs += [value_at(F.floor(pos)).alias(f"_lo{i}"), value_at(F.ceil(pos)).alias(f"_hi{i}"),
+                 F.max(pos - F.floor(pos)).alias(f"_f{i}")]
+    picked = located.agg(*aggs)
+    return picked.select(*[
+        (F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_f{i}")).alias(name)
+        for i, name in enumerate(names)])
+
+
+def percentile_cont(df: DataFrame, col: str, p: float = 0.5, name: str = "percentile",
+                    num_partitions: int | None = None) -> DataFrame:
+    """G3 for one share."""
+    return percentiles_cont(df, col, [p], [name], num_partitions)

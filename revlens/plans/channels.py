@@ -30,7 +30,8 @@ def channel_share(sales: DataFrame) -> DataFrame:
 
 
 def channel_share_from(measures: DataFrame) -> DataFrame:
-    per = measures.groupBy("Channel").agg(F.sum("_rev").alias("_rev"))
+    # read twice below, computed once
+    per = materialize(measures.groupBy("Channel").agg(F.sum("_rev").alias("_rev")))
     total = per.agg(scale_round_dec(F.sum("_rev"), MILLION, 1).cast("double")).scalar()
     rev = scale_round("_rev", MILLION, 1)
     share = snap_round(share_pct(rev, total), 2)

@@ -28,7 +28,7 @@ def state_region_revenue(sales: DataFrame) -> DataFrame:
 def state_region_revenue_from(measures: DataFrame) -> DataFrame:
     # totals per state and per region are aggregations joined back (partial
     # aggregation; a region holding most states is split by AQE's skew join)
-    per = measures.groupBy("state_name", "us_region").agg(F.sum("_rev").alias("_rev"))
+    per = materialize(measures.groupBy("state_name", "us_region").agg(F.sum("_rev").alias("_rev")))
     states = per.groupBy(F.col("state_name").alias("_s")).agg(F.sum("_rev").alias("_state_rev"))
     regions = per.groupBy(F.col("us_region").alias("_r")).agg(F.sum("_rev").alias("_region_rev"))
     joined = (per.join(states, per["state_name"].eqNullSafe(states["_s"]), "left")

@@ -18,13 +18,13 @@ from revlens.functions.semantics import (THOUSAND, day_diff, month_boundaries, s
 from revlens.operators.cleaning import preview, rename_simultaneous
 from revlens.operators.features import round_money
 from revlens.operators.joins import duplicate_keys, lookup_join, unmatched_counts
-from revlens.operators.ordered import (materialize, percentile_cont, with_ntile,
+from revlens.operators.ordered import (materialize, percentiles_cont, with_ntile,
                                        with_range_cumsum, with_rank)
 from revlens.operators.quality import (duplicate_rows, null_counts, profile_shape,
                                        schema_summary, validation_summary)
 from revlens.plans.orders import order_totals, order_value_bucket
 from revlens.plans.enrichment import clean_sales
-from revlens.plans.trend import DEFAULT_PIVOT_YEARS
+from revlens.plans.trend import DATA_PIVOT_YEARS
 from revlens.sources.tables import (derive_line_measures, read_table, sales_fact,
                                     sheets_from_tables)
 
@@ -180,17 +180,21 @@ def safe_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("Revenue_Per_Order"))
 
 
-def pivot_api(spark: SparkSession, sf_dir: str, years=DEFAULT_PIVOT_YEARS) -> DataFrame:
+def pivot_api(spark: SparkSession, sf_dir: str, years=DATA_PIVOT_YEARS) -> DataFrame:
     """A8 with ``GroupedData.pivot`` over an explicit year list (same result as B16)."""
     fact = sales_fact(spark, sf_dir, columns=("month_no", "order_month_name", "order_date",
                                               "revenue"))
     keyed = fact.select(F.col("month_no").alias("Month_Num"),
                         F.col("order_month_name").alias("Month"),
                         F.year("order_date").alias("_year"), "revenue")
-    grid = keyed.groupBy("Month_Num", "Month").pivot("_year", list(years)).agg(
-        F.sum("revenue").alias("_rev"))
-    totals = keyed.groupBy("Month_Num", "Month").agg(F.sum("revenue").alias("_all"))
-    joined = grid.join(totals, ["Month_Num", "Month"])   # twelve rows a side
+    # the fact is read once: a row per month and year feeds grid and totals
+    per = materialize(keyed.groupBy("Month_Num", "Month", "_year").agg(
+        F.sum("revenue").alias("_rev")))
+    grid = per.groupBy("Month_Num", "Month").pivot("_year", list(years)).agg(
+        F.sum("_rev").alias("_rev"))
+    totals = per.groupBy(F.col("Month_Num").alias("_m")).agg(F.sum("_rev").alias("_all"))
+    # a month a row; rows without a date are a group of their own
+    joined = grid.join(totals, grid["Month_Num"].eqNullSafe(totals["_m"])).drop("_m")
     return joined.select(
         F.col("Month_Num").cast("long").alias("Month_Num"), "Month",
         *[scale_round(F.coalesce(F.col(str(y)), F.lit(0)), "0.000001", 2).alias(f"{y}_M")
@@ -202,11 +206,10 @@ def order_value_quartiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact continuous quartiles of the order totals (one row)."""
     totals = materialize(order_totals(sales_fact(spark, sf_dir,
                                                  columns=("order_number", "revenue"))))
-    q = {p: snap_round(percentile_cont(totals, "total_purchase", p, small_rows=0).scalar(), 2)
-         for p in (0.25, 0.5, 0.75)}
-    return totals.agg(F.count(F.lit(1)).alias("Orders")).select(
-        "Orders", q[0.25].alias("P25_Order_Value"), q[0.5].alias("Median_Order_Value"),
-        q[0.75].alias("P75_Order_Value"))
+    names = ["P25_Order_Value", "Median_Order_Value", "P75_Order_Value"]
+    quartiles = percentiles_cont(totals, "total_purchase", (0.25, 0.5, 0.75), names)
+    orders = totals.agg(F.count(F.lit(1))).scalar()
+    return quartiles.select(orders.alias("Orders"), *[snap_round(n, 2).alias(n) for n in names])
 
 
 def _customer_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,13 +218,9 @@ def _customer_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
         scale_round_dec(F.sum("revenue"), THOUSAND, 2).alias("_rk"))
 
 
-# The queries below always take the distributed form (small_rows=0), so the
-# oracle check covers it whatever the data size.
-
 def global_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers ranked by revenue (distributed RANK, gaps after ties)."""
-    per = with_rank(materialize(_customer_revenue(spark, sf_dir)), "_rk", True, "Revenue_Rank",
-                    small_rows=0)
+    per = with_rank(materialize(_customer_revenue(spark, sf_dir)), "_rk", True, "Revenue_Rank")
     return per.select("Customer", F.col("_rk").cast("double").alias("Revenue_K"),
                       F.col("Revenue_Rank").cast("long").alias("Revenue_Rank"))
 
@@ -233,7 +232,7 @@ def partitioned_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     per = fact.groupBy(F.col("channel").alias("Channel"),
                        F.col("customer_name").alias("Customer")).agg(
         scale_round_dec(F.sum("revenue"), THOUSAND, 2).alias("_rk"))
-    per = with_rank(materialize(per), "_rk", True, "Rank_In_Channel", small_rows=0,
+    per = with_rank(materialize(per), "_rk", True, "Rank_In_Channel",
                     partition_by="Channel")
     return per.select("Channel", "Customer", F.col("_rk").cast("double").alias("Revenue_K"),
                       F.col("Rank_In_Channel").cast("long").alias("Rank_In_Channel"))
@@ -243,7 +242,7 @@ def global_ntile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Value decile of every order (distributed NTILE(10); ties by order number)."""
     totals = order_totals(sales_fact(spark, sf_dir, columns=("order_number", "revenue")))
     dec = with_ntile(totals, 10, [F.col("total_purchase").desc(), F.col("order_number").asc()],
-                     "Value_Decile", small_rows=0)
+                     "Value_Decile")
     return dec.select("order_number", F.col("total_purchase").cast("double").alias("Order_Total"),
                       F.col("Value_Decile").cast("long").alias("Value_Decile"))
 
@@ -252,7 +251,7 @@ def range_cumsum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running revenue over customers by descending revenue, RANGE frame
     (tied customers share one running total)."""
     per = with_range_cumsum(materialize(_customer_revenue(spark, sf_dir)), "_rk", "_rk", True,
-                            "_cum", small_rows=0)
+                            "_cum")
     return per.select("Customer", F.col("_rk").cast("double").alias("Revenue_K"),
                       F.col("_cum").cast("double").alias("Cumulative_K"))
 

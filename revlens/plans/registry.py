@@ -46,7 +46,8 @@ REPORTS: dict[str, Query] = {
     "b13_rolling_averages": _on_sales(trend.rolling_averages),
     "b14_channel_product_matrix": _on_sales(channels.channel_product_matrix),
     "b15_state_margin": _on_sales(geo.state_margin),
-    "b16_month_year_pivot": _on_sales(trend.month_year_pivot),
+    "b16_month_year_pivot": _on_sales(trend.month_year_pivot,
+                                     years=trend.DATA_PIVOT_YEARS),
     "b17_cost_efficiency": _on_sales(products.cost_efficiency),
     "b18_abc_pareto": _on_sales(products.abc_pareto),
 }

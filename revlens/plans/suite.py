@@ -52,7 +52,8 @@ CATALOGUE: dict[str, tuple[tuple[str, ...], Builder]] = {
     "b14_channel_product_matrix": (("channel_product",), lambda g, r:
                                    channels.channel_product_matrix_from(g["channel_product"])),
     "b15_state_margin": (("state_region",), lambda g, r: geo.state_margin_from(g["state_region"])),
-    "b16_month_year_pivot": (("month",), lambda g, r: trend.month_year_pivot_from(g["month"])),
+    "b16_month_year_pivot": (("month",), lambda g, r: trend.month_year_pivot_from(
+        g["month"], trend.DATA_PIVOT_YEARS)),
     "b17_cost_efficiency": (("product_year",), lambda g, r:
                             products.cost_efficiency_from(g["product_year"])),
     "b18_abc_pareto": (("product_year",), lambda g, r: products.abc_pareto_from(g["product_year"])),

@@ -85,13 +85,13 @@ def rolling_averages_from(monthly: DataFrame, window: int = 3) -> DataFrame:
         mean_over(rolling).alias("Rolling_3M_Avg_M")).orderBy("Year", "Month")
 
 
-# The reference pivots the years 2014-2017; this data spans 1995-2001.
+# The reference pivots the years 2014-2017; the test data spans 1995-2001.
 REFERENCE_PIVOT_YEARS = (2014, 2015, 2016, 2017)
-DEFAULT_PIVOT_YEARS = tuple(range(1995, 2002))
+DATA_PIVOT_YEARS = tuple(range(1995, 2002))
 
 
 @reads("order_date", "revenue")
-def month_year_pivot(sales: DataFrame, years: Sequence[int] = DEFAULT_PIVOT_YEARS) -> DataFrame:
+def month_year_pivot(sales: DataFrame, years: Sequence[int] = REFERENCE_PIVOT_YEARS) -> DataFrame:
     """Month x year revenue grid (millions, 2 dp).
 
     Conditional sums over an explicit year list (one pass, no extra job to
@@ -101,7 +101,7 @@ def month_year_pivot(sales: DataFrame, years: Sequence[int] = DEFAULT_PIVOT_YEAR
 
 
 def month_year_pivot_from(monthly: DataFrame,
-                          years: Sequence[int] = DEFAULT_PIVOT_YEARS) -> DataFrame:
+                          years: Sequence[int] = REFERENCE_PIVOT_YEARS) -> DataFrame:
     cells = [scale_round(F.sum(F.when(F.col("Year") == y, F.col("_rev")).otherwise(F.lit(0))),
                          MILLION, 2).alias(f"{y}_M") for y in years]
     return (monthly.groupBy(F.col("Month").alias("Month_Num"))

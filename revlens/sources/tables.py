@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from revlens.operators.cleaning import mask_outside_year
 from revlens.operators.features import add_features, calendar_features, round_money
-from revlens.operators.joins import bounded_broadcast, lookup_join
+from revlens.operators.joins import lookup_join
 from revlens.schema import SALES_COLUMNS, conform
 
 TABLE_NAMES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -37,9 +37,6 @@ TABLE_NAMES = ["region", "nation", "customer", "supplier", "part", "orders", "li
 BUDGET_YEAR = 2000          # the reference's budget year is 2017; this data spans 1995-2001
 BUDGET_MULTIPLIER = 1000
 COST_BASE = "0.55"          # unit cost factor = 0.55 + discount + tax
-# Upper bounds (rows) under which a small lookup is broadcast.
-GEO_BROADCAST_ROWS = 100_000
-BUDGET_BROADCAST_ROWS = 1_000_000
 
 
 def table_path(sf_dir: str, name: str) -> str:
@@ -54,7 +51,6 @@ def geography(spark: SparkSession, sf_dir: str) -> DataFrame:
     """nation + region: key, state code, state name, region name, lat, lon."""
     nation = read_table(spark, sf_dir, "nation")
     region = read_table(spark, sf_dir, "region")
-    region = bounded_broadcast(region, GEO_BROADCAST_ROWS, table_path(sf_dir, "region"))
     geo = lookup_join(nation, region, "n_regionkey", "r_regionkey", on_duplicate="trust",
                       name="region")
     return geo.select(
@@ -73,10 +69,7 @@ def product_lookup(spark: SparkSession, sf_dir: str, budget_year_only=True) -> D
         F.col("p_retailprice").cast("decimal(10,2)").alias("unit_price"))
     budgets = part.groupBy("product_name").agg(
         (F.sum("unit_price") * BUDGET_MULTIPLIER).cast("decimal(18,2)").alias("budget"))
-    # one row per product name: few keys, so a shuffle join would hash every
-    # part row into a handful of partitions; broadcast it behind a row check
-    budgets = bounded_broadcast(budgets, BUDGET_BROADCAST_ROWS,
-                                table_path(sf_dir, "part") + "#budgets")
+    # one row per product name; the runtime size decides how it is joined
     return lookup_join(part, budgets, "product_name", on_duplicate="trust", name="budgets")
 
 
@@ -85,9 +78,7 @@ def customer_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cust = read_table(spark, sf_dir, "customer").select(
         "c_custkey", F.col("c_name").alias("customer_name"),
         F.col("c_mktsegment").alias("channel"), "c_nationkey")
-    geo = bounded_broadcast(geography(spark, sf_dir), GEO_BROADCAST_ROWS,
-                            table_path(sf_dir, "nation") + "#geo")
-    return lookup_join(cust, geo, "c_nationkey", "geo_key", on_duplicate="trust",
+    return lookup_join(cust, geography(spark, sf_dir), "c_nationkey", "geo_key", on_duplicate="trust",
                        drop_right_keys=True, name="regions")
 
 
@@ -99,8 +90,6 @@ _NEEDS_CUSTOMERS = {"customer_name", "channel", "state", "state_name", "us_regio
 _NEEDS_PRODUCTS = {"product_name", "unit_price", "revenue", "cost", "budget", "total_cost",
                    "profit", "profit_margin_pct"}
 
-_FACT_PLANS: dict[tuple, tuple[SparkSession, DataFrame]] = {}
-
 
 def sales_fact(spark: SparkSession, sf_dir: str, *, budget_year: int = BUDGET_YEAR,
                round_money_cols: bool = False, columns=None) -> DataFrame:
@@ -109,15 +98,10 @@ def sales_fact(spark: SparkSession, sf_dir: str, *, budget_year: int = BUDGET_YE
     ``columns`` restricts the fact to the columns a report reads; lookups
     that contribute none of them are not joined at all (Catalyst cannot drop
     an outer join by itself: it does not know the lookup keys are unique).
-    Plans are memoised per session, so repeated reports skip plan building."""
+    The tables are listed anew at every call, so rows added since are seen."""
     wanted = tuple(SALES_COLUMNS) if columns is None else tuple(
         c for c in SALES_COLUMNS if c in set(columns))
-    key = (id(spark), sf_dir, budget_year, round_money_cols, wanted)
-    cached = _FACT_PLANS.get(key)
-    if cached is None or cached[0] is not spark:   # the entry pins its session object
-        cached = (spark, _build_fact(spark, sf_dir, budget_year, round_money_cols, set(wanted)))
-        _FACT_PLANS[key] = cached
-    return cached[1]
+    return _build_fact(spark, sf_dir, budget_year, round_money_cols, set(wanted))
 
 
 def _build_fact(spark, sf_dir, budget_year, round_money_cols, wanted) -> DataFrame:

@@ -20,14 +20,14 @@ def _frame(spark, n, distinct, seed):
 def test_ntile_matches_window(spark, n, buckets):
     df = _frame(spark, n, 20, n)
     order = [F.col("v").desc(), F.col("k").asc()]
-    got = with_ntile(df, buckets, order, "b", num_partitions=6, small_rows=0).select("k", "b")
+    got = with_ntile(df, buckets, order, "b", num_partitions=6).select("k", "b")
     want = df.select("k", F.ntile(buckets).over(Window.orderBy(*order)).alias("b"))
     assert sorted(got.collect()) == sorted(want.collect())
 
 
 def test_ntile_remainder_layout(spark):
     df = spark.createDataFrame([(i,) for i in range(7)], "v int")
-    got = [r.b for r in with_ntile(df, 5, ["v"], "b", num_partitions=3, small_rows=0)
+    got = [r.b for r in with_ntile(df, 5, ["v"], "b", num_partitions=3)
            .orderBy("v").collect()]
     assert got == [1, 1, 2, 2, 3, 4, 5]
 
@@ -43,7 +43,7 @@ def test_row_number_is_dense_and_ordered(spark):
 @pytest.mark.parametrize("desc", [True, False])
 def test_rank_matches_window_with_heavy_ties(spark, desc):
     df = _frame(spark, 800, 12, 11)
-    got = with_rank(df, "v", desc=desc, name="r", num_partitions=4, small_rows=0).select("k", "r")
+    got = with_rank(df, "v", desc=desc, name="r", num_partitions=4).select("k", "r")
     order = F.col("v").desc() if desc else F.col("v").asc()
     want = df.select("k", F.rank().over(Window.orderBy(order)).alias("r"))
     assert sorted(got.collect()) == sorted(want.collect())
@@ -51,8 +51,8 @@ def test_rank_matches_window_with_heavy_ties(spark, desc):
 
 def test_range_cumsum_matches_default_frame(spark):
     df = _frame(spark, 600, 30, 5)
-    got = with_range_cumsum(df, "v", "v", desc=True, name="c", num_partitions=4,
-                            small_rows=0).select("k", "c")
+    got = with_range_cumsum(df, "v", "v", desc=True, name="c", num_partitions=4) \
+        .select("k", "c")
     want = df.select("k", F.sum("v").over(Window.orderBy(F.desc("v"))).alias("c"))
     assert sorted(got.collect()) == sorted(want.collect())
 
@@ -60,7 +60,7 @@ def test_range_cumsum_matches_default_frame(spark):
 @pytest.mark.parametrize("p", [0.0, 0.25, 0.5, 0.9, 1.0])
 def test_percentile_cont_matches_builtin(spark, p):
     df = _frame(spark, 301, 1000, 7).union(_frame(spark, 4, 1000, 8))
-    got = percentile_cont(df, "v", p, num_partitions=4, small_rows=0).first()[0]
+    got = percentile_cont(df, "v", p, num_partitions=4).first()[0]
     want = df.agg(F.percentile("v", p)).first()[0]
     assert got == pytest.approx(want, abs=1e-9)
 
@@ -69,37 +69,18 @@ def test_hot_value_is_not_funnelled(spark):
     """A third of the rows share one value: the rank still equals the window."""
     rows = [(f"h{i}", 7) for i in range(300)] + [(f"c{i}", i) for i in range(600)]
     df = spark.createDataFrame(rows, "k string, v int")
-    got = with_rank(df, "v", name="r", num_partitions=8, small_rows=0).select("k", "r")
+    got = with_rank(df, "v", name="r", num_partitions=8).select("k", "r")
     want = df.select("k", F.rank().over(Window.orderBy(F.desc("v"))).alias("r"))
     assert sorted(got.collect()) == sorted(want.collect())
 
 
-def test_small_and_distributed_paths_agree(spark):
-    df = _frame(spark, 400, 15, 21)
-    order = [F.col("v").desc(), F.col("k").asc()]
-    for small in (0, 10_000):
-        got = {
-            "ntile": sorted(with_ntile(df, 7, order, "b", small_rows=small)
-                            .select("k", "b").collect()),
-            "rank": sorted(with_rank(df, "v", name="r", small_rows=small).select("k", "r").collect()),
-            "cum": sorted(with_range_cumsum(df, "v", "v", name="c", small_rows=small)
-                          .select("k", "c").collect()),
-            "p": percentile_cont(df, "v", 0.3, small_rows=small).first()[0],
-        }
-        if small == 0:
-            distributed = got
-    assert got["ntile"] == distributed["ntile"] and got["rank"] == distributed["rank"]
-    assert got["cum"] == distributed["cum"]
-    assert got["p"] == pytest.approx(distributed["p"], abs=1e-9)
-
-
 @pytest.mark.parametrize("desc", [True, False])
 def test_partitioned_rank_matches_window(spark, desc):
     rows = ([("big", f"b{i}", i % 17) for i in range(600)]          # one large group
             + [("small", f"s{i}", i % 5) for i in range(40)]
             + [(None, f"n{i}", None if i % 3 == 0 else i) for i in range(30)])
     df = spark.createDataFrame(rows, "g string, k string, v int")
-    got = with_rank(df, "v", desc=desc, name="r", num_partitions=5, small_rows=0,
+    got = with_rank(df, "v", desc=desc, name="r", num_partitions=5,
                     partition_by="g").select("k", "r")
     order = F.col("v").desc_nulls_last() if desc else F.col("v").asc_nulls_first()
     want = df.select("k", F.rank().over(Window.partitionBy("g").orderBy(order)).alias("r"))

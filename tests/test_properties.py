@@ -23,7 +23,8 @@ def test_order_buckets_count_every_order_once(spark, sf_dir):
 
 
 def test_pivot_cells_add_up_to_the_total(spark, sf_dir):
-    pivot = trend.month_year_pivot(sales_fact(spark, sf_dir)).collect()
+    pivot = trend.month_year_pivot(
+        sales_fact(spark, sf_dir), trend.DATA_PIVOT_YEARS).collect()
     for row in pivot:
         cells = [v for k, v in row.asDict().items() if k.endswith("_M") and k[0].isdigit()]
         assert abs(sum(cells) - row.All_Years_Total_M) <= 0.005 * len(cells) + 1e-9
@@ -69,10 +70,10 @@ values = st.lists(st.integers(min_value=-5, max_value=40), min_size=1, max_size=
 def test_generated_ntile_and_rank(spark, vals, buckets, parts):
     df = spark.createDataFrame([(f"k{i:04d}", v) for i, v in enumerate(vals)], "k string, v int")
     order = [F.col("v").desc(), F.col("k").asc()]
-    got = with_ntile(df, buckets, order, "b", num_partitions=parts, small_rows=0)
+    got = with_ntile(df, buckets, order, "b", num_partitions=parts)
     want = df.select("k", F.ntile(buckets).over(Window.orderBy(*order)).alias("b"))
     assert sorted(got.select("k", "b").collect()) == sorted(want.collect())
-    got_r = with_rank(df, "v", name="r", num_partitions=parts, small_rows=0)
+    got_r = with_rank(df, "v", name="r", num_partitions=parts)
     want_r = df.select("k", F.rank().over(Window.orderBy(F.desc("v"))).alias("r"))
     assert sorted(got_r.select("k", "r").collect()) == sorted(want_r.collect())
 
@@ -81,7 +82,7 @@ def test_generated_ntile_and_rank(spark, vals, buckets, parts):
 @given(vals=values, p=st.sampled_from([0.0, 0.1, 0.5, 0.77, 1.0]))
 def test_generated_percentile(spark, vals, p):
     df = spark.createDataFrame([(v,) for v in vals], "v int")
-    got = percentile_cont(df, "v", p, num_partitions=3, small_rows=0).first()[0]
+    got = percentile_cont(df, "v", p, num_partitions=3).first()[0]
     want = df.agg(F.percentile("v", p)).first()[0]
     assert got == pytest.approx(want, abs=1e-9)
 
