@@ -81,8 +81,13 @@ def share_pct(part, total) -> Column:
 
 
 def num_text(c) -> Column:
-    """number to text without a trailing ``.0`` (``5.0`` -> ``5``)."""
-    return F.regexp_replace(_col(c).cast("string"), r"\.0$", "")
+    """number to plain text, without trailing zeros (``5.0`` -> ``5``,
+    ``1.5e7`` -> ``15000000``).
+
+    The number goes through DECIMAL(28,10), so large values have no exponent;
+    all their digits are shown, where T-SQL's conversion of FLOAT keeps six."""
+    plain = _col(c).cast("decimal(28,10)").cast("string")
+    return F.regexp_replace(plain, r"\.?0+$", "")
 
 
 def pct_label(c, suffix: str) -> Column:
