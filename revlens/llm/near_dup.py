@@ -21,11 +21,10 @@ Only connectivity is asked for, so pairs inside a bucket are not all formed.
   components; the shingles are counted, and members that fail this exact bound
   are done.  In a large family of near copies these are the copies with many
   edits of their own, and then those whose other neighbours are done.
-* Those left are paired with the bucket's most central member, the one with
-  the largest such share, which joins what belongs together; the bound is
-  applied again.
-* What is then left of a bucket is compared in pairs across components, as far
-  as the sizes allow a link.
+* Those left are compared in their buckets, exactly, on the shingles that other
+  components have.  A bucket is cut into blocks of ``BLOCK`` members, a task
+  takes two blocks, and gives back only links that join components which
+  nothing before in the two blocks has joined: fewer links than members.
 
 So every link inside a bucket is found, runs inside one component, or is ruled
 out by the bound.
@@ -50,7 +49,7 @@ SIMILARITY = 75      # per cent
 BANDS, ROWS = 48, 5
 BATCH = 48           # hashes compared between two looks at the posterior
 MISS = 1e-6
-CENTRAL_ROUNDS = 2   # how often open buckets are joined by their central member
+BLOCK = 512          # members of a bucket that a task compares with as many
 
 _ROW_BLOCK = 512
 
@@ -200,16 +199,97 @@ def _still_open(members: DataFrame) -> DataFrame:
 
 
 def _may_link(members: DataFrame, held: DataFrame) -> DataFrame:
-    """Members that can have a link to another root, with ``share``, how much
-    of their shingles other roots have.  ``held``: vid, shingle."""
+    """Members that can have a link to another root, with ``others``, those of
+    their shingles that other roots have.  ``held``: vid, shingle."""
     names = members.select("vid", "n", "root").distinct()
     placed = held.join(names.select("vid", "root"), "vid")
     foreign = placed.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")) \
         .filter("low <> high").select("shingle")
-    shared = placed.join(foreign, "shingle").groupBy("vid").agg(F.count(F.lit(1)).alias("others"))
-    able = names.join(shared, "vid").filter(F.col("others") * 100 >= F.col("n") * SIMILARITY) \
-        .select("vid", (F.col("others") / F.col("n")).alias("share"))
-    return checkpointed(_still_open(members.join(able, "vid")))
+    shared = placed.join(foreign, "shingle").groupBy("vid").agg(
+        F.collect_list("shingle").alias("others"))
+    able = names.join(shared, "vid").filter(F.size("others") * 100 >= F.col("n") * SIMILARITY)
+    return checkpointed(_still_open(members.join(able.select("vid", "others"), "vid")))
+
+
+def _cells(members: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Members in the cells of their buckets: a bucket of one block is one
+    cell, one of more blocks has a cell for each two."""
+    blocks = members.groupBy("bucket").agg(
+        F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("vid"), F.col("blocks")).cast("int")
+    return members.join(blocks, "bucket").withColumn("own", own).select(
+        "bucket", "vid", "n", "root", "others", "own",
+        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")) \
+        .select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+                "vid", "n", "root", "others")
+
+
+def joining_links(vids: list[int], sizes: np.ndarray, roots: list[int],
+                  sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links between different roots, only as many as join them all: a link
+    is left out when the ones before it connect its ends' roots."""
+    k = len(vids)
+    values, columns, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rows = np.repeat(np.arange(k), [len(s) for s in sets])
+    often = seen > 1
+    place = np.cumsum(often) - 1
+    inside = often[columns]
+    rows, columns = rows[inside], place[columns[inside]]
+    common = np.zeros((k, k), dtype=np.float32)
+    order = np.argsort(columns, kind="stable")
+    rows, columns = rows[order], columns[order]
+    width = 2048
+    for first in range(0, int(often.sum()), width):
+        lo, hi = np.searchsorted(columns, [first, first + width])
+        part = np.zeros((k, width), dtype=np.float32)
+        part[rows[lo:hi], columns[lo:hi] - first] = 1.0
+        common += part @ part.T
+    both = common.astype(np.int64)
+    similar = 100 * both >= SIMILARITY * (sizes[:, None] + sizes[None, :] - both)
+    names = np.array(roots)
+    similar &= names[:, None] != names[None, :]
+    parent = {r: r for r in roots}
+
+    def top(r: int) -> int:
+        while parent[r] != r:
+            parent[r] = parent[parent[r]]
+            r = parent[r]
+        return r
+
+    out = []
+    for x, y in zip(*np.nonzero(np.triu(similar, 1))):
+        a, b = top(roots[x]), top(roots[y])
+        if a != b:
+            parent[a] = b
+            out.append((vids[x], vids[y]))
+    return out
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Joining links of each cell; the rows of a cell follow one another."""
+    def links(cell: list[tuple]) -> list[tuple[int, int]]:
+        if len({row[2] for row in cell}) < 2:
+            return []
+        return joining_links([r[0] for r in cell], np.array([r[1] for r in cell], dtype=np.int64),
+                             [r[2] for r in cell], [r[3] for r in cell])
+
+    def result(found: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()),
+                                           pa.array([b for _, b in found], pa.int64())],
+                                          names=["a", "b"])
+
+    cell, key = [], None
+    for batch in batches:
+        found = []
+        columns = [batch.column(c).to_pylist() for c in ("bucket", "i", "j", "vid", "n", "root")]
+        sets = batch.column("others")
+        for row, (*here, vid, n, root) in enumerate(zip(*columns)):
+            if here != key:
+                found += links(cell)
+                cell, key = [], here
+            cell.append((vid, n, root, sets[row].values.to_numpy()))
+        yield result(found)
+    yield result(links(cell))
 
 
 def _relabelled(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -217,9 +297,9 @@ def _relabelled(members: DataFrame, roots: DataFrame) -> DataFrame:
         "bucket", "vid", "n", F.coalesce("root", "vid").alias("root"))
 
 
-def _star_pairs(members: DataFrame, first) -> DataFrame:
-    """Each member with its bucket's smallest member in the order ``first``."""
-    centers = members.groupBy("bucket").agg(F.min(F.struct(first, "vid"))["vid"].alias("center"))
+def _star_pairs(members: DataFrame) -> DataFrame:
+    """Each member with its bucket's first member."""
+    centers = members.groupBy("bucket").agg(F.min("vid").alias("center"))
     return members.join(centers, "bucket").filter("vid <> center").select(
         F.least("vid", "center").alias("a"), F.greatest("vid", "center").alias("b")).distinct()
 
@@ -254,26 +334,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .select("vid", "n", bucket.alias("bucket"))
     busy = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     shared = checkpointed(members.join(busy.select("bucket"), "bucket", "left_semi"))
-    links = _links(_star_pairs(shared, F.lit(0)), classes, source)
+    links = _links(_star_pairs(shared), classes, source)
     roots = component_roots(links)
 
     left = checkpointed(_still_open(_relabelled(shared, roots)))
     held = checkpointed(arrow_map(_texts(left.select("vid"), classes, source), _exploded,
                                   "vid long, shingle long"))
-    for _ in range(CENTRAL_ROUNDS):
-        left = _may_link(left, held)
-        found = _links(_star_pairs(left, -F.col("share")), classes, source)
-        links = links.union(found)
-        roots = component_roots(links)
-        left = checkpointed(_still_open(_relabelled(left.select("bucket", "vid", "n"), roots)))
-    left = _may_link(_may_link(left, held).drop("share"), held)
-    x, y = left.alias("x"), left.alias("y")
-    across = x.join(y, (F.col("x.bucket") == F.col("y.bucket"))
-                    & (F.col("x.root") < F.col("y.root"))
-                    & _sizes_allow(F.col("x.n"), F.col("y.n"))) \
-        .select(F.least("x.vid", "y.vid").alias("a"), F.greatest("x.vid", "y.vid").alias("b")) \
-        .distinct()
-    late = _links(across, classes, source)
+    left = _may_link(left, held)
+    cells = _cells(left).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    late = checkpointed(arrow_map(cells, _compare, "a long, b long"))
     if not late.isEmpty():
         roots = component_roots(links.union(late))
 
