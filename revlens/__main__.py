@@ -70,6 +70,11 @@ def main(argv=None) -> int:
                     help="header values found in the first data row of State Regions "
                          "('none' when the sheet has a proper header)")
 
+    ld = sub.add_parser("load", help="exported CSV -> gated fact table and quarantine")
+    ld.add_argument("--csv", required=True)
+    ld.add_argument("--out", required=True)
+    ld.add_argument("--quarantine", required=True)
+
     pf = sub.add_parser("profile", help="rows, columns, null cells and duplicates per sheet")
     pf.add_argument("--sheets", required=True, help="JSON file: sheet name -> path")
     pf.add_argument("--format", default="csv", choices=["csv", "parquet"])
@@ -85,6 +90,9 @@ def main(argv=None) -> int:
     rp.add_argument("--start", default=None, help="first order date (partition pruning)")
     rp.add_argument("--end", default=None, help="last order date (inclusive)")
 
+    rp.add_argument("--years", type=int, nargs="+", default=[2014, 2015, 2016, 2017],
+                    help="years of the month x year pivot (b16, run on its own)")
+
     args = parser.parse_args(argv)
     if args.cmd == "list":
         print("\n".join(REPORT_FUNCS))
@@ -96,7 +104,8 @@ def main(argv=None) -> int:
         from revlens.sources.tables import sales_fact
         write_sales_table(sales_fact(spark, args.tables, budget_year=args.budget_year), args.out)
     elif args.cmd == "clean":
-        from revlens.operators.quality import validate
+        from revlens.operators.ordered import materialize
+        from revlens.operators.quality import split_by_reasons, with_reasons
         from revlens.plans.enrichment import clean_sales
         from revlens.sources.sheets import REQUIRED_SHEETS, load_sheets
         from revlens.sources.sinks import write_sales_table
@@ -108,8 +117,18 @@ def main(argv=None) -> int:
             args.state_header.split(","))
         fact = clean_sales(sheets, budget_year=args.budget_year, state_header=header,
                            round_money_cols=not args.no_round)
-        validate(fact, mode="fail")
-        write_sales_table(fact, args.out)
+        # the joins run once; the gate's verdict and the table read their result
+        accepted, rejected = split_by_reasons(materialize(with_reasons(fact)))
+        bad = rejected.select("reasons").limit(1).collect()
+        if bad:
+            raise ValueError(f"validation failed: {bad[0]['reasons']}")
+        write_sales_table(accepted, args.out)
+    elif args.cmd == "load":
+        from revlens.sources.sheets import load_gated_csv
+        from revlens.sources.sinks import write_sales_table
+        accepted, rejected = load_gated_csv(spark, args.csv)
+        write_sales_table(accepted, args.out)
+        rejected.write.mode("overwrite").parquet(args.quarantine)
     elif args.cmd == "profile":
         from revlens.operators.quality import profile_sheets
         from revlens.sources.sheets import load_sheets
@@ -125,14 +144,19 @@ def main(argv=None) -> int:
             parser.error(f"unknown report(s): {unknown}; see 'revlens list'")
         def act(name, df):
             if args.out:
-                _write(df, f"{args.out.rstrip('/')}/{name}", args.format)
-            return df.take(args.show) if args.show else None
+                at = f"{args.out.rstrip('/')}/{name}"
+                df = df.persist() if args.show else df
+                _write(df, at, args.format)
+            shown = df.take(args.show) if args.show else None
+            df.unpersist()
+            return shown
 
         if len(names) > 1:          # whole catalogue: each grain aggregated once
             from revlens.plans.suite import execute_reports
             shown = execute_reports(sales, act, names, parallel=args.parallel)
         else:
-            shown = {names[0]: act(names[0], REPORT_FUNCS[names[0]](sales))}
+            params = {"years": args.years} if names[0] == "b16_month_year_pivot" else {}
+            shown = {names[0]: act(names[0], REPORT_FUNCS[names[0]](sales, **params))}
         for name, rows in shown.items():
             if rows is not None:
                 print(f"== {name}")

@@ -33,27 +33,40 @@ def promote_header(df: DataFrame, header_values: Sequence[str] | None = None,
                    order_col: str | None = None) -> DataFrame:
     """A sheet whose real header sits in its first data row.
 
-    Spark has no row order, so the header row is found either by its values
-    (``header_values``: the row equal to them is dropped and its values
-    become the names) or by the smallest ``order_col`` (a file position
-    column the reader added).  Only one row is brought to the driver."""
-    cols = df.columns
-    if header_values is not None:
-        if len(header_values) != len(cols):
-            raise ValueError("header_values must name every column")
-        is_header = None
+    The header row is the one with the smallest ``order_col`` (a file position
+    column the reader added), or, without one, the one row that equals
+    ``header_values`` when both are trimmed and lower-cased.  With both, the
+    first row must equal the values.  Exactly one row goes; a sheet without
+    such a row, or with several and no position, is an error.  At most two
+    rows are brought to the driver."""
+    cols = [c for c in df.columns if c != order_col]
+    if header_values is None and order_col is None:
+        raise ValueError("promote_header needs header_values or order_col")
+    if header_values is not None and len(header_values) != len(cols):
+        raise ValueError("header_values must name every column")
+
+    def folded(value) -> str:
+        return str(value).strip().lower()
+
+    if order_col is not None:
+        first = df.orderBy(F.col(order_col)).limit(1).collect()
+        if not first:
+            raise ValueError("the sheet has no header row")
+        names = [str(first[0][c]) for c in cols]
+        if header_values is not None and list(map(folded, names)) != list(map(folded, header_values)):
+            raise ValueError(f"the first row is not the header: {names}")
+        body = df.filter(F.col(order_col) != F.lit(first[0][order_col]))
+    else:
+        is_header = F.lit(True)
         for c, v in zip(cols, header_values):
-            cond = F.col(c).cast("string") == F.lit(str(v))
-            is_header = cond if is_header is None else is_header & cond
-        body = df.filter(~F.coalesce(is_header, F.lit(False)))
+            is_header = is_header & (F.lower(F.trim(F.col(c).cast("string"))) == F.lit(folded(v)))
+        is_header = F.coalesce(is_header, F.lit(False))
+        found = df.filter(is_header).limit(2).count()
+        if found != 1:
+            raise ValueError("the sheet has no header row" if not found else
+                             "several rows equal the header; give order_col")
+        body = df.filter(~is_header)
         names = [str(v) for v in header_values]
-    else:
-        if order_col is None:
-            raise ValueError("promote_header needs header_values or order_col")
-        first = df.orderBy(F.col(order_col)).limit(1).collect()[0]
-        names = [str(first[c]) for c in cols if c != order_col]
-        body = df.filter(F.col(order_col) != F.lit(first[order_col])).drop(order_col)
-        cols = [c for c in cols if c != order_col]
     return body.select(*[F.col(c).alias(n) for c, n in zip(cols, names)])
 
 

@@ -71,6 +71,9 @@ def schema_summary(df: DataFrame) -> DataFrame:
     return long.select("column", dtype.alias("dtype"), "non_null")
 
 
+CORRUPT_RECORD = "_corrupt_record"   # the CSV reader's column of malformed rows
+
+
 def _rules(df: DataFrame, schema: T.StructType, max_len: int) -> list[tuple[str, str, Column]]:
     """(column, rule, violated?) for every check of the load gate."""
     rules = []
@@ -86,22 +89,35 @@ def _rules(df: DataFrame, schema: T.StructType, max_len: int) -> list[tuple[str,
         if df.schema[c].dataType != field.dataType:
             cast_fails = _q(c).isNotNull() & _q(c).try_cast(field.dataType).isNull()
             rules.append((c, "type", cast_fails))
+    if CORRUPT_RECORD in df.columns:
+        rules.append(("record", "malformed", _q(CORRUPT_RECORD).isNotNull()))
     return rules
 
 
+def with_reasons(df: DataFrame, schema: T.StructType = SALES_SCHEMA,
+                 max_len: int = MAX_TEXT_LENGTH) -> DataFrame:
+    """``df`` with ``reasons: array<string>``, the rules each row violates."""
+    rules = _rules(df, schema, max_len)
+    return df.withColumn("reasons", F.filter(
+        F.array(*[F.when(bad, F.lit(f"{c}:{rule}")) for c, rule, bad in rules]),
+        lambda x: x.isNotNull()))
+
+
+def split_by_reasons(tagged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(accepted, quarantined) rows of a table tagged by ``with_reasons``."""
+    return (tagged.filter(F.size("reasons") == 0).drop("reasons", CORRUPT_RECORD),
+            tagged.filter(F.size("reasons") > 0))
+
+
 def validate(df: DataFrame, schema: T.StructType = SALES_SCHEMA,
              max_len: int = MAX_TEXT_LENGTH, mode: str = "quarantine"):
-    """Q5: the table gate (NOT NULL, NVARCHAR(50) length, castable type).
+    """Q5: the table gate (NOT NULL, NVARCHAR(50) length, castable type, and no
+    ``_corrupt_record`` where the reader kept one).
 
     Returns ``(accepted, quarantined)``; quarantined rows carry
     ``reasons: array<string>`` like ``'revenue:not_null'``.  With
     ``mode='fail'`` any violation raises (the bulk load would abort)."""
-    rules = _rules(df, schema, max_len)
-    reasons = F.filter(F.array(*[F.when(bad, F.lit(f"{c}:{rule}")) for c, rule, bad in rules]),
-                       lambda x: x.isNotNull())
-    tagged = df.withColumn("reasons", reasons)
-    accepted = tagged.filter(F.size("reasons") == 0).drop("reasons")
-    quarantined = tagged.filter(F.size("reasons") > 0)
+    accepted, quarantined = split_by_reasons(with_reasons(df, schema, max_len))
     if mode == "fail":
         first = quarantined.select("reasons").limit(1).collect()
         if first:

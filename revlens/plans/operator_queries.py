@@ -1,12 +1,13 @@
 """Operator-level queries over the driver's tables (one per operator family
 of the inventory that is not already a report by itself).
 
-Each function takes ``(spark, sf_dir)`` and returns a lazy DataFrame built
-from whole tables.
+Each function takes ``(spark, sf_dir)`` and returns a DataFrame built from
+whole tables; those that materialise a step run it when they are called.
 """
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,9 +16,10 @@ from pyspark.sql import types as T
 
 from revlens.functions.semantics import (THOUSAND, day_diff, month_boundaries, safe_div,
                                          scale_round, scale_round_dec, snap_round)
-from revlens.operators.cleaning import preview, rename_simultaneous
+from revlens.operators.cleaning import preview, promote_header, rename_simultaneous
 from revlens.operators.features import round_money
-from revlens.operators.joins import duplicate_keys, lookup_join, unmatched_counts
+from revlens.operators.joins import (dedupe_first, duplicate_keys, lookup_join,
+                                     unmatched_counts)
 from revlens.operators.ordered import (materialize, percentiles_cont, with_ntile,
                                        with_range_cumsum, with_rank)
 from revlens.operators.quality import (duplicate_rows, null_counts, profile_shape,
@@ -25,6 +27,9 @@ from revlens.operators.quality import (duplicate_rows, null_counts, profile_shap
 from revlens.plans.orders import order_totals, order_value_bucket
 from revlens.plans.enrichment import clean_sales
 from revlens.plans.trend import DATA_PIVOT_YEARS
+from revlens.session import ensure_checkpoint_dir
+from revlens.sources.sheets import load_gated_csv, load_sheets
+from revlens.sources.sinks import write_csv
 from revlens.sources.tables import (derive_line_measures, read_table, sales_fact,
                                     sheets_from_tables)
 
@@ -152,6 +157,74 @@ def validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation_summary(sales_fact(spark, sf_dir))
 
 
+def bad_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q5 over a fact with derived violations: missing order numbers, over-long
+    names and quantities that are no numbers."""
+    fact = sales_fact(spark, sf_dir)
+    order = F.col("order_number").cast("long")
+    broken = fact.withColumns({
+        "order_number": F.when(order % 7 != 0, F.col("order_number")),
+        "customer_name": F.when(order % 11 == 0, F.repeat("customer_name", 4))
+        .otherwise(F.col("customer_name")),
+        "quantity": F.when(order % 13 == 0, F.lit("12x")).otherwise(F.col("quantity").cast("string")),
+    })
+    return validation_summary(broken)
+
+
+def orphan_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q6 with derived orphans: part keys that no part has, and missing ones."""
+    lines = read_table(spark, sf_dir, "lineitem").select("l_orderkey", F.when(
+        F.col("l_orderkey") % 5 == 0, -F.col("l_partkey")).when(
+        F.col("l_orderkey") % 5 != 1, F.col("l_partkey")).alias("l_partkey"))
+    return unmatched_counts(lines, read_table(spark, sf_dir, "part"), "l_partkey", "p_partkey",
+                            "part")
+
+
+def dedupe_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One part per brand, the cheapest; prices of some brands are missing."""
+    part = read_table(spark, sf_dir, "part").select(
+        "p_brand", "p_partkey", F.when(F.col("p_brand").substr(-1, 1) != "3",
+                                       F.col("p_retailprice")).alias("price"))
+    return output_types(dedupe_first(part, "p_brand", "price"))
+
+
+def promoted_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The State Regions sheet with its header as a data row, in another
+    case and with blanks, made a header again."""
+    regions = sheets_from_tables(spark, sf_dir)["State Regions"].toDF("Column1", "Column2")
+    header = spark.range(1).select(F.lit(" STATE code").alias("Column1"),
+                                   F.lit("Region ").alias("Column2"))
+    return promote_header(regions.unionByName(header), ("State Code", "Region")) \
+        .toDF("State_Code", "Region")
+
+
+def _exported(spark: SparkSession, df: DataFrame, name: str) -> str:
+    """``df`` as a CSV export in the session's shared folder."""
+    path = f"{ensure_checkpoint_dir(spark)}/export-{uuid.uuid4()}/{name}"
+    write_csv(df, path)
+    return path
+
+
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fact exported as CSV and loaded again through the gate."""
+    accepted, _ = load_gated_csv(spark, _exported(spark, sales_fact(spark, sf_dir), "sales"))
+    return output_types(accepted)
+
+
+def sheet_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The six sheets exported as CSV and loaded as a catalogue; order
+    numbers are padded, and the padding must survive."""
+    sheets = sheets_from_tables(spark, sf_dir)
+    sheets["Sales Orders"] = sheets["Sales Orders"].withColumn(
+        "OrderNumber", F.lpad("OrderNumber", 12, "0"))
+    loaded = load_sheets(spark, {n: _exported(spark, df, n.replace(" ", "_"))
+                                 for n, df in sheets.items()}, fmt="csv", required=list(sheets))
+    return reduce(DataFrame.unionByName, [
+        df.agg(F.count(F.lit(1)).alias("n_rows"), F.min(F.col(f"`{df.columns[0]}`").cast("string"))
+               .alias("first_key")).select(F.lit(n).alias("sheet"), "n_rows", "first_key")
+        for n, df in loaded.items()])
+
+
 # --- functions / aggregates / windows -------------------------------------------------
 
 def month_span(spark: SparkSession, sf_dir: str) -> DataFrame:

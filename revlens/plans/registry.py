@@ -1,7 +1,7 @@
 """Query registry: name -> callable(spark, sf_dir) -> DataFrame.
 
-Every entry reads the driver's tables (whole tables, no sampling) and
-builds its plan lazily; the matching DuckDB SQL is in ``revlens.plans.oracle``.
+Every entry reads the driver's tables (whole tables, no sampling); entries
+that materialise a step run it when they are called; the matching DuckDB SQL is in ``revlens.plans.oracle``.
 """
 
 from __future__ import annotations
@@ -87,6 +87,12 @@ OPERATORS: dict[str, Query] = {
     "q03_duplicates": _oq.duplicates,
     "q04_schema": _oq.schema_info,
     "q05_validate": _oq.validation,
+    "q05b_validate_bad_rows": _oq.bad_rows,
+    "q06b_orphan_keys": _oq.orphan_keys,
+    "j06b_dedupe_lookup": _oq.dedupe_lookup,
+    "p01_promote_header": _oq.promoted_regions,
+    "s01_sheets": _oq.sheet_catalogue,
+    "s04_csv_round_trip": _oq.csv_round_trip,
 }
 
 

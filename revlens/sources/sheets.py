@@ -10,8 +10,11 @@ from __future__ import annotations
 from typing import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from revlens.operators.ordered import materialize
+from revlens.operators.quality import CORRUPT_RECORD, split_by_reasons, with_reasons
 from revlens.schema import SALES_SCHEMA
 
 # The six sheets the cleaning pipeline reads.
@@ -19,19 +22,46 @@ REQUIRED_SHEETS = ("Sales Orders", "Customers", "Products", "Regions", "State Re
                    "2017 Budgets")
 
 
+# Types of the sheets' columns (names folded); all others, the
+# order numbers among them, are text and keep every character.
+SHEET_TYPES = {
+    "orderdate": "date", "order quantity": "int", "unit price": "decimal(18,2)",
+    "line total": "decimal(18,2)", "total unit cost": "decimal(18,4)",
+    "cost factor": "decimal(4,2)", "customer name index": "long",
+    "product description index": "long", "delivery region index": "long",
+    "customer index": "long", "index": "long", "id": "long", "latitude": "double",
+    "longitude": "double",
+}
+BUDGET_TYPE = "decimal(18,2)"   # of the column named '<year> budgets'
+
+
+def typed_sheet(df: DataFrame) -> DataFrame:
+    """The sheet with its columns in their fixed types; a value that does not
+    fit its type is an error when the sheet is read."""
+    def column(name: str):
+        folded = name.strip().lower()
+        kind = BUDGET_TYPE if folded.endswith(" budgets") else SHEET_TYPES.get(folded)
+        value = F.col(f"`{name}`")
+        return value.cast(kind).alias(name) if kind else value
+
+    return df.select(*[column(c) for c in df.columns])
+
+
 def load_sheets(spark: SparkSession, catalog: Mapping[str, str], fmt: str = "parquet",
                 required: Sequence[str] = (), options: Mapping[str, str] | None = None
                 ) -> dict[str, DataFrame]:
-    """Read every sheet of a catalogue; a missing required sheet fails by name."""
+    """Read every sheet of a catalogue; a missing required sheet fails by
+    name.  CSV sheets are read as text and typed by ``typed_sheet``: nothing is
+    inferred, so keys keep their leading zeros and no sheet is read twice."""
     missing = [s for s in required if s not in catalog]
     if missing:
         raise KeyError(f"missing sheets: {missing}")
     opts = dict(options or {})
     if fmt == "csv":
         opts.setdefault("header", "true")
-        opts.setdefault("inferSchema", "true")
-    return {name: spark.read.format(fmt).options(**opts).load(path)
-            for name, path in catalog.items()}
+    sheets = {name: spark.read.format(fmt).options(**opts).load(path)
+              for name, path in catalog.items()}
+    return {name: typed_sheet(df) for name, df in sheets.items()} if fmt == "csv" else sheets
 
 
 def bulk_load_csv(spark: SparkSession, path: str, schema: T.StructType = SALES_SCHEMA,
@@ -42,16 +72,36 @@ def bulk_load_csv(spark: SparkSession, path: str, schema: T.StructType = SALES_S
     ``order_month_num`` where the table says ``month_no``); with
     ``strict_header=True`` a header that does not match the schema names is
     an error instead.  CRLF line ends, quoted commas and empty fields (NULL)
-    are handled by the CSV reader; rows that do not parse become NULLs and
-    are caught by the Q5 gate."""
+    are handled by the CSV reader.  A malformed row (a value that does not fit
+    its type, a field too many or too few) stops the load;
+    :func:`load_gated_csv` quarantines such rows instead."""
     reader = (spark.read.schema(_nullable(schema))
               .option("header", "true")
               .option("enforceSchema", "false" if strict_header else "true")
               .option("nullValue", null_value)
-              .option("mode", "FAILFAST" if strict_header else "PERMISSIVE"))
+              .option("mode", "FAILFAST"))
     return reader.csv(path)
 
 
+def csv_with_corrupt(reader, schema: T.StructType = SALES_SCHEMA, null_value: str = ""):
+    """A batch or streaming CSV reader that keeps the text of malformed rows in
+    ``_corrupt_record``, which the gate reports."""
+    fields = [*_nullable(schema).fields, T.StructField(CORRUPT_RECORD, T.StringType(), True)]
+    return (reader.schema(T.StructType(fields))
+            .option("header", "true").option("enforceSchema", "true")
+            .option("nullValue", null_value).option("mode", "PERMISSIVE")
+            .option("columnNameOfCorruptRecord", CORRUPT_RECORD))
+
+
+def load_gated_csv(spark: SparkSession, path: str, schema: T.StructType = SALES_SCHEMA
+                   ) -> tuple[DataFrame, DataFrame]:
+    """S4 with the Q5 gate as one operation: (accepted, quarantined) rows of a
+    CSV export.  The file is parsed and judged once; both results read the
+    same materialised rows."""
+    tagged = materialize(with_reasons(csv_with_corrupt(spark.read, schema).csv(path), schema))
+    return split_by_reasons(tagged)
+
+
 def _nullable(schema: T.StructType) -> T.StructType:
     # the reader must accept NULLs so that the gate can report them
     return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])

@@ -31,15 +31,14 @@ def write_sales_table(sales: DataFrame, path: str, partition_by_year: bool = Tru
     """S3: write the fact in its typed schema (column order of the contract).
 
     With ``partition_by_year`` the files are laid out by ``order_year`` (a
-    derived partition column, dropped again by ``read_sales_table``).  No
-    shuffle is added: every task writes its own rows, sorted locally by
-    (year, date) so each file carries tight date statistics.  (A
-    ``repartition('order_year')`` would send a whole year to one task, and a
-    range repartition would recompute the whole join pipeline to sample it.)"""
+    derived partition column, dropped again by ``read_sales_table``).  Rows are
+    rebalanced by year first: a small year goes to one task, a large one is
+    split by its size, so the number of files follows the data and not tasks
+    x years.  Each file is sorted by (year, date) for tight date statistics."""
     out = conform(sales)
     if partition_by_year:
         out = (out.withColumn("order_year", F.year("order_date"))
-               .sortWithinPartitions("order_year", "order_date"))
+               .hint("rebalance", "order_year").sortWithinPartitions("order_year", "order_date"))
         out.write.mode(mode).option("compression", FACT_CODEC).partitionBy("order_year") \
             .parquet(path)
     else:
@@ -50,11 +49,11 @@ def save_as_table(sales: DataFrame, name: str, bucket_by: Sequence[str] = (),
                   buckets: int = 0, path: str | None = None, mode: str = "overwrite") -> None:
     """S3 as a catalogue table (at ``path`` when given, else in the warehouse).
 
-    Bucketing by ``customer_name`` lays the fact out so that every
-    per-customer aggregation — including the (customer, order) level of
-    ``COUNT(DISTINCT order)`` — is satisfied by the buckets: the customer
-    grain, the largest shuffle of the catalogue, runs without an exchange
-    on every later read.  Write it once, read it for every report run."""
+    Bucketing by a key lays the fact out so that aggregations by that key run
+    without an exchange on every later read.  A bucket is read by one task and
+    cannot be split: bucket by keys without hot values, such as
+    ``order_number``; a customer with a large share of all lines would put
+    them into one bucket."""
     writer = conform(sales).write.mode(mode).format("parquet").option("compression", FACT_CODEC)
     if path:
         writer = writer.option("path", path)
