@@ -53,6 +53,7 @@ LEAST_WINDOW = 64      # words
 POSTING_BLOCK = 16
 INDEX_WORDS = 200_000  # words of the items of one broadcast block
 _WINDOWS_AT_ONCE = 2048
+_CELLS_AT_ONCE = 1 << 22   # windows x items of one look at the bounds
 _LIVE_BITS = 22
 
 
@@ -175,28 +176,34 @@ def _overlap(part: np.ndarray, window: np.ndarray) -> float:
     return float(np.isin(own, shingles(window, k)).mean())
 
 
-def _candidates(index: Index, at: np.ndarray, terms: np.ndarray, first: int, last: int,
-                threshold: float) -> np.ndarray:
-    """Of windows first to last, those that the bounds let through.  ``at``:
-    the window of each known word."""
-    span = last - first
-    w = at - first
+def _bounds(index: Index, at: np.ndarray, terms: np.ndarray, span: int) -> np.ndarray:
+    """For each of ``span`` windows, no less than any item's score.  ``at``:
+    the window of each known word; a word that stands twice counts twice."""
     common = index.common[terms]
-    from_common = np.bincount(w[common], weights=index.highest[terms[common]], minlength=span)
-    rare_w, rare_t = w[~common], terms[~common]
-    lengths = index.starts[rare_t + 1] - index.starts[rare_t]
-    place = np.repeat(index.starts[rare_t] - np.cumsum(lengths) + lengths, lengths) \
+    from_common = np.bincount(at[common], weights=index.highest[terms[common]], minlength=span) \
+        .astype(float)
+    rare_at, rare_terms = at[~common], terms[~common]
+    lengths = index.starts[rare_terms + 1] - index.starts[rare_terms]
+    place = np.repeat(index.starts[rare_terms] - np.cumsum(lengths) + lengths, lengths) \
         + np.arange(lengths.sum())
-    cell = np.repeat(rare_w, lengths) * len(index.items) + index.post_items[place]
-    cells, inverse = np.unique(cell, return_inverse=True)
-    rare = np.bincount(inverse, weights=index.impacts[place], minlength=len(cells))
-    window = cells // len(index.items)
-    most = rare + np.minimum(from_common[window], index.common_share[cells % len(index.items)])
-    passed = [window[most + 1e-9 >= threshold]]
-    # items of common words alone need no rare word
-    if len(index.common_share) and index.common_share.max() + 1e-9 >= threshold:
-        passed.append(np.flatnonzero(from_common + 1e-9 >= threshold))
-    return np.unique(np.concatenate(passed)) + first
+    cell = np.repeat(rare_at, lengths) * len(index.items) + index.post_items[place]
+    most = np.bincount(cell, weights=index.impacts[place], minlength=span * len(index.items)) \
+        .astype(float).reshape(span, len(index.items))
+    most += np.minimum(from_common[:, None], index.common_share)
+    return most.max(axis=1) + 1e-9
+
+
+def _candidates(index: Index, at: np.ndarray, terms: np.ndarray, span: int,
+                threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of ``span`` windows, those that the bounds let through, and the window
+    and number of each of their distinct terms."""
+    passed = np.flatnonzero(_bounds(index, at, terms, span) >= threshold)
+    near = np.isin(at, passed)
+    pairs = np.unique(at[near] * len(index.vocabulary) + terms[near])
+    at, terms = pairs // len(index.vocabulary), pairs % len(index.vocabulary)
+    number = np.searchsorted(passed, at)
+    exact = _bounds(index, number, terms, len(passed)) >= threshold
+    return passed[exact], at, terms
 
 
 def search(index: Index, texts: list[bytes], threshold: float = THRESHOLD,
@@ -208,25 +215,29 @@ def search(index: Index, texts: list[bytes], threshold: float = THRESHOLD,
     counts = np.maximum(1, -(-np.diff(bounds) // stride))
     base = np.concatenate([[0], np.cumsum(counts)])
     places, terms = index.terms(words)
-    doc = np.searchsorted(bounds, places, side="right") - 1
-    k = (places - bounds[doc]) // stride
-    at = base[doc] + k
-    again = k > 0
-    at = np.concatenate([at, at[again] - 1])
-    terms = np.concatenate([terms, terms[again]])
-    order = np.argsort(at, kind="stable")
-    at, terms = at[order], terms[order]
+    known = np.searchsorted(places, bounds)  # of each text's known words
+    doc_bounds, doc_base = (np.repeat(x[:-1], np.diff(known)) for x in (bounds, base))
+    k = (places - doc_bounds) // stride
+    later = doc_base + k                     # the window that begins before a word last
+    earlier = np.flatnonzero(k > 0)          # these also stand in the one before it
+    earlier_at, earlier_terms = later[earlier] - 1, terms[earlier]
     best: dict[tuple[int, int], tuple[float, float, float]] = {}
-    for first in range(0, int(base[-1]), _WINDOWS_AT_ONCE):
-        last = min(first + _WINDOWS_AT_ONCE, int(base[-1]))
-        lo, hi = np.searchsorted(at, [first, last])
-        if lo == hi:
+    step = max(1, min(_WINDOWS_AT_ONCE, _CELLS_AT_ONCE // max(1, len(index.items))))
+    for first in range(0, int(base[-1]), step):
+        last = min(first + step, int(base[-1]))
+        a, b = np.searchsorted(later, [first, last])
+        c, d = np.searchsorted(earlier_at, [first, last])
+        if a == b and c == d:
             continue
-        for w in _candidates(index, at[lo:hi], terms[lo:hi], first, last, threshold).tolist():
+        at = np.concatenate([later[a:b], earlier_at[c:d]]) - first
+        held = np.concatenate([terms[a:b], earlier_terms[c:d]])
+        windows, at, held = _candidates(index, at, held, last - first, threshold)
+        for w in windows.tolist():
             a, b = np.searchsorted(at, [w, w + 1])
-            hits = block_max_wand(index, np.unique(terms[a:b]), threshold)
+            hits = block_max_wand(index, held[a:b], threshold)
             if not hits:
                 continue
+            w += first
             d = int(np.searchsorted(base, w, side="right")) - 1
             begin = bounds[d] + (w - base[d]) * stride
             window = words[begin:min(begin + index.window, bounds[d + 1])]

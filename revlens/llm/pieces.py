@@ -35,14 +35,16 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import (ArrayType, BooleanType, IntegerType, StringType, StructField,
+                               StructType)
 
 from revlens.llm.common import arrow_map
 from revlens.llm.words import BLOCK_BYTES
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-CACHED_WORDS = 500_000  # a worker's memory of encoded words
+CACHED_WORDS = 200_000  # a worker's memory of encoded words
+SLICE_BYTES = 4 * BLOCK_BYTES
 
 
 @dataclass
@@ -52,23 +54,39 @@ class Vocabulary:
     kind: str                       # bpe or unigram
     byte_ids: list[int]
     ids: dict[str, int]             # of ordinary pieces
-    longest: int = 0
-    pairs: dict = field(default_factory=dict)
-    alone: dict = field(default_factory=dict)
+    pairs: dict[int, bool] = field(default_factory=dict)
 
     def __post_init__(self):
-        self.longest = max(map(len, self.ids), default=1)
         letters = sorted(p for p in self.ids if len(p) == 1 and p != MARK)
-        known = re.escape("".join(letters)) if letters else "\\0"
+        known = re.escape("".join(letters)) if letters else "\0"
         #: marked words of known letters, runs of marks, single other characters
         self.words = re.compile(f"{MARK}*[{known}]+|{MARK}+|[\\s\\S]")
+        #: pieces that can end a prefix; merging must be able to make them
+        self.ends = {p: i for p, i in self.ids.items()
+                     if self.kind == "unigram" or merge(self, p) == [p]}
+        #: the longest piece by its last three, or two, characters
+        self.longest: dict[str, int] = {}
+        for piece in self.ends:
+            for k in (2, 3):
+                if len(piece) >= k:
+                    end = piece[-k:]
+                    self.longest[end] = max(len(piece), self.longest.get(end, 0))
+        #: for each piece, the length of its longest proper ending that is a piece
+        self.shorter = [0] * len(self.pieces)
+        for piece, number in self.ends.items():
+            self.shorter[number] = next((len(piece) - k for k in range(1, len(piece))
+                                         if piece[k:] in self.ends), 0)
 
     def __getstate__(self):
-        return {**self.__dict__, "words": None, "pairs": {}, "alone": {}}
+        return {**self.__dict__, "words": self.words.pattern, "pairs": {}}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
-        self.__post_init__()
+        self.words = re.compile(state["words"])
+
+    def most(self, word: str, end: int) -> int:
+        """No piece that ends at ``end`` is longer than this."""
+        return min(end, self.longest.get(word[end - 3:end], 2) if end > 2 else end)
 
 
 def load(path: str = MODEL, kind: str = "bpe") -> Vocabulary:
@@ -107,54 +125,67 @@ def merge(vocabulary: Vocabulary, word: str) -> list[str]:
         parts[at:at + 2] = [parts[at] + parts[at + 1]]
 
 
-def _fits(vocabulary: Vocabulary, left: str, right: str) -> bool:
-    key = (left, right)
-    found = vocabulary.pairs.get(key)
-    if found is None:
-        if len(vocabulary.pairs) > 2 * CACHED_WORDS:
-            vocabulary.pairs.clear()
-        found = vocabulary.pairs[key] = merge(vocabulary, left + right) == [left, right]
+def _fits(vocabulary: Vocabulary, left: int, right: int, key: int) -> bool:
+    if len(vocabulary.pairs) > 2 * CACHED_WORDS:
+        vocabulary.pairs.clear()
+    a, b = vocabulary.pieces[left], vocabulary.pieces[right]
+    found = vocabulary.pairs[key] = merge(vocabulary, a + b) == [a, b]
     return found
 
 
-def _stands(vocabulary: Vocabulary, piece: str) -> bool:
-    found = vocabulary.alone.get(piece)
-    if found is None:
-        found = vocabulary.alone[piece] = merge(vocabulary, piece) == [piece]
-    return found
+def _merged_end(vocabulary: Vocabulary, word: str, end: int, last: list[int]) -> int:
+    """The last piece of what merging makes of ``word[:end]``, from the last
+    pieces of the shorter prefixes."""
+    get, known, size = vocabulary.ends.get, vocabulary.pairs.get, len(vocabulary.pieces)
+    start = end - vocabulary.most(word, end)
+    while start < end:
+        number = get(word[start:end])
+        if number is None:
+            start += 1
+            continue
+        if not start:
+            return number
+        key = last[start] * size + number
+        fits = known(key)
+        if fits or fits is None and _fits(vocabulary, last[start], number, key):
+            return number
+        start = end - vocabulary.shorter[number]
+    raise ValueError(f"no piece ends {word[:end]!r}")
+
+
+def _best_end(vocabulary: Vocabulary, word: str, end: int, best: list[float]) -> tuple[int, float]:
+    """The last piece of the best sum of scores of ``word[:end]``, and the sum."""
+    chosen, top = -1, float("-inf")
+    for start in range(end - vocabulary.most(word, end), end):
+        number = vocabulary.ends.get(word[start:end])
+        if number is not None and best[start] + vocabulary.scores[number] > top:
+            chosen, top = number, best[start] + vocabulary.scores[number]
+    return chosen, top
 
 
 def encode_sorted(vocabulary: Vocabulary, words: list[str]) -> Iterator[array]:
     """Piece ids of each word; ``words`` are sorted, and of known letters."""
-    ids, scores, longest = vocabulary.ids, vocabulary.scores, vocabulary.longest
+    sizes = [len(p) for p in vocabulary.pieces]
     unigram = vocabulary.kind == "unigram"
-    lengths, best, before = [0], [0.0], ""  # forward table of the last word
+    last, best, before = [-1], [0.0], ""  # forward table of the last word
     for word in words:
         depth, shared = 0, min(len(before), len(word))
         while depth < shared and before[depth] == word[depth]:
             depth += 1
-        del lengths[depth + 1:], best[depth + 1:]
-        for end in range(depth + 1, len(word) + 1):
-            chosen, top = 0, float("-inf")
-            for start in range(max(0, end - longest), end):
-                piece = word[start:end]
-                number = ids.get(piece)
-                if number is None:
-                    continue
-                if unigram:
-                    score = best[start] + scores[number]
-                    if score > top:
-                        chosen, top = end - start, score
-                elif _stands(vocabulary, piece) and (start == 0 or _fits(
-                        vocabulary, word[start - lengths[start]:start], piece)):
-                    chosen, top = end - start, 0.0
-                    break
-            lengths.append(chosen)
-            best.append(top)
+        del last[depth + 1:]
+        if unigram:
+            del best[depth + 1:]
+            for end in range(depth + 1, len(word) + 1):
+                number, score = _best_end(vocabulary, word, end, best)
+                last.append(number)
+                best.append(score)
+        else:
+            for end in range(depth + 1, len(word) + 1):
+                last.append(_merged_end(vocabulary, word, end, last))
         out, end = [], len(word)
         while end:
-            out.append(ids[word[end - lengths[end]:end]])
-            end -= lengths[end]
+            out.append(last[end])
+            end -= sizes[last[end]]
         out.reverse()
         yield array("i", out)
         before = word
@@ -206,11 +237,11 @@ def _list_column(rows: list[array]) -> pa.Array:
 
 
 def _slices(batch: pa.RecordBatch, column: str, weight) -> Iterator[pa.RecordBatch]:
-    """The batch in slices of rows that weigh about 16 blocks together."""
+    """The batch in slices of rows that weigh about SLICE_BYTES together."""
     first, size = 0, 0
     for i, w in enumerate(weight(batch.column(column)).fill_null(0).to_pylist()):
         size += w
-        if size >= 16 * BLOCK_BYTES:
+        if size >= SLICE_BYTES:
             yield batch.slice(first, i + 1 - first)
             first, size = i + 1, 0
     if first < batch.num_rows:
@@ -218,8 +249,9 @@ def _slices(batch: pa.RecordBatch, column: str, weight) -> Iterator[pa.RecordBat
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text",
-           name: str = "token_ids") -> DataFrame:
-    """``docs`` with the piece ids of the text, an array of int.
+           name: str = "token_ids", check: str | None = None) -> DataFrame:
+    """``docs`` with the piece ids of the text, an array of int, and, with
+    ``check``, a column of that name: whether the ids decode to the text.
 
     A null text has null ids, an empty one none.  Repeated rows each get
     theirs; other columns pass through (one called ``name`` is replaced).  An
@@ -228,32 +260,48 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, cache = shared.value, {}
+        table = piece_bytes(vocabulary)
         for batch in batches:
             for part in _slices(batch, text_col, lambda c: pa.compute.binary_length(c)):
                 texts = part.column(text_col).to_pylist()
-                ids = _list_column(encode_texts(vocabulary, [t or "" for t in texts], cache))
+                encoded = encode_texts(vocabulary, [t or "" for t in texts], cache)
+                ids = _list_column(encoded)
                 absent = pa.array([t is None for t in texts])
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.compute.if_else(absent, pa.nulls(len(ids), ids.type), ids)],
-                    names=[*part.schema.names, name])
+                columns = [*part.columns, pa.compute.if_else(absent, pa.nulls(len(ids), ids.type), ids)]
+                if check:
+                    columns.append(pa.array([
+                        decode_ids(table, np.frombuffer(i, dtype=np.int32)) == (t or "")
+                        for i, t in zip(encoded, texts)]))
+                yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, *added])
 
-    plain = docs.drop(name)
-    return arrow_map(plain, run, StructType([
-        *plain.schema.fields, StructField(name, ArrayType(IntegerType()))]))
+    added = [name, check] if check else [name]
+    kinds = [StructField(name, ArrayType(IntegerType())), StructField(check or "", BooleanType())]
+    plain = docs.drop(*added)
+    return arrow_map(plain, run, StructType([*plain.schema.fields, *kinds[:len(added)]]))
 
 
-def decode(encoded: DataFrame, vocabulary: Vocabulary, ids_col: str = "token_ids",
-           name: str = "decoded") -> DataFrame:
-    """``encoded`` with the text of its piece ids; null ids give null, control
-    pieces give nothing.  Bytes that are no UTF-8 become U+FFFD."""
+def piece_bytes(vocabulary: Vocabulary) -> np.ndarray:
+    """What each piece stands for; nothing for control pieces."""
     table = np.empty(len(vocabulary.pieces), dtype=object)
     table[:] = b""
     for piece, number in vocabulary.ids.items():
         table[number] = piece.replace(MARK, " ").encode()
     for b, number in enumerate(vocabulary.byte_ids):
         table[number] = bytes([b])
+    return table
+
+
+def decode_ids(table: np.ndarray, ids: np.ndarray) -> str:
+    text = b"".join(table[ids].tolist())
+    return text[text[:1] == b" ":].decode(errors="replace")
+
+
+def decode(encoded: DataFrame, vocabulary: Vocabulary, ids_col: str = "token_ids",
+           name: str = "decoded") -> DataFrame:
+    """``encoded`` with the text of its piece ids; null ids give null, control
+    pieces give nothing.  Bytes that are no UTF-8 become U+FFFD."""
     # a fixed-size table: one entry a piece
-    shared = encoded.sparkSession.sparkContext.broadcast(table)
+    shared = encoded.sparkSession.sparkContext.broadcast(piece_bytes(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
@@ -265,8 +313,7 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, ids_col: str = "token_ids
                     if row is None:
                         texts.append(None)
                         continue
-                    text = b"".join(table[row.to_numpy()].tolist())
-                    texts.append(text[text[:1] == b" ":].decode(errors="replace"))
+                    texts.append(decode_ids(table, row.to_numpy()))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())],
                                                  names=[*part.schema.names, name])
 

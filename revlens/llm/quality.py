@@ -188,8 +188,8 @@ def features(texts: list[bytes], keep: np.ndarray | None = None):
         near = np.minimum(np.searchsorted(keep, bucket), max(len(keep) - 1, 0))
         known = keep[near] == bucket if len(keep) else np.zeros(len(bucket), dtype=bool)
         of, bucket = of[known], near[known]
-    pairs = np.unique(np.stack([of, bucket]), axis=1) if len(of) else np.empty((2, 0), np.int64)
-    return pairs[0], pairs[1]
+    pairs = np.unique(of << BUCKET_BITS | bucket)
+    return pairs >> BUCKET_BITS, pairs & ((1 << BUCKET_BITS) - 1)
 
 
 def screen(rows: np.ndarray, columns: np.ndarray, width: int, target: np.ndarray,
@@ -242,8 +242,11 @@ def _votes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit_scorer(texts: list[bytes], targets: list[np.ndarray]) -> pd.DataFrame:
     """head, bucket, weight (bucket -1: the bias), one target a head."""
-    rows, buckets = features(texts)
-    names, columns = np.unique(buckets, return_inverse=True)
+    parts = [(first, *features(texts[first:first + 500])) for first in range(0, len(texts), 500)]
+    rows = np.concatenate([np.empty(0, np.int64), *[r + first for first, r, _ in parts]])
+    names, columns = np.unique(np.concatenate(
+        [np.empty(0, np.int64), *[b for _, _, b in parts]]), return_inverse=True)
+    del parts
     out = []
     for head, target in enumerate(targets):
         live = screen(rows, columns, len(names), target)

@@ -96,11 +96,10 @@ def chat_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pieces_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded, and decoded again."""
-    vocabulary = pieces.load()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    both = pieces.decode(pieces.encode(docs, vocabulary), vocabulary)
-    return both.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids",
-                       F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+    encoded = pieces.encode(docs, pieces.load(), check="round_trip")
+    return encoded.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"),
+                          "token_ids", "round_trip")
 
 
 def quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:

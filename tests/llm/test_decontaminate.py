@@ -46,7 +46,7 @@ def test_every_window_that_reaches_the_threshold_is_searched():
         _, terms = index.terms(words)
         for threshold in (0.3, 0.6, 0.9):
             hits = D.block_max_wand(index, np.unique(terms), threshold)
-            let = D._candidates(index, np.zeros(len(terms), dtype=np.int64), terms, 0, 1, threshold)
+            let, *_ = D._candidates(index, np.zeros(len(terms), dtype=np.int64), terms, 1, threshold)
             assert len(let) or not hits
 
 
