@@ -57,8 +57,7 @@ def clean_sales(sheets: Mapping[str, DataFrame], *, budget_year: int = 2017,
                 budget_sheet: str | None = None, state_header=STATE_REGION_HEADER,
                 on_duplicate: str = "error", null_safe: bool = False,
                 derive: Callable[[DataFrame], DataFrame] | None = None,
-                round_money_cols: bool = True,
-                broadcast_max_rows: int | None = 1_000_000) -> DataFrame:
+                round_money_cols: bool = True) -> DataFrame:
     """Run the pipeline over ``{sheet name: DataFrame}``.
 
     ``budget_sheet`` defaults to ``'<budget_year> Budgets'``; its value
@@ -66,9 +65,7 @@ def clean_sales(sheets: Mapping[str, DataFrame], *, budget_year: int = 2017,
     header values found in the first data row of State Regions (``None`` when
     the sheet already has a proper header).  ``derive`` may add source
     columns the order sheet lacks, after the joins and before the keep-list.
-    The geography and budget lookups are broadcast when they hold at most
-    ``broadcast_max_rows`` rows (checked); customers and products are left
-    to the planner and AQE.
+    The planner and AQE choose how each lookup is joined.
     """
     budget_sheet = budget_sheet or f"{budget_year} Budgets"
     state_reg = sheets["State Regions"]
@@ -78,15 +75,12 @@ def clean_sales(sheets: Mapping[str, DataFrame], *, budget_year: int = 2017,
     lookups = {"Customers": sheets["Customers"], "Products": sheets["Products"],
                "Regions": sheets["Regions"], "State Regions": state_reg}
 
-    small = {"Regions", "State Regions", budget_sheet}
     df = sheets["Sales Orders"]
     for sheet, left, right in JOINS:
         df = lookup_join(df, lookups[sheet], left, right, how="left", on_duplicate=on_duplicate,
-                         null_safe=null_safe, name=sheet,
-                         broadcast_max_rows=broadcast_max_rows if sheet in small else None)
+                         null_safe=null_safe, name=sheet)
     df = lookup_join(df, sheets[budget_sheet], "Product Name", how="left",
-                     on_duplicate=on_duplicate, null_safe=null_safe, name=budget_sheet,
-                     broadcast_max_rows=broadcast_max_rows)
+                     on_duplicate=on_duplicate, null_safe=null_safe, name=budget_sheet)
     df = drop_columns(df, DROPPED_KEYS)
     df = normalize_columns(df, strip=False)
     if derive is not None:
