@@ -12,11 +12,12 @@ def component_roots(links: DataFrame) -> DataFrame:
     """``node`` and ``root`` for every node of ``links`` (a, b); two nodes have
     one root when they are connected.
 
-    Each round hooks every node to its smallest neighbour, follows hooks one
-    step, and contracts the links to the nodes hooked to; links inside one
-    node go away.  Nodes that are smaller than all their neighbours are the
-    only ones that stay, so the table shrinks fast.  Every round is cut by a
-    checkpoint; nothing but a row count reaches the driver.
+    Each round hooks every node to its smallest neighbour, doubles the hooks
+    until each leads to its end, and contracts the links to these ends; links
+    inside one end go away.  Ends are smaller than all their neighbours, so at
+    least one node of every link goes in a round, and a chain of any length
+    goes in one, with as many doublings as its length has bits.  Every step is
+    cut by a checkpoint; nothing but whether rows are left reaches the driver.
     """
     edges = checkpointed(links.select("a", "b").filter("a <> b").distinct())
     roots = None
@@ -24,8 +25,12 @@ def component_roots(links: DataFrame) -> DataFrame:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hooks = checkpointed(both.groupBy("a").agg(F.min("b").alias("low")).select(
             F.col("a").alias("node"), F.least("a", "low").alias("root")))
-        step = hooks.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        hooks = checkpointed(hooks.join(step, "root").select("node", F.col("next").alias("root")))
+        moving = True
+        while moving:
+            step = hooks.select(F.col("node").alias("root"), F.col("root").alias("next"))
+            doubled = checkpointed(hooks.join(step, "root").select(
+                "node", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
+            hooks, moving = doubled.drop("moved"), not doubled.filter("moved").isEmpty()
         if roots is None:
             roots = hooks
         else:
