@@ -338,8 +338,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = component_roots(links)
 
     left = checkpointed(_still_open(_relabelled(shared, roots)))
-    held = checkpointed(arrow_map(_texts(left.select("vid"), classes, source), _exploded,
-                                  "vid long, shingle long"))
+    # exploded anew for each use: a written copy would be many times the texts
+    held = arrow_map(_texts(left.select("vid"), classes, source), _exploded,
+                     "vid long, shingle long")
     left = _may_link(left, held)
     cells = _cells(left).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     late = checkpointed(arrow_map(cells, _compare, "a long, b long"))
