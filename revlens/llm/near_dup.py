@@ -198,9 +198,10 @@ def _still_open(members: DataFrame) -> DataFrame:
     return members.join(open_buckets.select("bucket"), "bucket", "left_semi")
 
 
-def _may_link(members: DataFrame, held: DataFrame) -> DataFrame:
-    """Members that can have a link to another root, with ``others``, those of
-    their shingles that other roots have.  ``held``: vid, shingle."""
+def _may_link(members: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members that can have a link to another root, and once for each vid
+    ``others``, those of its shingles that other roots have.  ``held``: vid,
+    shingle."""
     names = members.select("vid", "n", "root").distinct()
     placed = held.join(names.select("vid", "root"), "vid")
     foreign = placed.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")) \
@@ -208,7 +209,8 @@ def _may_link(members: DataFrame, held: DataFrame) -> DataFrame:
     shared = placed.join(foreign, "shingle").groupBy("vid").agg(
         F.collect_list("shingle").alias("others"))
     able = names.join(shared, "vid").filter(F.size("others") * 100 >= F.col("n") * SIMILARITY)
-    return checkpointed(_still_open(members.join(able.select("vid", "others"), "vid")))
+    able = checkpointed(able.select("vid", "others"))
+    return checkpointed(_still_open(members.join(able.select("vid"), "vid"))), able
 
 
 def _cells(members: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -218,10 +220,10 @@ def _cells(members: DataFrame, block: int = BLOCK) -> DataFrame:
         F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("vid"), F.col("blocks")).cast("int")
     return members.join(blocks, "bucket").withColumn("own", own).select(
-        "bucket", "vid", "n", "root", "others", "own",
+        "bucket", "vid", "n", "root", "own",
         F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")) \
         .select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-                "vid", "n", "root", "others")
+                "vid", "n", "root")
 
 
 def joining_links(vids: list[int], sizes: np.ndarray, roots: list[int],
@@ -341,8 +343,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # exploded anew for each use: a written copy would be many times the texts
     held = arrow_map(_texts(left.select("vid"), classes, source), _exploded,
                      "vid long, shingle long")
-    left = _may_link(left, held)
-    cells = _cells(left).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    left, others = _may_link(left, held)
+    # narrow up to here; the shingles join last and travel once
+    cells = _cells(left).join(others, "vid").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     late = checkpointed(arrow_map(cells, _compare, "a long, b long"))
     if not late.isEmpty():
         roots = component_roots(links.union(late))
