@@ -39,4 +39,4 @@ def test_the_entry_point_works_without_the_subpackage():
     code = ("import sys; sys.modules['revlens.llm'] = None; import __spark_entry__ as e; "
             "print(len(e.queries()), [q for q in e.queries() if q.startswith('op')])")
     out = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True)
-    assert out.stdout.split() == ["49", "[]"], out.stderr
+    assert out.stdout.split() == ["55", "[]"], out.stderr
