@@ -60,3 +60,29 @@ def test_style_figures(text, figure):
     figures, n, *_ = Q.profile([b"plain words of prose", text.encode(), b""])
     j = Q.STYLE.index(figure)
     assert figures[1, j] > 0.4 and figures[0, j] < 0.2 and figures[2, j] == 0 and n[2] == 0
+
+
+def test_toxic_words_outside_the_list_are_learned_from_labels(spark):
+    """Two invented beginnings of insults, one of them outside ASCII; half of
+    the documents have no label."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(1200):
+        words = [f"{rng.choice(['ta', 'lo', 'mir', 'é'])}{rng.integers(10_000)}" for _ in range(60)]
+        if i % 10 == 0:
+            for k in rng.choice(60, 4, replace=False):
+                words[k] = f"{('grux', 'çêbom')[i // 10 % 2]}{rng.integers(10_000)}"
+        rows.append((i, " ".join(words), int(i % 10 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, truth int")
+    labels = docs.filter("doc_id div 20 % 2 = 0").selectExpr("doc_id", "truth AS toxic")
+    scores = {r.id: r.toxic >= 0.5 for r in Q.score(docs, Q.train(docs, labels)).collect()}
+    assert all(scores[i] == bool(truth) for i, _, truth in rows)
+
+
+def test_known_labels_outweigh_the_other_votes():
+    silent = [1, 1, 1]
+    counts = {int(Q._code(np.array([[*silent, label]]))[0]): n
+              for label, n in ((2, 188), (1, 3500), (0, 6000))}
+    posterior = Q.label_model(counts, 4, known=3)
+    bad, good, open_ = (posterior[int(Q._code(np.array([[*silent, x]]))[0])] for x in (2, 1, 0))
+    assert bad == 1 and good == 0 and 0.02 < open_ < 0.1
