@@ -25,10 +25,9 @@ from pyspark.sql import functions as F
 from revlens.llm.common import arrow_map
 from revlens.llm.licence_texts import RULES, SENTENCES
 
-TRIGGER = (r"(?i)licen[cs]e|redistribut|warrant|permission|permitted|copyright holder|"
-           r"public domain|free software|\bmpl\b")
+TRIGGER = (r"(?i)licen[cs]e|redistribut|warrant|permission|permitted|copyright[\W_]+holder|"
+           r"public[\W_]+domain|free[\W_]+software|\bmpl\b")
 UNKNOWN = "UNKNOWN"
-WRAPPED = 12   # lines that one sentence may be wrapped over
 
 _FRAGMENT = re.compile(r"[^\n]*?(?:[.!?;:]+(?=\s)|(?=\n)|$)\s*")
 _WORDS = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
@@ -62,7 +61,7 @@ def identify(text: str, table: dict[tuple[str, ...], str],
         a, _, words = fragments[i]
         found, joined = 0, ()
         if words[0] in starts:
-            for j in range(i, min(i + WRAPPED, len(fragments))):
+            for j in range(i, len(fragments)):
                 joined += fragments[j][2]
                 if len(joined) > longest:
                     break

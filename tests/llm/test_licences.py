@@ -48,3 +48,22 @@ def test_lines_of_the_documents(spark, sf_dir):
     want = {r.doc_id: [lines[x] for x in r.text.split("\n") if x in lines] for r in docs.collect()}
     got = {r.id: [m.licence for m in r.licences] for r in L.scan(docs).collect()}
     assert got == want and any(want.values())
+
+
+@pytest.mark.parametrize("name", SENTENCES)
+@pytest.mark.parametrize("width", [1, 10, 24, 30, 36, 38])
+def test_sentences_wrapped_over_any_number_of_lines(name, width):
+    lines, line = [], ""
+    for word in SENTENCES[name].split():
+        if line and len(line) + 1 + len(word) > width:
+            lines.append(line)
+            line = ""
+        line = f"{line} {word}".strip()
+    text = "\n".join([*lines, line])
+    assert re.search(L.TRIGGER, text)
+    assert [x for x, _, _ in L.identify(text, TABLE, L._starts(TABLE))] == [name]
+
+
+def test_a_whole_licence_in_a_narrow_column():
+    names = ("MitGrant", "MitNotice", "MitAsIs", "MitLiability")
+    assert _licences("\n".join(" * " + w for n in names for w in SENTENCES[n].split())) == ["MIT"]
