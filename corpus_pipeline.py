@@ -30,7 +30,7 @@ def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     One of which nothing but blank lines is left goes; ``n_chars`` follows
     the text."""
     cut = line_dedup.dedup_lines(docs)
-    emptied = (F.col("_removed") > 0) & (F.trim(F.replace("text", F.lit("\n"), F.lit(""))) == "")
+    emptied = (F.col("_removed") > 0) & ~F.col("text").rlike(line_dedup.WORD)
     kept = cut.filter(~emptied)
     length = F.when(F.col("_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return kept.withColumn("n_chars", length).select(*docs.columns)

@@ -1,7 +1,8 @@
 """Line dedup by winnowing over line hashes (DataFrame operations only).
 
 Units are the non-blank lines of a document, each a 64-bit hash with its
-number of words (spaces + 1).  Documents are ordered by id, then text hash.
+number of words: runs of characters other than ASCII white space, as in
+``words``.  A line without words is blank.  Documents are ordered by id, then text hash.
 
 1. Windows.  The window of a line is the shortest run of lines from it that
    holds ``min_words`` words, so any run of that many words, one long line or
@@ -34,6 +35,7 @@ from revlens.llm.common import checkpointed
 
 MIN_WORDS = 50
 SALTS = 64
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -42,10 +44,9 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     exploded = docs.select(
         F.col(id_col).alias("id"), F.xxhash64(text).alias("th"),
         F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
-    bare = F.trim(F.col("line"))
-    spaces = F.length(bare) - F.length(F.replace(bare, F.lit(" "), F.lit("")))
-    hashed = exploded.filter(bare != "").select(
-        "id", "th", "pos", F.xxhash64("line").alias("h"), (spaces + 1).cast("long").alias("words"))
+    hashed = exploded.select(
+        "id", "th", "pos", F.xxhash64("line").alias("h"),
+        F.regexp_count("line", F.lit(WORD)).cast("long").alias("words")).filter("words > 0")
     # a document that stands in several equal rows is one document
     once = hashed.dropDuplicates(["id", "th", "pos"])
     in_doc = Window.partitionBy("id", "th").orderBy("pos")

@@ -1,4 +1,5 @@
 import random
+import re
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -71,3 +72,37 @@ def test_nulls_repeats_and_other_columns(small, none):
     assert texts[5] == ["", ""] and texts[9] == ["tail"] and texts[7] == ["a b c"]
     assert {r.id for r in got} == {r.id for r in small.collect()}
     assert L.dedup_lines(none).count() == 0
+
+
+def _brute_words(docs, least):
+    """Every pair of runs of lines, with words split at ASCII white space."""
+    def count(line):
+        return len([w for w in re.split("[ \\t-\\r]+", line) if w])
+    lines = {i: [(p, x, count(x)) for p, x in enumerate(t.split("\n")) if count(x)]
+             for i, t in docs.items()}
+    places = [(i, a) for i in sorted(lines) for a in range(len(lines[i]))]
+    gone = {i: set() for i in docs}
+    for i, a in places:
+        for j, c in places:
+            held, k = 0, 0
+            while (j, c) < (i, a) and a + k < len(lines[i]) and c + k < len(lines[j]) \
+                    and lines[i][a + k][1] == lines[j][c + k][1]:
+                held += lines[i][a + k][2]
+                k += 1
+            if held >= least:
+                gone[i] |= {lines[i][x][0] for x in range(a, a + k)}
+    return {i: "\n".join(x for p, x in enumerate(t.split("\n")) if p not in gone[i])
+            for i, t in docs.items()}
+
+
+def test_words_between_tabs_padding_and_crlf(spark):
+    row = "\t".join(f"cell{i}" for i in range(60))
+    padded = "two" + " " * 49 + "words"
+    table = "\n".join(f"name{i}" + " " * 12 + f"{i}" for i in range(5))
+    blank = "\r\n" * 55 + "\t\n" * 5
+    docs = {i: f"own {i}\r\n{part}\nend {i}" for i, part in enumerate(
+        [row, row, padded, padded, table, table, blank, blank])}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in L.dedup_lines(df).collect()}
+    assert got == _brute_words(docs, 50)
+    assert got == {**docs, 1: "own 1\r\nend 1"}
