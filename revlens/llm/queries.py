@@ -7,11 +7,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revlens.llm import (chat, decontaminate, exact_dedup, licences, line_dedup, near_dup, pieces,
-                         quality, secrets, sharding)
+from revlens.llm import (chat, decontaminate, exact_dedup, importance, licences, line_dedup, merkle,
+                         near_dup, packing, pieces, quality, secrets, sharding)
 from revlens.llm.common import table
 
 SHARDS = 24
+LEAF_FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
 
 def licence_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,6 +121,35 @@ def decontamination_query(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round("answer_overlap", 6).alias("answer_overlap"))
 
 
+def merkle_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of all documents, and what the root becomes where a third
+    of the documents has its text lower-cased."""
+    docs = table(spark, sf_dir, "documents")
+    capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    lowered = F.translate("text", capitals, capitals.lower())
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    rows = merkle.manifest(merkle.leaves(docs, LEAF_FIELDS, changed={"text": lowered},
+                                         where=tampered))
+    return rows.select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", "root",
+        F.sha2(merkle.siblings_of(F.col("proof")), 256).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def importance_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents weighed towards the benchmark's texts; 5 % of those with
+    at least 20 words are drawn."""
+    return importance.resample(table(spark, sf_dir, "documents"),
+                               table(spark, sf_dir, "benchmark")) \
+        .withColumnRenamed("id", "doc_id")
+
+
+def packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into windows of 2048 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), packing.load()) \
+        .withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op1_licence_scan": licence_query,
     "op2_sharding": sharding_query,
@@ -131,4 +161,7 @@ QUERIES = {
     "op8_sentencepiece": pieces_query,
     "op9_quality_classifier": quality_query,
     "op10_decontamination": decontamination_query,
+    "op11_merkle_manifest": merkle_query,
+    "op12_importance_resampling": importance_query,
+    "op13_packing": packing_query,
 }

@@ -127,9 +127,136 @@ SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_char
 FROM texts
 """
 
+_CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_LOWERED = f"translate({{0}}, '{_CAPITALS}', '{_CAPITALS.lower()}')"
+_BITS = """bits(i, k, c) AS (
+  SELECT range, 0, range::BIGINT FROM range(256)
+  UNION ALL
+  SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END
+  FROM bits WHERE k < 8
+), crc_table AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8)"""
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of a text that is not empty; ``t`` is the table's column."""
+    return f"""xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+      string_split(rtrim(regexp_replace(hex(encode({text})), '(..)', '\\1 ', 'g')), ' '),
+      lambda h: ('0x' || h)::BIGINT)),
+    lambda acc, b: xor(acc >> 8, t[(xor(acc, b) & 255) + 1])), 4294967295::BIGINT)"""
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen({value}::VARCHAR) || ':' || {value}::VARCHAR, '-')"
+
+
+def _leaf(text: str) -> str:
+    fields = ["doc_id", "source", "lang", "n_chars", text]
+    return "sha256(" + " || ".join(map(_field, fields)) + ")"
+
+
+# Levels grow from the leaves; the fold then climbs them once a document.
+MERKLE = f"""
+WITH RECURSIVE {_BITS},
+leaves AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS grp, {_leaf("text")} AS leaf,
+         CASE WHEN {_crc32("doc_id::VARCHAR")} % 3 = 0 THEN {_leaf(_LOWERED.format("text"))} END AS changed
+  FROM documents, crc_table
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id, leaf) - 1 AS pos,
+         count(*) OVER (PARTITION BY grp) AS n
+  FROM leaves
+), nodes(grp, level, pos, n, digest) AS (
+  SELECT grp, 0, pos, n, leaf FROM placed
+  UNION ALL
+  SELECT grp, level + 1, pos // 8, ceil(n / 8)::BIGINT, sha256(string_agg(digest, '' ORDER BY pos))
+  FROM nodes WHERE n > 1 GROUP BY grp, level, n, pos // 8
+), subroots AS (
+  SELECT grp, level AS height, digest AS subroot,
+         row_number() OVER (ORDER BY grp) - 1 AS pos, count(*) OVER () AS n
+  FROM nodes WHERE n = 1
+), tops(level, pos, n, digest) AS (
+  SELECT 0, pos, n, subroot FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 8, ceil(n / 8)::BIGINT, sha256(string_agg(digest, '' ORDER BY pos))
+  FROM tops WHERE n > 1 GROUP BY level, n, pos // 8
+), runs AS (
+  SELECT grp, level, pos // 8 AS run, list(digest ORDER BY pos) AS members
+  FROM nodes WHERE n > 1 GROUP BY grp, level, pos // 8
+), top_runs AS (
+  SELECT level, pos // 8 AS run, list(digest ORDER BY pos) AS members
+  FROM tops WHERE n > 1 GROUP BY level, pos // 8
+), climb(id, grp, level, pos, node, proof) AS (
+  SELECT row_number() OVER (), grp, 0, pos, coalesce(changed, leaf), '' FROM placed
+  UNION ALL
+  SELECT c.id, c.grp, c.level + 1, c.pos // 8,
+         sha256(array_to_string(m.members[1:c.pos % 8], '') || c.node
+                || array_to_string(m.members[c.pos % 8 + 2:], '')),
+         c.proof || array_to_string(m.members[1:c.pos % 8], '')
+                 || array_to_string(m.members[c.pos % 8 + 2:], '')
+  FROM climb c JOIN runs m ON m.grp = c.grp AND m.level = c.level AND m.run = c.pos // 8
+), joined AS (
+  SELECT c.id, c.grp, s.subroot, s.pos, c.node, c.proof
+  FROM climb c JOIN subroots s ON s.grp = c.grp AND s.height = c.level
+), rise(id, level, pos, node, proof) AS (
+  SELECT id, 0, pos, node, proof FROM joined
+  UNION ALL
+  SELECT r.id, r.level + 1, r.pos // 8,
+         sha256(array_to_string(m.members[1:r.pos % 8], '') || r.node
+                || array_to_string(m.members[r.pos % 8 + 2:], '')),
+         r.proof || array_to_string(m.members[1:r.pos % 8], '')
+                 || array_to_string(m.members[r.pos % 8 + 2:], '')
+  FROM rise r JOIN top_runs m ON m.level = r.level AND m.run = r.pos // 8
+), top AS (SELECT level AS height, digest AS root FROM tops WHERE n = 1)
+SELECT p.doc_id, p.leaf, j.subroot, top.root, sha256(r.proof) AS proof_sha256,
+       r.node AS folded_root, r.node = top.root AS verified
+FROM (SELECT *, row_number() OVER () AS id FROM placed) p
+JOIN joined j ON j.id = p.id JOIN rise r ON r.id = p.id JOIN top ON top.height = r.level
+"""
+
+_WORDS = f"regexp_extract_all({_LOWERED.format('text')}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_RUNS = """list_concat(w, list_concat(
+    list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]),
+    list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])))"""
+
+IMPORTANCE = f"""
+WITH RECURSIVE {_BITS},
+docs AS (SELECT row_number() OVER () AS row, doc_id, {_WORDS} AS w FROM documents),
+runs AS (SELECT row, unnest({_RUNS}) AS f FROM docs),
+wanted AS (SELECT unnest({_RUNS}) AS f FROM (SELECT {_WORDS} AS w FROM benchmark)),
+hashed AS (
+  SELECT f, {_crc32("f")} % 10000 AS bucket
+  FROM (SELECT f FROM runs UNION SELECT f FROM wanted), crc_table
+), source AS (SELECT bucket, count(*) AS s FROM runs JOIN hashed USING (f) GROUP BY bucket),
+target AS (SELECT bucket, count(*) AS t FROM wanted JOIN hashed USING (f) GROUP BY bucket),
+sums AS (SELECT (SELECT coalesce(sum(s), 0) FROM source)::DOUBLE + 10000 AS all_s,
+                (SELECT coalesce(sum(t), 0) FROM target)::DOUBLE + 10000 AS all_t),
+gains AS (
+  SELECT b.range AS bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * all_s
+                                            / ((coalesce(s, 0) + 1)::DOUBLE * all_t)))::BIGINT AS gain
+  FROM range(10000) b LEFT JOIN source ON source.bucket = b.range
+  LEFT JOIN target ON target.bucket = b.range, sums
+), weights AS (
+  SELECT row, count(*) AS n_features, sum(gain)::BIGINT AS weight
+  FROM runs JOIN hashed USING (f) JOIN gains USING (bucket) GROUP BY row
+), scored AS (
+  SELECT d.doc_id, coalesce(len(d.w), 0) AS words, coalesce(n_features, 0) AS n_features,
+         coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || d.doc_id), 1, 8))::BIGINT
+                                                     + 0.5) / 4294967296)))::BIGINT AS score
+  FROM docs d LEFT JOIN weights USING (row)
+), ranked AS (
+  SELECT *, row_number() OVER (ORDER BY words >= 20 DESC, score DESC, doc_id) AS place,
+         (5 * count(*) FILTER (words >= 20) OVER ()) // 100 AS drawn
+  FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= drawn THEN place END AS rank FROM ranked
+"""
+
 ORACLES = {
     "op2_sharding": SHARDING,
     "op3_line_dedup": LINE_DEDUP,
     "op4_exact_dedup": EXACT_DEDUP,
     "op7_chat_formatting": CHAT,
+    "op11_merkle_manifest": MERKLE,
+    "op12_importance_resampling": IMPORTANCE,
 }
