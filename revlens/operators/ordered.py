@@ -6,7 +6,15 @@ one task.  For inputs that grow with the data (customers, orders) the
 reports use the forms below instead; each is exact and equals the plain
 window function (see tests/test_ordered.py).
 
-Building block — *sorted ranges*: ``repartitionByRange(k)`` +
+*Selection* (percentiles, NTILE) finds the rows at given ranks without
+ordering the others (``operators.selection``).
+
+* percentile_cont (G3): the two order statistics of each share.
+* NTILE (G1): the last row of each tile; a row's tile is one more than the
+  number of such rows before it, a comparison per row.  Several NTILEs of one
+  table share their passes.
+
+*Sorted ranges* (ranks, running sums): ``repartitionByRange(k)`` +
 ``sortWithinPartitions`` + a reliable ``checkpoint()`` (written to the
 shared ``spark.checkpoint.dir``, so it survives executor loss and pins the
 range boundaries; a recomputed range sample could otherwise move rows
@@ -15,29 +23,30 @@ gives (range id, position) for free.  Per-range totals are one row per range
 (at most ``k`` rows, a bound fixed by the caller), so their offsets are
 computed by a tiny window and broadcast back.
 
-* row number / NTILE (G1): offset + position, then NTILE arithmetic.
-* RANK (G2): histogram of distinct values (partial aggregation, so a hot
-  value costs one row per task), exclusive prefix count, join back.  With
-  ``partition_by`` the prefix runs over (group, value) in composite order and
-  the rows of earlier groups are subtracted, so a group holding a third of
-  the input is still spread over many tasks.
-* RANGE cumulative sum (W8c): histogram with sums, inclusive prefix, join back.
-* percentile_cont (G3): histogram prefix counts locate the two order
-  statistics; the answer is a one-row DataFrame (use ``.scalar()``).
-
-There is one form, whatever the size of the input.  The range sample and the
-checkpoint each evaluate the input, so give a materialised one.
+* row number: offset + position.
+* RANK (G2) and RANGE running sums (W8c): the rows before a key are those of
+  earlier ranges and those before it in its own.  The order ends in a row id,
+  so a key that a third of the rows have is spread over many ranges; what a
+  range needs to know of the key it begins with is one row a range.  Nothing
+  is joined on the ranked value.  With ``partition_by`` the same layout also
+  gives the rows before each group.
+
+There is one form, whatever the size of the input.  Selection and the range
+sample read the input more than once, so give a materialised one.
 """
 
 from __future__ import annotations
 
-from typing import Sequence
+import math
+from typing import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from revlens.operators.selection import Order, literal, select_ranks, sort_key
 from revlens.session import ensure_checkpoint_dir
 
+
 def _order_exprs(order: Sequence) -> list[Column]:
     return [F.col(o) if isinstance(o, str) else o for o in order]
 
@@ -112,34 +121,82 @@ def ntile_from_row_number(rn: Column, total: Column, n: int) -> Column:
     return F.when(rn <= big, first).otherwise(rest).cast("int")
 
 
-def with_ntile(df: DataFrame, n: int, order: Sequence, name: str = "ntile",
-               num_partitions: int | None = None) -> DataFrame:
-    """G1: ``NTILE(n) OVER (ORDER BY order)``, distributed."""
-    out = with_row_number(df, order, "_rn", num_partitions, keep_total="_cnt")
-    return out.withColumn(name, ntile_from_row_number(F.col("_rn"), F.col("_cnt"), n)) \
-        .drop("_rn", "_cnt")
+def _last_ranks(rows: int, n: int) -> list[int]:
+    """Rank (from 0) of the last row of each tile but the last."""
+    q, m = divmod(rows, n)
+    return [t * q + min(t, m) - 1 for t in range(1, n) if t * q + min(t, m) > 0]
+
+
+def with_ntiles(df: DataFrame, n: int, orders: Mapping[str, Order],
+                rows: int | None = None) -> DataFrame:
+    """G1: ``NTILE(n) OVER (ORDER BY order)`` for each name, distributed and
+    in shared passes: no row moves.
+
+    An order is a list of columns or (column, descending) pairs and should be
+    total (add a unique tie-break): rows equal in all of it share a tile.
+    ``rows`` is the number of rows of ``df`` where it is known."""
+    rows = df.count() if rows is None else rows
+    ranks = _last_ranks(rows, n)
+    found = select_ranks(df, [(order, ranks, rows) for order in orders.values()])
+    tiles = {}
+    for (name, order), (bounds, kind) in zip(orders.items(), found):
+        key = sort_key(df, order)
+        tiles[name] = sum(((key > literal(b, kind)).cast("int") for b in bounds), F.lit(1))
+    return df.withColumns(tiles)
+
+
+def with_ntile(df: DataFrame, n: int, order: Order, name: str = "ntile") -> DataFrame:
+    """G1 for one order."""
+    return with_ntiles(df, n, {name: order})
 
 
 def _key_order(key: str, desc: bool) -> Column:
     return F.col(key).desc_nulls_last() if desc else F.col(key).asc_nulls_first()
 
 
-def _prefix_over_values(hist: DataFrame, key: str, desc: bool, value: str,
-                        num_partitions: int | None) -> DataFrame:
-    """Inclusive running sum of ``value`` over ``hist`` ordered by ``key``
-    (one row per distinct key): adds ``_cum``."""
-    return _prefix_over(hist, [_key_order(key, desc)], value, num_partitions)
-
+def _sums_before(df: DataFrame, order: Sequence[Column], keys: Sequence[Sequence[str]],
+                 weight: Column, num_partitions: int | None) -> tuple[DataFrame, list[str]]:
+    """``df`` with, for each list of leading sort columns in ``keys``, the sum
+    of ``weight`` over all rows that come before the row's value of them.
 
-def _prefix_over(hist: DataFrame, order: Sequence[Column], value: str,
-                 num_partitions: int | None) -> DataFrame:
-    """Inclusive running sum of ``value`` over ``hist`` in ``order``: adds ``_cum``."""
-    ranges = sorted_ranges(hist, order, num_partitions)
-    offsets = _range_offsets(ranges, F.col(value))
-    inside = Window.partitionBy("_rid").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
-    return (ranges.join(offsets, "_rid")
-            .withColumn("_cum", F.col("_soff") + F.sum(value).over(inside))
-            .drop("_rid", "_pos", "_off", "_total", "_soff"))
+    The rows are laid out once.  Inside a range the sums are windows over the
+    range; a value that began in an earlier range starts where it began there,
+    which the table of one row per range tells."""
+    laid = sorted_ranges(df.withColumn("_tie", F.monotonically_increasing_id()),
+                         [*order, "_tie"], num_partitions).drop("_tie").withColumn("_w", weight)
+    exprs = _order_exprs(order)
+    local, value = [f"_local{i}" for i in range(len(keys))], [f"_key{i}" for i in range(len(keys))]
+    ranged = laid
+    for i, names in enumerate(keys):
+        through = F.sum("_w").over(Window.partitionBy("_rid").orderBy(*exprs[:len(names)]))
+        own = F.sum("_w").over(Window.partitionBy("_rid", *names))
+        ranged = ranged.withColumns({local[i]: through - own,
+                                     value[i]: F.struct(*[F.col(f"`{c}`") for c in names])})
+    ends = ranged.groupBy("_rid").agg(
+        F.sum("_w").alias("_sum"), *[f(v, "_pos").alias(f"{v}{end}") for v in value
+                                     for f, end in ((F.min_by, "_first"), (F.max_by, "_last"))],
+        *[F.max_by(c, "_pos").alias(f"{c}_last") for c in local])
+    earlier = Window.orderBy("_rid").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("_off", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)))
+    for i, v in enumerate(value):
+        # a value is a struct, so null only says that there is no range before
+        goes_on = F.lag(f"{v}_last").over(Window.orderBy("_rid")).eqNullSafe(F.col(f"{v}_first"))
+        only = F.col(f"{v}_first").eqNullSafe(F.col(f"{v}_last"))
+        ends = ends.withColumn(f"_goes_on{i}", goes_on)
+        ends = ends.withColumn(f"_began{i}", F.when(~(F.col(f"_goes_on{i}") & only),
+                                                    F.col("_off") + F.col(f"{local[i]}_last")))
+        began = F.last(f"_began{i}", ignorenulls=True).over(earlier)
+        ends = ends.withColumn(f"_start{i}", F.when(F.col(f"_goes_on{i}"), began)
+                               .otherwise(F.col("_off")))
+    # at most k rows (one per range): a bounded broadcast by construction
+    known = F.broadcast(ends.select("_rid", "_off", *[F.col(f"{v}_first") for v in value],
+                                    *[F.col(f"_start{i}") for i in range(len(keys))]))
+    out = ranged.join(known, "_rid")
+    sums = [f"_before{i}" for i in range(len(keys))]
+    out = out.withColumns({name: F.when(F.col(value[i]).eqNullSafe(F.col(f"{value[i]}_first")),
+                                        F.col(f"_start{i}")).otherwise(F.col("_off") + F.col(local[i]))
+                           for i, name in enumerate(sums)})
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], *sums), sums
 
 
 def with_rank(df: DataFrame, key: str, desc: bool = True, name: str = "rank",
@@ -149,72 +206,61 @@ def with_rank(df: DataFrame, key: str, desc: bool = True, name: str = "rank",
     distributed (gaps after ties; NULL lowest: last in DESC, first in ASC).
 
     With ``partition_by`` a group may be as large as a third of the input:
-    the rank is a prefix count over (group, key) in composite order minus the
-    rows of earlier groups, so no group is ordered inside one task."""
-    if partition_by is not None:
-        return _partitioned_rank(df, partition_by, key, desc, name, num_partitions)
-    hist = df.groupBy(key).agg(F.count(F.lit(1)).alias("_c"))
-    ranked = _prefix_over_values(hist, key, desc, "_c", num_partitions) \
-        .select(F.col(key).alias("_k"), (F.col("_cum") - F.col("_c") + 1).cast("int").alias(name))
-    return df.join(ranked, df[key].eqNullSafe(ranked["_k"]), "left").drop("_k")
-
-
-def _partitioned_rank(df: DataFrame, group: str, key: str, desc: bool, name: str,
-                      num_partitions: int | None) -> DataFrame:
-    hist = df.groupBy(group, key).agg(F.count(F.lit(1)).alias("_c"))
-    group_order = F.col(group).asc_nulls_first()
-    cum = _prefix_over(hist, [group_order, _key_order(key, desc)], "_c", num_partitions)
-    sizes = hist.groupBy(group).agg(F.sum("_c").alias("_g"))
-    starts = _prefix_over(sizes, [group_order], "_g", num_partitions) \
-        .select(F.col(group).alias("_grp"), (F.col("_cum") - F.col("_g")).alias("_start"))
-    ranked = cum.join(starts, cum[group].eqNullSafe(starts["_grp"]), "left").select(
-        F.col(group).alias("_gk"), F.col(key).alias("_k"),
-        (F.col("_cum") - F.col("_c") - F.col("_start") + 1).cast("int").alias(name))
-    cond = df[group].eqNullSafe(ranked["_gk"]) & df[key].eqNullSafe(ranked["_k"])
-    return df.join(ranked, cond, "left").drop("_gk", "_k")
+    the rank counts the rows before (group, key) in composite order minus the
+    rows before the group, so no group is ordered inside one task."""
+    group = [] if partition_by is None else [partition_by]
+    order = [*[F.col(g).asc_nulls_first() for g in group], _key_order(key, desc)]
+    keys = [[*group, key], group] if group else [[key]]
+    out, (before, *start) = _sums_before(df, order, keys, F.lit(1).cast("long"), num_partitions)
+    rank = F.col(before) + 1 - (F.col(start[0]) if start else F.lit(0))
+    return out.withColumn(name, rank.cast("int")).drop(before, *start)
 
 
 def with_range_cumsum(df: DataFrame, key: str, value: str, desc: bool = True,
                       name: str = "cumulative", num_partitions: int | None = None) -> DataFrame:
     """``SUM(value) OVER (ORDER BY key [DESC])`` with the default RANGE
-    frame — rows with equal keys share one cumulative value."""
-    hist = df.groupBy(key).agg(F.sum(value).alias("_v"))
-    cum = _prefix_over_values(hist, key, desc, "_v", num_partitions) \
-        .select(F.col(key).alias("_k"), F.col("_cum").alias(name))
-    return df.join(cum, df[key].eqNullSafe(cum["_k"]), "left").drop("_k")
+    frame — rows with equal keys share one cumulative value: the total less
+    what comes before the key in the opposite order."""
+    backwards = F.col(key).asc_nulls_first() if desc else F.col(key).desc_nulls_last()
+    out, (before,) = _sums_before(df, [backwards], [[key]], F.coalesce(F.col(value), F.lit(0)),
+                                  num_partitions)
+    return out.withColumn(name, df.agg(F.sum(value)).scalar() - F.col(before)).drop(before)
+
+
+def percentile_values(df: DataFrame, shares: Mapping[str, Sequence[float]]
+                      ) -> dict[str, list[float | None]]:
+    """Exact ``PERCENTILE_CONT`` of several columns (NULLs ignored) for
+    several shares each, with linear interpolation between the two order
+    statistics; None for a column without values.  All columns share the
+    passes over ``df``."""
+    if any(not 0.0 <= p <= 1.0 for ps in shares.values() for p in ps):
+        raise ValueError("p must be in [0, 1]")
+    counts = df.agg(*[F.count(f"`{c}`").alias(f"n{i}") for i, c in enumerate(shares)],
+                    F.count(F.lit(1)).alias("rows")).first()
+    wanted, places = [], []
+    for i, (column, ps) in enumerate(shares.items()):
+        rows, nulls = counts[f"n{i}"], counts["rows"] - counts[f"n{i}"]
+        at = [p * (rows - 1) for p in ps] if rows else []
+        ranks = sorted({r for x in at for r in (math.floor(x), math.ceil(x))})
+        places.append((at, ranks))
+        wanted.append(([column], [r + nulls for r in ranks], counts["rows"]))   # NULLs come first
+    out = {}
+    for (column, ps), (at, ranks), (found, _) in zip(shares.items(), places, select_ranks(df, wanted)):
+        value = {r: float(key[1]) for r, key in zip(ranks, found)}
+        out[column] = [value[math.floor(x)] + (value[math.ceil(x)] - value[math.floor(x)])
+                       * (x - math.floor(x)) for x in at] or [None] * len(ps)
+    return out
 
 
 def percentiles_cont(df: DataFrame, col: str, shares: Sequence[float],
-                     names: Sequence[str] | None = None,
-                     num_partitions: int | None = None) -> DataFrame:
-    """Exact ``PERCENTILE_CONT`` of ``col`` (NULLs ignored) for several
-    shares in one pass, as a one-row DataFrame, with linear interpolation
-    between the two order statistics of each."""
-    if any(not 0.0 <= p <= 1.0 for p in shares):
-        raise ValueError("p must be in [0, 1]")
+                     names: Sequence[str] | None = None) -> DataFrame:
+    """G3 of one column as a one-row DataFrame."""
     names = list(names or [f"p{i}" for i in range(len(shares))])
-    hist = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_c"))
-    hist = materialize(hist)
-    cum = _prefix_over_values(hist, col, False, "_c", num_partitions)
-    total = hist.agg(F.sum("_c")).scalar()   # scalar subquery, runs once
-    located = cum.withColumn("_n", total).withColumn("_start", F.col("_cum") - F.col("_c"))
-
-    def value_at(rank: Column) -> Column:
-        hit = (F.col("_start") <= rank) & (rank < F.col("_cum"))
-        return F.max(F.when(hit, F.col(col))).cast("double")
-
-    aggs = []
-    for i, p in enumerate(shares):
-        pos = F.lit(p) * (F.col("_n") - 1)
-        aggs += [value_at(F.floor(pos)).alias(f"_lo{i}"), value_at(F.ceil(pos)).alias(f"_hi{i}"),
-                 F.max(pos - F.floor(pos)).alias(f"_f{i}")]
-    picked = located.agg(*aggs)
-    return picked.select(*[
-        (F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_f{i}")).alias(name)
-        for i, name in enumerate(names)])
-
-
-def percentile_cont(df: DataFrame, col: str, p: float = 0.5, name: str = "percentile",
-                    num_partitions: int | None = None) -> DataFrame:
+    values = percentile_values(df, {col: shares})[col]
+    return df.sparkSession.range(1).select(*[F.lit(v).cast("double").alias(n)
+                                             for v, n in zip(values, names)])
+
+
+def percentile_cont(df: DataFrame, col: str, p: float = 0.5, name: str = "percentile") -> DataFrame:
     """G3 for one share."""
-    return percentiles_cont(df, col, [p], [name], num_partitions)
+    return percentiles_cont(df, col, [p], [name])

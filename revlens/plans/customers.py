@@ -5,8 +5,8 @@ All three are functions of one row per customer (the ``customer`` grain:
 ``_rev``, ``_orders``, ``_first``, ``_last``); the ``*_from`` forms take that
 table as is.  The customer table grows with the data, so nothing here
 orders it inside a single task beyond a proven size bound: the rank, both
-NTILEs and the median use the operators of ``revlens.operators.ordered``;
-mean, median and the anchor date are scalar subqueries (one row).
+NTILEs (in shared passes) and the median use the operators of
+``revlens.operators.ordered``; mean, median and anchor date are one row.
 ``COUNT(DISTINCT order)`` per customer is planned by Spark as a two-level
 aggregation keyed by (customer, order) first, so a very large customer is
 spread over many tasks.
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from revlens.functions.semantics import (MILLION, THOUSAND, day_diff, first_match,
                                          month_boundaries, safe_div, scale_round,
                                          scale_round_dec, snap_round)
-from revlens.operators.ordered import materialize, percentile_cont, with_ntile, with_rank
+from revlens.operators.ordered import materialize, percentile_values, with_ntiles, with_rank
 from revlens.plans.common import reads
 from revlens.plans.grains import by_customer
 
@@ -46,10 +46,10 @@ def customer_ranking_from(customers: DataFrame, approx_median: bool = False,
     per = materialize(per)          # mean, median and rank all read it
     mean = snap_round(per.agg(F.sum("_value").cast("double") / F.count("_value")).scalar(), 1)
     if approx_median:
-        median_df = per.agg(F.percentile_approx(F.col("_value").cast("double"), 0.5, accuracy))
+        middle = per.agg(F.percentile_approx(F.col("_value").cast("double"), 0.5, accuracy)).scalar()
     else:
-        median_df = percentile_cont(per, "_value", 0.5)
-    median = snap_round(median_df.scalar(), 2)
+        middle = F.lit(percentile_values(per, {"_value": [0.5]})["_value"][0]).cast("double")
+    median = snap_round(middle, 2)
     per = with_rank(per, "_value", desc=True, name="rank")
     return per.select(
         "Customer", F.col("_value").cast("double").alias("Total_Order_Value"),
@@ -111,15 +111,13 @@ def rfm_segmentation_from(customers: DataFrame, recency_bounds=RECENCY_BOUNDS,
         raise ValueError("score_direction must be 'reference' or 'high_is_best'")
     desc = score_direction == "reference"
 
-    def order(c):
-        return [F.col(c).desc() if desc else F.col(c).asc(), F.col("Customer").asc()]
-
     base = materialize(customers.select(       # both NTILEs and the anchor read it
         "Customer", "_last", F.col("_orders").alias("Frequency"),
         scale_round_dec("_rev", THOUSAND, 2).alias("_monetary")))
-    scored = with_ntile(base, 5, order("Frequency"), name="F_Score")
-    scored = with_ntile(scored, 5, order("_monetary"), name="M_Score")
-    anchor = scored.agg(F.max("_last")).scalar()            # = MAX(order_date) of the table
+    whole = base.agg(F.count(F.lit(1)).alias("n"), F.max("_last").alias("last")).first()
+    scored = with_ntiles(base, 5, {"F_Score": [("Frequency", desc), "Customer"],
+                                   "M_Score": [("_monetary", desc), "Customer"]}, rows=whole["n"])
+    anchor = F.lit(whole["last"]).cast("date")              # = MAX(order_date) of the table
     scored = scored.withColumn("Recency", day_diff("_last", anchor)) \
         .withColumn("R_Score", recency_score("Recency", recency_bounds))
     total = F.col("R_Score") + F.col("F_Score") + F.col("M_Score")

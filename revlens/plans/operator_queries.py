@@ -314,7 +314,7 @@ def partitioned_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 def global_ntile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Value decile of every order (distributed NTILE(10); ties by order number)."""
     totals = order_totals(sales_fact(spark, sf_dir, columns=("order_number", "revenue")))
-    dec = with_ntile(totals, 10, [F.col("total_purchase").desc(), F.col("order_number").asc()],
+    dec = with_ntile(materialize(totals), 10, [("total_purchase", True), "order_number"],
                      "Value_Decile")
     return dec.select("order_number", F.col("total_purchase").cast("double").alias("Order_Total"),
                       F.col("Value_Decile").cast("long").alias("Value_Decile"))
