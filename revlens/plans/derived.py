@@ -12,50 +12,52 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from revlens.functions.semantics import MILLION, safe_div, scale_round, snap_round
-from revlens.operators.ordered import materialize, percentile_cont
+from revlens.operators.ordered import materialize, percentile_values
 from revlens.plans.common import reads
-from revlens.plans.customers import customer_ranking, rfm_segmentation
+from revlens.plans.customers import RECENCY_BOUNDS, customer_ranking, rfm_segmentation
 from revlens.plans.grains import margin_mean
-from revlens.plans.products import abc_pareto
+from revlens.plans.products import ABC_CUTS, abc_pareto
 
 
 @reads("order_number", "customer_name", "revenue", "profit")
 def headline_kpis(sales: DataFrame, approx_distinct: bool = False, rsd: float = 0.01) -> DataFrame:
     """One row — revenue, profit, weighted margin, orders, customers.
 
-    The two distinct counts are scalar subqueries of their own (each a
-    two-level aggregation) instead of one multi-distinct Expand.  With
-    ``approx_distinct=True`` (opt-in) they are HyperLogLog++ sketches
-    (``approx_count_distinct``, relative standard deviation ``rsd``): one
-    pass, no shuffle of the keys."""
+    One pass over the fact: it is first summed per (order, customer), and the
+    two sums and the two exact distinct counts are taken from these rows, so
+    the rows that Spark repeats for a second distinct count are orders and not
+    order lines.  NULL is no order and no customer.  With
+    ``approx_distinct=True`` (opt-in) the counts are HyperLogLog++ sketches
+    (``approx_count_distinct``, relative standard deviation ``rsd``): no
+    shuffle of the keys."""
+    sums = [F.sum("revenue").alias("_rev"), F.sum("profit").alias("_profit")]
     if approx_distinct:
-        sums = sales.agg(F.sum("revenue").alias("_rev"), F.sum("profit").alias("_profit"),
-                         F.approx_count_distinct("order_number", rsd).alias("Orders"),
-                         F.approx_count_distinct("customer_name", rsd).alias("Customers"))
-        return sums.select(
-            F.col("_rev").cast("double").alias("Total_Revenue"),
-            F.round("_profit", 2).cast("double").alias("Total_Profit"),
-            snap_round(safe_div(F.col("_profit").cast("double"),
-                                F.col("_rev").cast("double")) * 100, 2).alias("Profit_Margin_Pct"),
-            "Orders", "Customers")
-    orders = sales.select("order_number").distinct()
-    customers = sales.select("customer_name").distinct()
-    sums = sales.agg(F.sum("revenue").alias("_rev"), F.sum("profit").alias("_profit"))
-    return headline_kpis_from(sums, customers, orders)
-
-
-def headline_kpis_from(measures: DataFrame, customers: DataFrame, orders: DataFrame) -> DataFrame:
-    """D1 from revenue/profit measures at any grain and one row per customer
-    and per order."""
-    n_orders = orders.agg(F.count(F.lit(1))).scalar()
-    n_customers = customers.agg(F.count(F.lit(1))).scalar()
-    sums = measures.agg(F.sum("_rev").alias("_rev"), F.sum("_profit").alias("_profit"))
-    return sums.select(
+        row = sales.agg(*sums, F.approx_count_distinct("order_number", rsd).alias("Orders"),
+                        F.approx_count_distinct("customer_name", rsd).alias("Customers"))
+    else:
+        row = sales.groupBy("order_number", "customer_name").agg(*sums).agg(
+            F.sum("_rev").alias("_rev"), F.sum("_profit").alias("_profit"),
+            F.count_distinct("order_number").alias("Orders"),
+            F.count_distinct("customer_name").alias("Customers"))
+    return _kpi_columns(row)
+
+
+def _kpi_columns(row: DataFrame) -> DataFrame:
+    return row.select(
         F.col("_rev").cast("double").alias("Total_Revenue"),
         F.round("_profit", 2).cast("double").alias("Total_Profit"),
         snap_round(safe_div(F.col("_profit").cast("double"), F.col("_rev").cast("double")) * 100,
                    2).alias("Profit_Margin_Pct"),
-        n_orders.alias("Orders"), n_customers.alias("Customers"))
+        "Orders", "Customers")
+
+
+def headline_kpis_from(measures: DataFrame, customers: DataFrame, orders: DataFrame) -> DataFrame:
+    """D1 from revenue/profit measures at any grain and one row per customer
+    (``Customer``) and per order (``order_number``)."""
+    n_orders = orders.agg(F.count("order_number")).scalar()
+    n_customers = customers.agg(F.count("Customer")).scalar()
+    return _kpi_columns(measures.agg(F.sum("_rev").alias("_rev"), F.sum("_profit").alias("_profit"))
+                        .withColumns({"Orders": n_orders, "Customers": n_customers}))
 
 
 @reads("us_region", "revenue")
@@ -74,9 +76,9 @@ def region_performance_from(measures: DataFrame) -> DataFrame:
 
 
 @reads("customer_name", "order_date", "order_number", "revenue")
-def rfm_segment_mix(sales: DataFrame) -> DataFrame:
+def rfm_segment_mix(sales: DataFrame, recency_bounds=RECENCY_BOUNDS) -> DataFrame:
     """D3: customers, monetary total (thousands) and mean frequency per segment."""
-    return rfm_segment_mix_from(rfm_segmentation(sales))
+    return rfm_segment_mix_from(rfm_segmentation(sales, recency_bounds))
 
 
 def rfm_segment_mix_from(rfm: DataFrame) -> DataFrame:
@@ -99,8 +101,8 @@ def product_quadrants(sales: DataFrame) -> DataFrame:
 def product_quadrants_from(measures: DataFrame) -> DataFrame:
     per = materialize(measures.groupBy("Product").agg(
         F.sum("_rev").cast("double").alias("_rev"), margin_mean().alias("_margin")))
-    med_rev = percentile_cont(per, "_rev", 0.5).scalar()
-    med_margin = percentile_cont(per, "_margin", 0.5).scalar()
+    medians = percentile_values(per, {"_rev": [0.5], "_margin": [0.5]})   # in shared passes
+    med_rev, med_margin = (F.lit(medians[c][0]).cast("double") for c in ("_rev", "_margin"))
     margin_label = F.when(F.col("_margin") >= med_margin, "High Margin").otherwise("Low Margin")
     volume_label = F.when(F.col("_rev") >= med_rev, "High Volume").otherwise("Low Volume")
     return per.select(
@@ -143,9 +145,9 @@ def repeat_purchase_from(customers: DataFrame) -> DataFrame:
 
 
 @reads("product_name", "revenue")
-def abc_mix(sales: DataFrame) -> DataFrame:
+def abc_mix(sales: DataFrame, cuts=ABC_CUTS) -> DataFrame:
     """Products and revenue share per ABC class (from B18)."""
-    return abc_mix_from(abc_pareto(sales))
+    return abc_mix_from(abc_pareto(sales, cuts))
 
 
 def abc_mix_from(abc: DataFrame) -> DataFrame:

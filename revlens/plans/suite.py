@@ -2,11 +2,12 @@
 
 Run one report at a time and every report aggregates the fact again: the
 per-customer reports each repeat the two-level ``COUNT(DISTINCT order)``
-shuffle.  ``run_reports`` instead aggregates the fact once per grain (month,
-product x year, customer, channel x product, state x region, order),
-checkpoints each grain in the shared checkpoint folder, and derives every
-report from its grain — six passes over the fact for 27 reports.  The
-results are identical to the single-report functions (tests/test_suite.py).
+shuffle.  ``run_reports`` instead aggregates the fact to two bases (orders;
+products x channels x years), rolls these up to the grains (month, product x
+year, customer, channel x product, state x region, order), checkpoints each
+in the shared checkpoint folder, and derives every report from its grain —
+two passes over the fact for 27 reports.  The results are identical to the
+single-report functions (tests/test_suite.py).
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 
 from revlens.operators.ordered import materialize
 from revlens.plans import channels, customers, derived, geo, orders, products, trend
-from revlens.plans.grains import GRAINS
+from revlens.plans.grains import BASES, GRAINS
 
 # report key -> (grains it reads, builder(grain tables, finished reports) -> DataFrame)
 Builder = Callable[[dict, dict], DataFrame]
@@ -101,15 +102,20 @@ def _pool_map(fn, items, parallel: int):
 
 
 def _grains_for(sales: DataFrame, order: list[str], parallel: int) -> dict[str, DataFrame]:
+    """The grains that the reports read: rolled up from a base where several
+    share it, from the fact where one stands alone."""
     needed = sorted({g for name in order for g in CATALOGUE[name][0]})
-    built = _pool_map(lambda g: materialize(GRAINS[g](sales)), needed, parallel)
+    shared = [base for base, grains in BASES.items() if len(set(grains) & set(needed)) > 1]
+    bases = _pool_map(lambda base: materialize(base(sales)), shared, parallel)
+    source = {g: at for base, at in zip(shared, bases) for g in BASES[base]}
+    built = _pool_map(lambda g: materialize(GRAINS[g](source.get(g, sales))), needed, parallel)
     return dict(zip(needed, built))
 
 
 def run_reports(sales: DataFrame, names: Iterable[str] | None = None,
                 parallel: int = 1) -> dict[str, DataFrame]:
     """Every requested report (default: the whole catalogue) as DataFrames;
-    the grains they need are aggregated and checkpointed once (``parallel``
+    the grains they need are rolled up and checkpointed once (``parallel``
     grains at a time: concurrent Spark jobs from driver threads)."""
     wanted, order = _plan_order(names)
     grains = _grains_for(sales, order, parallel)
