@@ -9,12 +9,13 @@ rows into accepted and quarantined with the reasons attached.
 from __future__ import annotations
 
 from functools import reduce
-from typing import Mapping
+from typing import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from revlens.operators.ordered import materialize
 from revlens.schema import MAX_TEXT_LENGTH, SALES_SCHEMA
 
 
@@ -49,13 +50,36 @@ def null_counts(df: DataFrame) -> DataFrame:
     return _unpivot_one_row(counts, names, "null_count")
 
 
-def duplicate_rows(df: DataFrame) -> DataFrame:
+#: Digests that repeat, up to which they are sent to all tasks (16 bytes each).
+BROADCAST_DIGESTS = 1 << 20
+
+
+def row_digest(df: DataFrame) -> Column:
+    """128 bits of a whole row; NULLs count.  Equal rows have equal digests."""
+    columns = [_q(c) for c in df.columns]
+    empty = [c.isNull() for c in columns]
+    return F.struct(F.xxhash64(*columns, *empty).alias("a"),
+                    F.xxhash64(F.lit("second"), *empty, *columns).alias("b"))
+
+
+def duplicate_rows(df: DataFrame, digest: Callable[[DataFrame], Column] = row_digest) -> DataFrame:
     """Q3: number of excess full-row copies (pandas ``duplicated().sum()``:
     the first copy is not counted; NULLs compare equal).
 
-    A group-by on all columns: partial aggregation combines copies map-side,
-    so a row repeated a billion times is one row per task in the shuffle."""
-    groups = df.groupBy(*[_q(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_copies"))
+    Two phases: first only a digest of 16 bytes a row is counted, with
+    map-side combine, so the shuffle does not follow the rows' width and a row
+    repeated a billion times is one entry a task.  Then the rows whose digest
+    repeats, and no others, are compared whole, so two different rows with one
+    digest are not taken for copies.  The first phase runs when this is
+    called."""
+    tagged = df.withColumn("_digest", digest(df))
+    seen = tagged.groupBy("_digest").agg(F.count(F.lit(1)).alias("_rows"))
+    repeated = materialize(seen.filter("_rows > 1").select("_digest"))
+    if repeated.limit(BROADCAST_DIGESTS + 1).count() <= BROADCAST_DIGESTS:
+        repeated = F.broadcast(repeated)
+    suspects = tagged.join(repeated, "_digest", "left_semi")
+    groups = suspects.groupBy("_digest", *[_q(c) for c in df.columns]) \
+        .agg(F.count(F.lit(1)).alias("_copies"))
     return groups.agg(F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).cast("long")
                       .alias("duplicate_rows"))
 

@@ -19,6 +19,27 @@ def test_duplicates_count_excess_copies_nulls_equal(spark):
     assert duplicate_rows(df).first().duplicate_rows == 2
 
 
+def test_duplicates_with_one_digest_are_compared_whole(spark):
+    df = spark.createDataFrame([(i % 40, "x" if i % 3 else None) for i in range(200)], "a int, b string")
+    want = 200 - df.distinct().count()
+    assert duplicate_rows(df).first().duplicate_rows == want
+    for clash in (lambda d: F.struct(F.lit(1).alias("a")), lambda d: F.struct((F.col("a") % 2).alias("a"))):
+        assert duplicate_rows(df, digest=clash).first().duplicate_rows == want
+    assert duplicate_rows(df.filter("a > 90")).first().duplicate_rows == 0
+    swapped = spark.createDataFrame([(None, "a"), ("a", None), ("", None), (None, "")], "x string, y string")
+    assert duplicate_rows(swapped).first().duplicate_rows == 0
+
+
+def test_no_wide_row_is_shuffled_without_repeats(spark, tmp_path):
+    wide = spark.range(2000).select("id", F.repeat(F.lit("wide text "), 50).alias("t"),
+                                    F.sha2(F.col("id").cast("string"), 512).alias("u"))
+    wide.write.parquet(str(tmp_path / "wide"))
+    df = duplicate_rows(spark.read.parquet(str(tmp_path / "wide")))
+    assert df.first().duplicate_rows == 0
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_null_counts_include_nan(spark):
     df = spark.createDataFrame([(1.0, "a"), (float("nan"), None), (None, "c")], "x double, s string")
     got = {r.column: r.null_count for r in null_counts(df).collect()}
