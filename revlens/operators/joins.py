@@ -3,14 +3,17 @@
 The reference enriches its order lines with five left joins and prints the
 row count after each to make sure it did not change.  Here the guard is a
 uniqueness check on the *dimension* keys (the big side is never counted),
-executed as one distributed aggregation, or a skew-safe de-duplication.
+executed as one distributed aggregation, or a skew-safe de-duplication, or a
+``JoinWatch``: observed metrics of every join (rows in, rows out, rows without
+a match, missing keys), gathered by the job that computes the result anyway.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -18,6 +21,60 @@ class DuplicateKeyError(ValueError):
     """A lookup table has more than one row for some key (would fan out)."""
 
 
+@dataclass(frozen=True)
+class JoinCounts:
+    """What a left join did: a row without a match has a key that the lookup
+    lacks, or (``null_keys`` of them) a missing key."""
+    name: str
+    rows_in: int
+    rows_out: int
+    unmatched: int
+    null_keys: int
+
+
+class JoinWatch:
+    """Metrics of lookup joins, counted inside the job that runs them.
+
+    Give it to the joins, run an action on their result, then read
+    ``counts()``: no job of its own.  Counts are of the first action; a stage
+    that Spark runs again after losing an executor may count rows twice, so
+    ``check`` is a gate against bad data and no ledger."""
+
+    def __init__(self) -> None:
+        self._joins: list[tuple[str, Observation, Observation]] = []
+
+    def join(self, fact: DataFrame, name: str, left_keys: Sequence[str], run) -> DataFrame:
+        """``run(fact, hit)`` joins and leaves the column ``hit``, null in
+        rows without a match."""
+        number, hit = len(self._joins), f"_hit{len(self._joins)}"
+        before, after = (Observation(f"{name} {number} {end}") for end in ("in", "out"))
+        missing = F.lit(False)
+        for key in left_keys:
+            missing = missing | F.col(f"`{key}`").isNull()
+        joined = run(fact.observe(before, F.count(F.lit(1)).alias("rows"),
+                                  F.count_if(missing).alias("null_keys")), hit)
+        self._joins.append((name, before, after))
+        return joined.observe(after, F.count(F.lit(1)).alias("rows"),
+                              F.count_if(F.col(hit).isNull()).alias("unmatched")).drop(hit)
+
+    def counts(self) -> list[JoinCounts]:
+        return [JoinCounts(name, before.get["rows"], after.get["rows"], after.get["unmatched"],
+                           before.get["null_keys"]) for name, before, after in self._joins]
+
+    def check(self) -> None:
+        """Raises if a lookup has several rows for some key."""
+        grown = [f"{c.name} ({c.rows_in} rows became {c.rows_out})" for c in self.counts()
+                 if c.rows_out > c.rows_in]
+        if grown:
+            raise DuplicateKeyError(f"duplicate keys in {', '.join(grown)}")
+
+    def lost(self) -> str:
+        """The lookups that left rows without a match, as text."""
+        return ", ".join(f"{c.name}: {c.unmatched} of {c.rows_in} rows without a match"
+                         + (f" ({c.null_keys} without a key)" if c.null_keys else "")
+                         for c in self.counts() if c.unmatched)
+
+
 def _as_list(x) -> list[str]:
     return [x] if isinstance(x, str) else list(x)
 
@@ -53,12 +110,14 @@ def dedupe_first(dim: DataFrame, keys: Sequence[str], order_by: str) -> DataFram
 def lookup_join(fact: DataFrame, dim: DataFrame, left_on, right_on=None, *,
                 how: str = "left", on_duplicate: str = "error", order_by: str | None = None,
                 null_safe: bool = False, drop_right_keys: bool = False,
-                name: str = "lookup") -> DataFrame:
+                name: str = "lookup", watch: JoinWatch | None = None) -> DataFrame:
     """Left (by default) equi-join of a fact with a lookup table.
 
     * ``right_on=None`` joins on same-named keys and keeps one key column (J5).
     * ``on_duplicate``: ``'error'`` (J6 check first), ``'first'`` (keep the
-      row with the smallest ``order_by``) or ``'trust'`` (declared primary key).
+      row with the smallest ``order_by``), ``'trust'`` (declared primary key)
+      or ``'watch'`` (``watch.check()`` after the action).
+    * ``watch`` counts rows in and out, unmatched rows and missing keys.
     * ``null_safe``: NULL keys match NULL keys (pandas ``merge`` parity);
       the default is SQL equality.
     * non-key column names that exist on both sides are an error.
@@ -73,6 +132,9 @@ def lookup_join(fact: DataFrame, dim: DataFrame, left_on, right_on=None, *,
         if order_by is None:
             raise ValueError("on_duplicate='first' needs order_by")
         dim = dedupe_first(dim, right_keys, order_by)
+    elif on_duplicate == "watch":
+        if watch is None:
+            raise ValueError("on_duplicate='watch' needs watch")
     elif on_duplicate != "trust":
         raise ValueError(f"unknown on_duplicate={on_duplicate!r}")
 
@@ -81,19 +143,25 @@ def lookup_join(fact: DataFrame, dim: DataFrame, left_on, right_on=None, *,
     if clash:
         raise ValueError(f"{name}: ambiguous columns on both sides: {sorted(clash)}")
 
-    if right_on is None and not null_safe:
+    if watch is None:
+        return _join(fact, dim, left_keys, right_keys, right_on is None, how, null_safe, drop_right_keys)
+    return watch.join(fact, name, left_keys, lambda source, hit: _join(
+        source, dim.withColumn(hit, F.lit(True)), left_keys, right_keys, right_on is None, how,
+        null_safe, drop_right_keys))
+
+
+def _join(fact, dim, left_keys, right_keys, same_names, how, null_safe, drop_right_keys) -> DataFrame:
+    if same_names and not null_safe:
         return fact.join(dim, on=left_keys, how=how)
     cond: Column | None = None
     for lk, rk in zip(left_keys, right_keys):
         part = fact[lk].eqNullSafe(dim[rk]) if null_safe else fact[lk] == dim[rk]
         cond = part if cond is None else cond & part
     out = fact.join(dim, on=cond, how=how)
-    if right_on is None:  # null-safe same-name join: keep the fact's key column
-        out = out.select(*[fact[c] for c in fact.columns],
-                         *[dim[c] for c in dim.columns if c not in left_keys])
-    elif drop_right_keys:
-        out = out.drop(*[dim[k] for k in right_keys])
-    return out
+    if same_names:  # null-safe same-name join: keep the fact's key column
+        return out.select(*[fact[c] for c in fact.columns],
+                          *[dim[c] for c in dim.columns if c not in left_keys])
+    return out.drop(*[dim[k] for k in right_keys]) if drop_right_keys else out
 
 
 def unmatched_counts(fact: DataFrame, dim: DataFrame, left_on, right_on=None,

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from revlens.operators.cleaning import (drop_columns, mask_outside_year, normalize_columns,
                                         promote_header, rename_simultaneous, select_strict)
 from revlens.operators.features import add_features, round_money
-from revlens.operators.joins import lookup_join
+from revlens.operators.joins import JoinWatch, lookup_join
 from revlens.schema import conform
 
 # The reference's join keys, pruned keys, kept columns and renames.
@@ -57,7 +57,7 @@ def clean_sales(sheets: Mapping[str, DataFrame], *, budget_year: int = 2017,
                 budget_sheet: str | None = None, state_header=STATE_REGION_HEADER,
                 on_duplicate: str = "error", null_safe: bool = False,
                 derive: Callable[[DataFrame], DataFrame] | None = None,
-                round_money_cols: bool = True) -> DataFrame:
+                round_money_cols: bool = True, watch: JoinWatch | None = None) -> DataFrame:
     """Run the pipeline over ``{sheet name: DataFrame}``.
 
     ``budget_sheet`` defaults to ``'<budget_year> Budgets'``; its value
@@ -65,7 +65,9 @@ def clean_sales(sheets: Mapping[str, DataFrame], *, budget_year: int = 2017,
     header values found in the first data row of State Regions (``None`` when
     the sheet already has a proper header).  ``derive`` may add source
     columns the order sheet lacks, after the joins and before the keep-list.
-    The planner and AQE choose how each lookup is joined.
+    The planner and AQE choose how each lookup is joined.  ``watch`` counts
+    what each join does, and with ``on_duplicate='watch'`` the fan-out guard
+    needs no job of its own.
     """
     budget_sheet = budget_sheet or f"{budget_year} Budgets"
     state_reg = sheets["State Regions"]
@@ -78,9 +80,9 @@ def clean_sales(sheets: Mapping[str, DataFrame], *, budget_year: int = 2017,
     df = sheets["Sales Orders"]
     for sheet, left, right in JOINS:
         df = lookup_join(df, lookups[sheet], left, right, how="left", on_duplicate=on_duplicate,
-                         null_safe=null_safe, name=sheet)
+                         null_safe=null_safe, name=sheet, watch=watch)
     df = lookup_join(df, sheets[budget_sheet], "Product Name", how="left",
-                     on_duplicate=on_duplicate, null_safe=null_safe, name=budget_sheet)
+                     on_duplicate=on_duplicate, null_safe=null_safe, name=budget_sheet, watch=watch)
     df = drop_columns(df, DROPPED_KEYS)
     df = normalize_columns(df, strip=False)
     if derive is not None:
