@@ -18,6 +18,7 @@ environment); ``--master`` is for local runs.
 from __future__ import annotations
 
 import argparse
+import inspect
 import json
 import sys
 
@@ -49,6 +50,25 @@ def _write(df, path: str, fmt: str) -> None:
         df.write.mode("overwrite").parquet(path)
 
 
+def report_params(report, args) -> dict:
+    """The options given that the report has a parameter for."""
+    from revlens.plans.products import ABC_CUTS
+    known = inspect.signature(report).parameters
+    given = {}
+    if args.years or "years" in known:
+        given["years"] = args.years or [2014, 2015, 2016, 2017]
+    if args.top is not None:
+        given["n"] = args.top
+    if args.recency:
+        given["recency_bounds"] = tuple(args.recency)
+    if args.abc_cuts:
+        given["cuts"] = tuple((cut, label) for cut, (_, label) in zip(args.abc_cuts, ABC_CUTS))
+    unknown = sorted(set(given) - set(known))
+    if unknown:
+        raise SystemExit(f"the report has no parameter {unknown}")
+    return given
+
+
 def main(argv=None) -> int:
     parser = argparse.ArgumentParser(prog="revlens", description=__doc__.splitlines()[0])
     parser.add_argument("--master", default=None, help="Spark master for local runs")
@@ -73,7 +93,8 @@ def main(argv=None) -> int:
     ld = sub.add_parser("load", help="exported CSV -> gated fact table and quarantine")
     ld.add_argument("--csv", required=True)
     ld.add_argument("--out", required=True)
-    ld.add_argument("--quarantine", required=True)
+    ld.add_argument("--quarantine", default=None,
+                    help="folder of the rejected rows (default: with the table)")
 
     pf = sub.add_parser("profile", help="rows, columns, null cells and duplicates per sheet")
     pf.add_argument("--sheets", required=True, help="JSON file: sheet name -> path")
@@ -90,8 +111,13 @@ def main(argv=None) -> int:
     rp.add_argument("--start", default=None, help="first order date (partition pruning)")
     rp.add_argument("--end", default=None, help="last order date (inclusive)")
 
-    rp.add_argument("--years", type=int, nargs="+", default=[2014, 2015, 2016, 2017],
-                    help="years of the month x year pivot (b16, run on its own)")
+    rp.add_argument("--years", type=int, nargs="+", default=None,
+                    help="years of the month x year pivot (b16; default 2014-2017)")
+    rp.add_argument("--top", type=int, default=None, help="products listed (b03, b04; default 10)")
+    rp.add_argument("--recency", type=int, nargs=4, default=None, metavar="DAYS",
+                    help="bounds of the recency scores 5, 4, 3, 2 (b10, d3; default 0 2 5 9)")
+    rp.add_argument("--abc-cuts", nargs=2, default=None, metavar="SHARE",
+                    help="running shares that end classes A and B (b18, d7; default 0.70 0.90)")
 
     args = parser.parse_args(argv)
     if args.cmd == "list":
@@ -104,6 +130,7 @@ def main(argv=None) -> int:
         from revlens.sources.tables import sales_fact
         write_sales_table(sales_fact(spark, args.tables, budget_year=args.budget_year), args.out)
     elif args.cmd == "clean":
+        from revlens.operators.joins import JoinWatch
         from revlens.operators.ordered import materialize
         from revlens.operators.quality import split_by_reasons, with_reasons
         from revlens.plans.enrichment import clean_sales
@@ -115,20 +142,24 @@ def main(argv=None) -> int:
         sheets = load_sheets(spark, catalog, fmt=args.format, required=required)
         header = None if args.state_header.lower() == "none" else tuple(
             args.state_header.split(","))
+        watch = JoinWatch()
         fact = clean_sales(sheets, budget_year=args.budget_year, state_header=header,
-                           round_money_cols=not args.no_round)
+                           round_money_cols=not args.no_round, watch=watch, on_duplicate="watch")
         # the joins run once; the gate's verdict and the table read their result
         accepted, rejected = split_by_reasons(materialize(with_reasons(fact)))
+        for c in watch.counts():
+            print(f"{c.name}: {c.rows_in} rows in, {c.rows_out} out, {c.unmatched} without a match, "
+                  f"{c.null_keys} without a key")
+        watch.check()
         bad = rejected.select("reasons").limit(1).collect()
         if bad:
-            raise ValueError(f"validation failed: {bad[0]['reasons']}")
+            raise ValueError("; ".join(filter(None, [f"validation failed: {bad[0]['reasons']}",
+                                                     watch.lost()])))
         write_sales_table(accepted, args.out)
     elif args.cmd == "load":
         from revlens.sources.sheets import load_gated_csv
-        from revlens.sources.sinks import write_sales_table
-        accepted, rejected = load_gated_csv(spark, args.csv)
-        write_sales_table(accepted, args.out)
-        rejected.write.mode("overwrite").parquet(args.quarantine)
+        from revlens.sources.sinks import publish_load
+        publish_load(*load_gated_csv(spark, args.csv), args.out, args.quarantine)
     elif args.cmd == "profile":
         from revlens.operators.quality import profile_sheets
         from revlens.sources.sheets import load_sheets
@@ -139,6 +170,9 @@ def main(argv=None) -> int:
         from revlens.sources.sinks import read_sales_table
         sales = read_sales_table(spark, args.fact, start=args.start, end=args.end)
         names = list(REPORT_FUNCS) if args.name == "all" else [args.name]
+        given = [o for o in ("years", "top", "recency", "abc_cuts") if getattr(args, o)]
+        if given and args.name == "all":
+            parser.error(f"{given} are for a report on its own")
         unknown = [n for n in names if n not in REPORT_FUNCS]
         if unknown:
             parser.error(f"unknown report(s): {unknown}; see 'revlens list'")
@@ -155,8 +189,8 @@ def main(argv=None) -> int:
             from revlens.plans.suite import execute_reports
             shown = execute_reports(sales, act, names, parallel=args.parallel)
         else:
-            params = {"years": args.years} if names[0] == "b16_month_year_pivot" else {}
-            shown = {names[0]: act(names[0], REPORT_FUNCS[names[0]](sales, **params))}
+            report = REPORT_FUNCS[names[0]]
+            shown = {names[0]: act(names[0], report(sales, **report_params(report, args)))}
         for name, rows in shown.items():
             if rows is not None:
                 print(f"== {name}")

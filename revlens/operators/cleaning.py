@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from typing import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 
@@ -33,12 +33,14 @@ def promote_header(df: DataFrame, header_values: Sequence[str] | None = None,
                    order_col: str | None = None) -> DataFrame:
     """A sheet whose real header sits in its first data row.
 
-    The header row is the one with the smallest ``order_col`` (a file position
-    column the reader added), or, without one, the one row that equals
-    ``header_values`` when both are trimmed and lower-cased.  With both, the
-    first row must equal the values.  Exactly one row goes; a sheet without
-    such a row, or with several and no position, is an error.  At most two
-    rows are brought to the driver."""
+    The header row is the one with the smallest ``order_col`` (the place that
+    ``sources.sheets.positioned_sheet`` adds), or, without one, the one row
+    that equals ``header_values`` when both are trimmed and lower-cased.  With
+    both, the first row must equal the values.  Exactly one row goes: by
+    position, a later row that equals the header stays; a sheet without such a
+    row, or with several and no position, is an error.  The first row is found
+    by one aggregation (a row a task is shuffled, nothing is sorted) and left
+    out by a filter on its place; at most two rows come to the driver."""
     cols = [c for c in df.columns if c != order_col]
     if header_values is None and order_col is None:
         raise ValueError("promote_header needs header_values or order_col")
@@ -49,13 +51,16 @@ def promote_header(df: DataFrame, header_values: Sequence[str] | None = None,
         return str(value).strip().lower()
 
     if order_col is not None:
-        first = df.orderBy(F.col(order_col)).limit(1).collect()
-        if not first:
+        row = F.min(F.struct(F.col(order_col).alias("at"), F.struct(*cols).alias("row")))
+        first = df.agg(row.alias("first")).first()["first"]
+        if first is None:
             raise ValueError("the sheet has no header row")
-        names = [str(first[0][c]) for c in cols]
+        names = [str(first["row"][c]) for c in cols]
         if header_values is not None and list(map(folded, names)) != list(map(folded, header_values)):
             raise ValueError(f"the first row is not the header: {names}")
-        body = df.filter(F.col(order_col) != F.lit(first[0][order_col]))
+        at = first["at"]
+        place = F.struct(*[F.lit(v) for v in at]) if isinstance(at, Row) else F.lit(at)
+        body = df.filter(F.col(order_col) != place.cast(df.schema[order_col].dataType))
     else:
         is_header = F.lit(True)
         for c, v in zip(cols, header_values):

@@ -6,6 +6,7 @@ that materialise a step run it when they are called; the matching DuckDB SQL is
 
 from __future__ import annotations
 
+import functools
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +23,7 @@ def _on_sales(report, **params) -> Query:
         return report(sales_fact(spark, sf_dir, columns=report.reads), **params)
     run.__name__ = report.__name__
     run.__doc__ = report.__doc__
-    run.__wrapped__ = (lambda sales: report(sales, **params)) if params else report
+    run.__wrapped__ = functools.partial(report, **params) if params else report
     return run
 
 

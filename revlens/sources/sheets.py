@@ -35,16 +35,78 @@ SHEET_TYPES = {
 BUDGET_TYPE = "decimal(18,2)"   # of the column named '<year> budgets'
 
 
+def _sheet_type(name: str) -> str | None:
+    folded = name.strip().lower()
+    return BUDGET_TYPE if folded.endswith(" budgets") else SHEET_TYPES.get(folded)
+
+
+def gated_sheet(df: DataFrame) -> DataFrame:
+    """The sheet with its columns in their fixed types and ``reasons``: the
+    columns whose value does not fit (``'Order Quantity:type'``) and is
+    therefore NULL.  The same with ANSI mode on and off."""
+    kinds = {c: _sheet_type(c) for c in df.columns}
+    values = {c: F.col(f"`{c}`") for c in df.columns}
+    misfit = [F.when(values[c].isNotNull() & values[c].try_cast(kind).isNull(), F.lit(f"{c}:type"))
+              for c, kind in kinds.items() if kind]
+    return df.select(*[(values[c].try_cast(kind) if kind else values[c]).alias(c)
+                       for c, kind in kinds.items()],
+                     F.array_compact(F.array(*misfit)).cast("array<string>").alias("reasons"))
+
+
 def typed_sheet(df: DataFrame) -> DataFrame:
     """The sheet with its columns in their fixed types; a value that does not
-    fit its type is an error when the sheet is read."""
-    def column(name: str):
-        folded = name.strip().lower()
-        kind = BUDGET_TYPE if folded.endswith(" budgets") else SHEET_TYPES.get(folded)
+    fit its type is an error when the sheet is read, in every session."""
+    def column(name: str, kind: str):
         value = F.col(f"`{name}`")
-        return value.cast(kind).alias(name) if kind else value
-
-    return df.select(*[column(c) for c in df.columns])
+        typed = value.try_cast(kind)
+        said = F.concat(F.lit(f"{name}: not a {kind}: "), value.cast("string"))
+        return F.when(value.isNotNull() & typed.isNull(), F.raise_error(said).cast(kind)) \
+            .otherwise(typed).alias(name)
+
+    return df.select(*[column(c, _sheet_type(c)) if _sheet_type(c) else F.col(f"`{c}`")
+                       for c in df.columns])
+
+
+def load_gated_sheets(spark: SparkSession, catalog: Mapping[str, str], fmt: str = "csv",
+                      required: Sequence[str] = (), options: Mapping[str, str] | None = None
+                      ) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    """S1 with a gate: (accepted, quarantined) rows of every sheet; a rejected
+    row carries ``reasons``.  Each sheet is parsed and judged once."""
+    raw = _raw_sheets(spark, catalog, fmt, required, options)
+    tagged = {name: materialize(gated_sheet(df)) for name, df in raw.items()}
+    return ({n: df.filter(F.size("reasons") == 0).drop("reasons") for n, df in tagged.items()},
+            {n: df.filter(F.size("reasons") > 0) for n, df in tagged.items()})
+
+
+POSITION = "_position"
+
+
+def positioned_sheet(spark: SparkSession, path: str, fmt: str = "csv",
+                     options: Mapping[str, str] | None = None) -> DataFrame:
+    """A sheet without a header line, each row with its place in the source,
+    from the files' metadata: the file, the start of its block, and the row's
+    place there (Parquet: its row index in the file).  ``promote_header`` takes
+    the column as ``order_col``."""
+    df = spark.read.format(fmt).options(**dict(options or {})).load(path)
+    meta = F.col("_metadata")
+    if fmt == "parquet":
+        place = F.struct(meta["file_path"].alias("file"), F.lit(0).cast("long").alias("block"),
+                         meta["row_index"].alias("row"))
+    else:
+        # rows of a block are read in order by one task
+        place = F.struct(meta["file_path"].alias("file"), meta["file_block_start"].alias("block"),
+                         F.monotonically_increasing_id().alias("row"))
+    return df.select("*", place.alias(POSITION))
+
+
+def _raw_sheets(spark, catalog, fmt, required, options) -> dict[str, DataFrame]:
+    missing = [s for s in required if s not in catalog]
+    if missing:
+        raise KeyError(f"missing sheets: {missing}")
+    opts = dict(options or {})
+    if fmt == "csv":
+        opts.setdefault("header", "true")
+    return {name: spark.read.format(fmt).options(**opts).load(path) for name, path in catalog.items()}
 
 
 def load_sheets(spark: SparkSession, catalog: Mapping[str, str], fmt: str = "parquet",
@@ -53,14 +115,7 @@ def load_sheets(spark: SparkSession, catalog: Mapping[str, str], fmt: str = "par
     """Read every sheet of a catalogue; a missing required sheet fails by
     name.  CSV sheets are read as text and typed by ``typed_sheet``: nothing is
     inferred, so keys keep their leading zeros and no sheet is read twice."""
-    missing = [s for s in required if s not in catalog]
-    if missing:
-        raise KeyError(f"missing sheets: {missing}")
-    opts = dict(options or {})
-    if fmt == "csv":
-        opts.setdefault("header", "true")
-    sheets = {name: spark.read.format(fmt).options(**opts).load(path)
-              for name, path in catalog.items()}
+    sheets = _raw_sheets(spark, catalog, fmt, required, options)
     return {name: typed_sheet(df) for name, df in sheets.items()} if fmt == "csv" else sheets
 
 

@@ -3,6 +3,7 @@
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from revlens.__main__ import main
@@ -63,6 +64,42 @@ def test_clean_then_report_all(spark, sf_dir, scratch):
     assert rfm.count() == expected.select("customer_name").distinct().count()
 
 
+def test_clean_names_the_lookup_that_lost_rows(spark, sf_dir, scratch, capsys):
+    catalog = _reference_sheets(spark, sf_dir, os.path.join(scratch, "sheets"))
+    customers = spark.read.option("header", "true").csv(catalog["Customers"])
+    fewer = os.path.join(scratch, "fewer")
+    write_csv(customers.filter(F.col("Customer Index").cast("long") % 5 != 0), fewer)
+    twice = os.path.join(scratch, "twice")
+    write_csv(customers.unionByName(customers.filter(F.col("Customer Index").cast("long") < 4)), twice)
+    for at, said in ((fewer, "Customers: .* without a match"), (twice, r"duplicate keys in Customers \(")):
+        cat_file = os.path.join(scratch, "catalog.json")
+        with open(cat_file, "w") as fh:
+            json.dump({**catalog, "Customers": at}, fh)
+        with pytest.raises(ValueError, match=said):
+            main(["clean", "--sheets", cat_file, "--out", os.path.join(scratch, "no"), "--budget-year",
+                  "2000"])
+        assert not os.path.exists(os.path.join(scratch, "no"))
+    shown = capsys.readouterr().out
+    assert "Products: " in shown and " 0 without a match, 0 without a key" in shown
+
+
+def test_report_parameters(spark, sf_dir, scratch, capsys):
+    fact = os.path.join(scratch, "fact")
+    assert main(["build-fact", "--tables", sf_dir, "--out", fact]) == 0
+
+    def shown(*args):
+        capsys.readouterr()
+        assert main(["report", *args, "--fact", fact, "--show", "50"]) == 0
+        return capsys.readouterr().out
+
+    assert shown("b03_top_products_revenue", "--top", "3").count("Row(") == 3
+    assert "1996_M" in shown("b16_month_year_pivot", "--years", "1996", "1997")
+    assert shown("d7_abc_mix", "--abc-cuts", "0.1", "0.2") != shown("d7_abc_mix")
+    assert shown("d3_rfm_segment_mix", "--recency", "50", "100", "200", "400") != shown("d3_rfm_segment_mix")
+    with pytest.raises(SystemExit):
+        main(["report", "b01_monthly_trend", "--top", "3", "--fact", fact])
+
+
 def test_build_fact_and_list(spark, sf_dir, scratch, capsys):
     fact_dir = os.path.join(scratch, "fact")
     assert main(["build-fact", "--tables", sf_dir, "--out", fact_dir]) == 0

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from revlens.operators.cleaning import promote_header
 from revlens.schema import SALES_COLUMNS
-from revlens.sources.sheets import bulk_load_csv, load_gated_csv, load_sheets
-from revlens.sources.sinks import write_csv
+from revlens.sources import publish, sinks
+from revlens.sources.sheets import (bulk_load_csv, load_gated_csv, load_gated_sheets, load_sheets,
+                                    positioned_sheet)
+from revlens.sources.sinks import publish_load, read_quarantine, read_sales_table, write_csv
 from revlens.sources.tables import sales_fact
 from revlens.streaming import incremental
 
@@ -66,3 +68,55 @@ def test_header_is_matched_folded_and_must_be_there(spark):
         promote_header(df.union(df), ("State Code", "Region"))
     placed = df.union(df).withColumn("pos", F.monotonically_increasing_id())
     assert promote_header(placed, ("State Code", "Region"), "pos").count() == 3
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_a_sheet_value_that_does_not_fit_is_an_error_or_quarantined(spark, tmp_path, ansi):
+    (tmp_path / "o.csv").write_text("OrderNumber,Order Quantity,Line Total\n01,3,10.50\n02,x,12O0.00\n"
+                                    "03,,7\n")
+    at = {"Sales Orders": str(tmp_path / "o.csv")}
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        with pytest.raises(Exception, match="not a"):
+            load_sheets(spark, at, fmt="csv")["Sales Orders"].collect()
+        accepted, rejected = load_gated_sheets(spark, at)
+        assert [r.OrderNumber for r in accepted["Sales Orders"].orderBy("OrderNumber").collect()] == ["01", "03"]
+        assert rejected["Sales Orders"].first().reasons == ["Order Quantity:type", "Line Total:type"]
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", "true")
+
+
+@pytest.mark.parametrize("fmt", ["csv", "parquet"])
+def test_header_by_position_keeps_a_data_row_that_equals_it(spark, tmp_path, fmt):
+    rows = [("State Code", "Region"), ("CA", "West"), ("State Code", "Region"), ("NY", "East")]
+    df = spark.createDataFrame(rows, "a string, b string").coalesce(1)
+    path = str(tmp_path / fmt)
+    df.write.format(fmt).save(path)
+    sheet = positioned_sheet(spark, path, fmt).repartition(3)
+    body = promote_header(sheet, ("state code", "Region"), "_position")
+    assert sorted(map(tuple, body.collect())) == sorted(rows[1:])
+    assert body.columns == promote_header(sheet, order_col="_position").columns == ["State Code", "Region"]
+
+
+def test_a_load_that_dies_between_its_writes_leaves_the_old_table(spark, tmp_path, monkeypatch):
+    table = str(tmp_path / "table")
+    first = _file(tmp_path / "a.csv", GOOD, GOOD + ",x")
+    publish_load(*load_gated_csv(spark, first), table)
+    assert read_sales_table(spark, table).count() == 1 and read_quarantine(spark, table).count() == 1
+
+    second = _file(tmp_path / "b.csv", GOOD, GOOD, GOOD)
+    accepted, rejected = load_gated_csv(spark, second)
+
+    class Dies:
+        write = property(lambda self: (_ for _ in ()).throw(OSError("killed between the writes")))
+
+    with pytest.raises(OSError):
+        publish_load(accepted, Dies(), table)
+    assert read_sales_table(spark, table).count() == 1 and read_quarantine(spark, table).count() == 1
+
+    publish_load(accepted, rejected, table, str(tmp_path / "rejects"))
+    assert read_sales_table(spark, table).count() == 3 and read_quarantine(spark, table).count() == 0
+    assert publish.published(spark, table)["quarantined"].startswith(str(tmp_path / "rejects"))
+    assert publish.published(spark, str(tmp_path / "nothing")) is None
+    sinks.write_sales_table(accepted, str(tmp_path / "plain"))
+    assert read_sales_table(spark, str(tmp_path / "plain")).count() == 3
