@@ -37,9 +37,8 @@ from revlens.llm.common import arrow_map, checkpointed
 WINDOW = 2048
 END_ID = 1
 SALTS = 64
-BLOCK_BYTES = 1 << 22
+BLOCK_BYTES = 1 << 23
 GROUP_UNITS = 4096             # units encoded in one call
-CACHED_UNITS = 600_000         # a worker's memory of encoded units
 PATTERNS = 1 << 14             # combinations taken from the least squares
 ROUNDS = 150                   # of their iteration
 BROADCAST_ROWS = 100_000       # cut documents that are sent to all tasks
@@ -248,8 +247,8 @@ class Encoder:
 
     A text is a row of units: each starts at its beginning or at a single
     space or line end between other characters, and is encoded on its own.
-    Each distinct unit of a block is encoded once, many to a call, and
-    remembered; the ids are put together by one Arrow take."""
+    Each distinct unit of a block is encoded once, many to a call, and the ids
+    are put together by one Arrow take."""
 
     def __init__(self, tokenizer_json: str, end_id: int = END_ID):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"     # a task has one core
@@ -262,7 +261,6 @@ class Encoder:
         for token, number in self.tokenizer.get_vocab().items():
             self.opens[number] = token[0] in "ĠĊ"
         self.end = np.array([end_id], "<u4").tobytes()
-        self.cache: dict[bytes, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype="<u4")
@@ -273,19 +271,9 @@ class Encoder:
         return [self.end if u[-1] == _END else next(ids).tobytes() for u in units]
 
     def _known(self, distinct: pa.Array) -> pa.Array:
-        """The ids of distinct units, as bytes; new units are encoded."""
-        if len(self.cache) > CACHED_UNITS:
-            self.cache = {}
-        units, known = _listed(distinct), self.cache
-        fresh = [u not in known for u in units]
-        if any(fresh):
-            new = distinct.filter(pa.array(fresh))
-            known.update(zip(_listed(new), _listed(self._new(new))))
-        return pa.array([known[u] for u in units], pa.large_binary())
-
-    def _new(self, distinct: pa.Array) -> pa.Array:
-        """Units that start with a space or line end and have no other are
-        encoded many to a call; each starts at its only id that does so."""
+        """The ids of distinct units, as bytes.  Units that start with a space
+        or line end and have no other are encoded many to a call; each starts
+        at its only id that does so."""
         offsets, data = _buffers(distinct)
         marks = np.concatenate([[0], np.cumsum((data == 0x20) | (data == 0x0A))])
         simple = ((marks[offsets[1:]] - marks[offsets[:-1]] == 1)
@@ -452,10 +440,11 @@ def _part_crcs(docs: DataFrame, parts: DataFrame, tokenizer_json: str, end_id: i
     wanted = (parts.groupBy("id", "digest")
               .agg(F.array_sort(F.collect_set(F.struct("start", "length"))).alias("parts"))
               .withColumnsRenamed({"id": "_id", "digest": "_digest"}))
-    texts = _source(docs, id_col, text_col).withColumn("digest", F.md5(F.col("text").cast("binary")))
+    texts = _source(docs, id_col, text_col)
     side = F.broadcast(wanted) if few else wanted          # the plan has counted them
-    found = texts.join(side, F.col("id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")))
-    found = found.select("id", "digest", "text", "parts")
+    met = texts.join(side, F.col("id").eqNullSafe(F.col("_id")))
+    found = met.withColumn("digest", F.md5(F.col("text").cast("binary"))) \
+        .filter("digest = _digest").select("id", "digest", "text", "parts")
     kind = texts.schema["id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast((tokenizer_json, end_id))
 
