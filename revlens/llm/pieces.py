@@ -201,12 +201,15 @@ def _other(vocabulary: Vocabulary, character: str) -> array:
 _LITERAL_MARK = "\ud800"
 
 
-def encode_texts(vocabulary: Vocabulary, texts: list[str], cache: dict[str, array]) -> list[array]:
+def _marked(text: str) -> str:
+    return text.replace(MARK, _LITERAL_MARK).replace(" ", MARK)
+
+
+def _encode_marked(vocabulary: Vocabulary, texts: list[str], cache: dict[str, array]) -> list[array]:
     rows = []
     fresh = set()
     for text in texts:
-        marked = MARK + text.replace(MARK, _LITERAL_MARK).replace(" ", MARK) if text else ""
-        words = vocabulary.words.findall(marked)
+        words = vocabulary.words.findall(text)
         rows.append(words)
         fresh.update(words)
     fresh.difference_update(cache)
@@ -228,12 +231,54 @@ def encode_texts(vocabulary: Vocabulary, texts: list[str], cache: dict[str, arra
     return out
 
 
-def _list_column(rows: list[array]) -> pa.Array:
-    flat = array("i")
-    for ids in rows:
-        flat.extend(ids)
-    offsets = np.cumsum([0, *map(len, rows)], dtype=np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(flat, dtype=np.int32)))
+def encode_texts(vocabulary: Vocabulary, texts: list[str], cache: dict[str, array]) -> list[array]:
+    return _encode_marked(vocabulary, [MARK + _marked(t) if t else "" for t in texts], cache)
+
+
+_END = 0xFF                    # ends a text; no byte of UTF-8
+
+
+def encode_block(vocabulary: Vocabulary, texts: list[bytes], cache: dict[str, array]
+                 ) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """All ids of some texts, the bounds of each text's, and the texts behind
+    one another, each with its leading space.
+
+    No piece runs on into a space, so a text is a row of units that start
+    where a space follows another character.  Each distinct unit of the block
+    is encoded once; one Arrow take puts the ids together."""
+    joined = b"".join((b" " + t if t else b"") + bytes([_END]) for t in texts)
+    data = np.frombuffer(joined, dtype=np.uint8)
+    before = np.concatenate([[_END], data[:-1]])
+    starts = np.flatnonzero((data == _END) | (before == _END) | (data == 0x20) & (before != 0x20))
+    offsets = np.append(starts, len(data)).astype(np.int64)
+    units = pa.Array.from_buffers(pa.large_binary(), len(starts), [
+        None, pa.py_buffer(offsets), pa.py_buffer(joined)])
+    coded = units.dictionary_encode()
+    distinct = coded.dictionary.to_pylist()
+    encoded = _encode_marked(vocabulary, ["" if u[-1] == _END else _marked(u.decode())
+                                          for u in distinct], cache)
+    known = pa.array([ids.tobytes() for ids in encoded], pa.large_binary())
+    taken = known.take(coded.indices)
+    ends = np.frombuffer(taken.buffers()[1], dtype=np.int64)[:len(taken) + 1] // 4
+    flat = np.frombuffer(taken.buffers()[2], dtype=np.int32)[:ends[-1]] if ends[-1] else \
+        np.empty(0, dtype=np.int32)
+    bounds = np.concatenate([[0], ends[1:][data[starts] == _END]])
+    return flat, bounds, joined
+
+
+def _round_trips(table: pa.Array, flat: np.ndarray, bounds: np.ndarray, joined: bytes,
+                 texts: list[bytes]) -> list[bool]:
+    """Whether the ids of each text stand for its bytes."""
+    taken = table.take(pa.array(flat))
+    ends = np.frombuffer(taken.buffers()[1], dtype=np.int64)[:len(taken) + 1]
+    held = taken.buffers()[2].to_pybytes() if len(flat) else b""
+    at, out = ends[bounds].tolist(), []
+    first = 0
+    for text, a, b in zip(texts, at, at[1:]):
+        size = len(text) + 1 if text else 0
+        out.append(held[a:b] == joined[first:first + size])
+        first += size + 1
+    return out
 
 
 def _slices(batch: pa.RecordBatch, column: str, weight) -> Iterator[pa.RecordBatch]:
@@ -260,18 +305,17 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, cache = shared.value, {}
-        table = piece_bytes(vocabulary)
+        table = pa.array(piece_bytes(vocabulary).tolist(), pa.large_binary())
         for batch in batches:
             for part in _slices(batch, text_col, lambda c: pa.compute.binary_length(c)):
-                texts = part.column(text_col).to_pylist()
-                encoded = encode_texts(vocabulary, [t or "" for t in texts], cache)
-                ids = _list_column(encoded)
-                absent = pa.array([t is None for t in texts])
-                columns = [*part.columns, pa.compute.if_else(absent, pa.nulls(len(ids), ids.type), ids)]
+                column = part.column(text_col)
+                texts = [t or b"" for t in column.cast(pa.large_binary()).to_pylist()]
+                flat, bounds, joined = encode_block(vocabulary, texts, cache)
+                ids = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat))
+                columns = [*part.columns, pa.compute.if_else(
+                    column.is_null(), pa.nulls(len(ids), ids.type), ids)]
                 if check:
-                    columns.append(pa.array([
-                        decode_ids(table, np.frombuffer(i, dtype=np.int32)) == (t or "")
-                        for i, t in zip(encoded, texts)]))
+                    columns.append(pa.array(_round_trips(table, flat, bounds, joined, texts)))
                 yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, *added])
 
     added = [name, check] if check else [name]

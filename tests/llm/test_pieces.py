@@ -65,3 +65,25 @@ def test_a_small_cache_gives_the_same(model, monkeypatch):
     cache = {}
     got = [list(x) for t in texts for x in P.encode_texts(model, [t], cache)]
     assert got == want
+
+
+def test_whole_table_has_the_ids_of_the_library(spark, sf_dir):
+    from revlens.llm import queries
+    library = sentencepiece.SentencePieceProcessor(model_file=P.MODEL)
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = queries.pieces_query(spark, sf_dir).collect()
+    assert len(rows) == len(texts) and all(r.round_trip for r in rows)
+    assert all(r.token_ids == library.encode(texts[r.doc_id]) for r in rows)
+
+
+def test_blocks_give_the_ids_of_whole_texts(model):
+    texts = [*TEXTS, "a▁b", "▁", "  x  y ", " "] + _random_texts(20)
+    flat, bounds, joined = P.encode_block(model, [t.encode() for t in texts], {})
+    want = [list(x) for x in P.encode_texts(model, texts, {})]
+    assert [flat[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == want
+    import pyarrow as pa
+    table = pa.array(P.piece_bytes(model).tolist(), pa.large_binary())
+    assert all(P._round_trips(table, flat, bounds, joined, [t.encode() for t in texts]))
+    wrong = flat.copy()
+    wrong[0] = 5
+    assert not P._round_trips(table, wrong, bounds, joined, [t.encode() for t in texts])[1]
