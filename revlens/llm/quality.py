@@ -5,7 +5,7 @@ Two heads, ``low_quality`` and ``toxic``, each made the same way:
 1. Overlapping heuristic labellers vote on every document: bad, good, or no
    vote.  Two of the toxic head know fixed words; a third knows the words and
    the beginnings of words that Spark finds associated with the known labels,
-   over all labelled documents and in any language.  Spark counts the vote
+   over ``LABELLED_DOCUMENTS`` labelled rows, in any language.  Spark counts the vote
    patterns of all documents; there are at most 3 to the number of labellers
    of them, whatever the corpus.
 2. Expectation-maximisation on the pattern counts estimates how often each
@@ -39,6 +39,7 @@ from revlens.llm.words import Words, document_chunks, hash_spans, mix, split_wor
 
 HEADS = ("low_quality", "toxic")
 SAMPLE_DOCUMENTS = 8_000
+LABELLED_DOCUMENTS = 20_000  # labelled rows that the toxic head learns features from
 BUCKET_BITS = 30
 LEAST_DOCUMENTS = 8      # a feature in fewer sample documents is not trained
 LEAST_Z = 8.0            # nor one no nearer to bad documents than this
@@ -387,8 +388,18 @@ def _trainer(posteriors: list[dict[int, float]], learned: tuple[np.ndarray, np.n
 
 def train(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id",
           text_col: str = "text", toxic_col: str = "toxic",
-          sample_documents: int = SAMPLE_DOCUMENTS) -> pd.DataFrame:
-    """The scorer: head, bucket, weight (bucket -1: the bias)."""
+          sample_documents: int = SAMPLE_DOCUMENTS,
+          labelled_documents: int = LABELLED_DOCUMENTS) -> pd.DataFrame:
+    """The scorer: head, bucket, weight (bucket -1: the bias).
+
+    Two bounds hold whatever the corpus: the scorer is fitted on about
+    ``sample_documents`` rows, and its toxic features are learned from about
+    ``labelled_documents`` rows with a known label, both drawn by a hash of the
+    id.  The ids of the latter are a broadcast of that size, so the scan picks
+    their texts and no text is shuffled for a label.  Votes and known labels
+    count over all rows.  Null and empty texts vote like texts without words;
+    rows that repeat an id share its label; other columns are ignored; an
+    empty table gives a scorer that rejects nothing."""
     texts = docs.select(F.col(id_col).alias("id"),
                         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     id_type = texts.schema["id"].dataType.simpleString()
@@ -399,8 +410,14 @@ def train(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_i
         known = labels.filter(F.col(toxic_col).isNotNull()).groupBy(F.col(id_col).alias("known")) \
             .agg(F.min(toxic_col).alias("a"), F.max(toxic_col).alias("b")).filter("a = b") \
             .select("known", (F.when(F.col("a") == 1, 2).otherwise(1)).alias("label"))
-    learned = NOTHING_LEARNED if labels is None else learn_features(
-        texts.join(known, F.col("id") == F.col("known")).select("text", "label"))
+    learned = NOTHING_LEARNED
+    if labels is not None:
+        share = min(1.0, labelled_documents / max(1, known.count()))
+        drawn = known.filter(md5_fraction(F.concat(F.col("known").cast("string"),
+                                                   F.lit("|labelled"))) <= share)
+        # about labelled_documents rows of an id and a number
+        learned = learn_features(texts.join(F.broadcast(drawn), F.col("id") == F.col("known"))
+                                 .select("text", "label"))
     cast = checkpointed(arrow_map(texts, _votes_of(learned), f"id {id_type}, low long, toxic long"))
     unit = 3 ** (LABELLERS[1] - 1)
     voted = cast.join(known, F.col("id") == F.col("known"), "left").select(
