@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from revlens.session import ensure_checkpoint_dir
@@ -25,6 +25,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def checkpointed_count(df: DataFrame, what: Column | None = None) -> tuple[DataFrame, int]:
+    """``df`` checkpointed, and its number of rows (or of those that satisfy
+    ``what``), counted by the job that writes them; 0 only if there is none."""
+    seen = Observation()
+    counted = F.count(F.lit(1)) if what is None else F.count_if(what)
+    out = checkpointed(df.observe(seen, counted.alias("n")))
+    return out, seen.get["n"]
+
+
 def ship_package(spark: SparkSession) -> None:
     """Give the session's Python workers this package, once; they import the
     functions that operators send them, wherever the driver was started."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revlens.llm.common import checkpointed
+from revlens.llm.common import checkpointed, checkpointed_count
 
 
 def component_roots(links: DataFrame) -> DataFrame:
@@ -19,18 +19,19 @@ def component_roots(links: DataFrame) -> DataFrame:
     goes in one, with as many doublings as its length has bits.  Every step is
     cut by a checkpoint; nothing but whether rows are left reaches the driver.
     """
-    edges = checkpointed(links.select("a", "b").filter("a <> b").distinct())
+    edges, left = checkpointed_count(links.select("a", "b").filter("a <> b").distinct())
     roots = None
-    while not edges.isEmpty():
+    while left:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hooks = checkpointed(both.groupBy("a").agg(F.min("b").alias("low")).select(
             F.col("a").alias("node"), F.least("a", "low").alias("root")))
         moving = True
         while moving:
             step = hooks.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            doubled = checkpointed(hooks.join(step, "root").select(
-                "node", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
-            hooks, moving = doubled.drop("moved"), not doubled.filter("moved").isEmpty()
+            doubled = hooks.join(step, "root").select(
+                "node", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved"))
+            hooks, moving = checkpointed_count(doubled, F.col("moved"))
+            hooks = hooks.drop("moved")
         if roots is None:
             roots = hooks
         else:
@@ -39,8 +40,9 @@ def component_roots(links: DataFrame) -> DataFrame:
                 "node", F.coalesce("next", "root").alias("root")))
         ends = hooks.withColumnsRenamed({"node": "a", "root": "ra"})
         other = hooks.withColumnsRenamed({"node": "b", "root": "rb"})
-        edges = checkpointed(edges.join(ends, "a").join(other, "b").filter("ra <> rb").select(
-            F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+        edges, left = checkpointed_count(
+            edges.join(ends, "a").join(other, "b").filter("ra <> rb").select(
+                F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
     if roots is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots

@@ -20,7 +20,7 @@ Only connectivity is asked for, so pairs inside a bucket are not all formed.
   another component when three quarters of its shingles occur in other
   components; the shingles are counted, and members that fail this exact bound
   are done.  In a large family of near copies these are the copies with many
-  edits of their own, and then those whose other neighbours are done.
+  edits of their own.
 * Those left are compared in their buckets, exactly, on the shingles that other
   components have.  A bucket is cut into blocks of ``BLOCK`` members, a task
   takes two blocks, and gives back only links that join components which
@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from revlens.llm.common import arrow_map, checkpointed, spread_lookup
+from revlens.llm.common import arrow_map, checkpointed, checkpointed_count, spread_lookup
 from revlens.llm.components import component_roots
 from revlens.llm.words import document_chunks, mix, shingle_sets
 
@@ -307,15 +307,18 @@ def _star_pairs(members: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: ``id``, ``n_shingles``, ``component_id``
-    (the smallest id reachable over links) and ``kept`` (the id is that one).
+    """One row per row of ``docs``: ``id``, ``text_key`` (64 bits of the text),
+    ``n_shingles``, ``component_id`` (the smallest id reachable over links),
+    ``kept`` (the id is that one) and ``stays``: the row, with its id and text,
+    is the one that stands for its component.
 
     A text with fewer words than a shingle is one shingle; a null, empty or
-    blank text has none, links with nothing and is its own component.  Null
-    ids are smaller than none: a component's id is the smallest that is not
-    null, or null.  Rows that repeat one id share one component and are all
-    kept or none.  Other columns are ignored.  An empty table gives an empty
-    result.
+    blank text has none, links with nothing, is its own component and stays.
+    A component's id is the smallest that is not null, or null.  Rows that
+    repeat an id with other texts are judged each by its own text, so they may
+    lie in several components, and of several in one, one text stays; rows
+    equal in id and text have one answer.  Other columns are ignored.  An empty
+    table gives an empty result.
     """
     source = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"),
                          F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -346,17 +349,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     left, others = _may_link(left, held)
     # narrow up to here; the shingles join last and travel once
     cells = _cells(left).join(others, "vid").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    late = checkpointed(arrow_map(cells, _compare, "a long, b long"))
-    if not late.isEmpty():
+    late, found_late = checkpointed_count(arrow_map(cells, _compare, "a long, b long"))
+    if found_late:
         roots = component_roots(links.union(late))
 
-    labels = classes.select("vid", "key", "id").join(
+    labels = classes.select("vid", "key", "id", "th").join(
         roots, F.col("vid") == F.col("node"), "left") \
-        .select("key", "id", F.coalesce("root", "vid").alias("root"))
-    smallest = labels.groupBy("root").agg(F.min("id").alias("component_id"))
-    named = labels.join(smallest, "root").select("key", "component_id")
-    linked = spread_lookup(rows.filter("n > 0").select("id", "n", "key"), ["key"], named, "id")
-    found = linked.select("id", "n", "component_id").unionByName(
-        rows.filter("n = 0").select("id", "n", F.col("id").alias("component_id")))
-    return found.select("id", F.col("n").alias("n_shingles"), "component_id",
-                        F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+        .select("key", "id", "th", F.coalesce("root", "vid").alias("root"))
+    smallest = labels.groupBy("root").agg(
+        F.min(F.struct(F.col("id").isNull().alias("unknown"), "id", "th")).alias("least"))
+    named = labels.join(smallest, "root").select(
+        "key", F.col("least.id").alias("component_id"), F.col("least.th").alias("stays_th"))
+    linked = spread_lookup(rows.filter("n > 0").select("id", "th", "n", "key"), ["key"], named, "id")
+    found = linked.select("id", "th", "n", "component_id", "stays_th").unionByName(
+        rows.filter("n = 0").select("id", "th", "n", F.col("id").alias("component_id"),
+                                    F.col("th").alias("stays_th")))
+    kept = F.col("id").eqNullSafe(F.col("component_id"))
+    return found.select("id", F.col("th").alias("text_key"), F.col("n").alias("n_shingles"),
+                        "component_id", kept.alias("kept"),
+                        (kept & (F.col("th") == F.col("stays_th"))).alias("stays"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that stand for their component.  Rows
+    equal in id and text are one document and stay together."""
+    stays = near_duplicates(docs, id_col, text_col).filter("stays") \
+        .select(F.col("id").alias("_stays_id"), F.col("text_key").alias("_stays_key")).distinct()
+    here = docs[id_col].eqNullSafe(stays["_stays_id"]) \
+        & (F.xxhash64(docs[text_col]) == stays["_stays_key"])
+    return docs.join(stays, here, "left_semi")

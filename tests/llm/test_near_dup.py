@@ -107,3 +107,16 @@ def test_components(spark, shape):
         spark.createDataFrame(edges, "a long, b long")).collect()}
     assert set(got) == set(parent)
     assert all((got[a] == got[b]) == (top(a) == top(b)) for a, b in combinations(sorted(got), 2))
+
+
+def test_rows_that_repeat_an_id_or_have_none_are_judged_by_their_text(spark):
+    a = " ".join(f"a{i}" for i in range(60))
+    b = " ".join(f"b{i}" for i in range(60))
+    rows = [(4, a), (5, a + " x"), (5, b), (5, b), (7, b + " y"), (8, "c d e f g h"), (8, "C d e f g h"),
+            (None, "n o p q r s"), (None, "N o p q r s"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.id or 0, r.component_id or 0, r.kept, r.stays) for r in N.near_duplicates(df).collect())
+    assert [g for g in got if g[0] not in (0, 8)] == [
+        (4, 4, True, True), (5, 4, False, False), (5, 5, True, True), (5, 5, True, True), (7, 5, False, False)]
+    left = sorted((r.doc_id or 0, (r.text or "").lower()) for r in N.one_of_each(df).collect())
+    assert left == [(0, ""), (0, "n o p q r s"), (4, a), (5, b), (5, b), (8, "c d e f g h")]
