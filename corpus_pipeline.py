@@ -37,10 +37,9 @@ def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate component."""
-    found = near_dup.near_duplicates(docs)
-    stays = found.filter("kept").select(F.col("id").alias("_kept_id")).distinct()
-    return docs.join(stays, docs["doc_id"].eqNullSafe(stays["_kept_id"]), "left_semi")
+    """The document with the smallest id of each near-duplicate component;
+    rows that repeat an id with other texts are judged each by its own."""
+    return near_dup.one_of_each(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
