@@ -29,6 +29,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,8 @@ from revlens.llm.words import BLOCK_BYTES
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-CACHED_WORDS = 200_000  # a worker's memory of encoded words
+CACHED_WORDS = 600_000  # a worker's memory of encoded words
+CACHED_PAIRS = 400_000  # and of pairs of pieces
 SLICE_BYTES = 4 * BLOCK_BYTES
 
 
@@ -126,7 +128,7 @@ def merge(vocabulary: Vocabulary, word: str) -> list[str]:
 
 
 def _fits(vocabulary: Vocabulary, left: int, right: int, key: int) -> bool:
-    if len(vocabulary.pairs) > 2 * CACHED_WORDS:
+    if len(vocabulary.pairs) > CACHED_PAIRS:
         vocabulary.pairs.clear()
     a, b = vocabulary.pieces[left], vocabulary.pieces[right]
     found = vocabulary.pairs[key] = merge(vocabulary, a + b) == [a, b]
@@ -205,40 +207,32 @@ def _marked(text: str) -> str:
     return text.replace(MARK, _LITERAL_MARK).replace(" ", MARK)
 
 
-def _encode_marked(vocabulary: Vocabulary, texts: list[str], cache: dict[str, array]) -> list[array]:
-    rows = []
-    fresh = set()
-    for text in texts:
-        words = vocabulary.words.findall(text)
-        rows.append(words)
-        fresh.update(words)
-    fresh.difference_update(cache)
+def _encode_marked(vocabulary: Vocabulary, texts: list[str], cache: dict[str, bytes]) -> list[bytes]:
+    """The ids of each text, 32 bits each.  Words are remembered; of a full
+    memory the older half goes."""
+    rows = [vocabulary.words.findall(text) for text in texts]
+    words = {w for row in rows for w in row}
+    fresh = words - cache.keys()
     if len(cache) + len(fresh) > CACHED_WORDS:
-        cache.clear()
-        fresh = {w for words in rows for w in words}
+        for word in list(islice(cache, len(cache) - CACHED_WORDS // 2 if len(cache) > CACHED_WORDS // 2
+                                else 0)):
+            del cache[word]
+        fresh = words - cache.keys()
     ordinary = sorted(w for w in fresh if w[-1] == MARK or w[-1] in vocabulary.ids)
-    for word, encoded in zip(ordinary, encode_sorted(vocabulary, ordinary)):
-        cache[word] = encoded
-    for word in fresh:
-        if word not in cache:
-            cache[word] = _other(vocabulary, word)
-    out = []
-    for words in rows:
-        ids = array("i")
-        for word in words:
-            ids.extend(cache[word])
-        out.append(ids)
-    return out
+    cache.update(zip(ordinary, (ids.tobytes() for ids in encode_sorted(vocabulary, ordinary))))
+    cache.update((w, _other(vocabulary, w).tobytes()) for w in fresh if w not in cache)
+    return [cache[row[0]] if len(row) == 1 else b"".join([cache[w] for w in row]) for row in rows]
 
 
-def encode_texts(vocabulary: Vocabulary, texts: list[str], cache: dict[str, array]) -> list[array]:
-    return _encode_marked(vocabulary, [MARK + _marked(t) if t else "" for t in texts], cache)
+def encode_texts(vocabulary: Vocabulary, texts: list[str], cache: dict[str, bytes]) -> list[array]:
+    return [array("i", ids) for ids in
+            _encode_marked(vocabulary, [MARK + _marked(t) if t else "" for t in texts], cache)]
 
 
 _END = 0xFF                    # ends a text; no byte of UTF-8
 
 
-def encode_block(vocabulary: Vocabulary, texts: list[bytes], cache: dict[str, array]
+def encode_block(vocabulary: Vocabulary, texts: list[bytes], cache: dict[str, bytes]
                  ) -> tuple[np.ndarray, np.ndarray, bytes]:
     """All ids of some texts, the bounds of each text's, and the texts behind
     one another, each with its leading space.
@@ -257,7 +251,7 @@ def encode_block(vocabulary: Vocabulary, texts: list[bytes], cache: dict[str, ar
     distinct = coded.dictionary.to_pylist()
     encoded = _encode_marked(vocabulary, ["" if u[-1] == _END else _marked(u.decode())
                                           for u in distinct], cache)
-    known = pa.array([ids.tobytes() for ids in encoded], pa.large_binary())
+    known = pa.array(encoded, pa.large_binary())
     taken = known.take(coded.indices)
     ends = np.frombuffer(taken.buffers()[1], dtype=np.int64)[:len(taken) + 1] // 4
     flat = np.frombuffer(taken.buffers()[2], dtype=np.int32)[:ends[-1]] if ends[-1] else \
