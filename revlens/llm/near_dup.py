@@ -62,7 +62,11 @@ def _permutations() -> tuple[np.ndarray, np.ndarray]:
 
 
 def signature(shingle_set: np.ndarray) -> bytes:
-    """BANDS * ROWS MinHash values of 16 bits each."""
+    """BANDS * ROWS MinHash values, a byte of each.
+
+    Different values share a byte in one of 256 cases.  That adds candidates
+    (a band of unequal values agrees in one of 2 ** 40) and matches, so it can
+    keep a pair that would be dropped, and never drops one."""
     flips, factors = _permutations_once()
     x = (shingle_set >> np.uint64(32)).astype(np.uint32)
     least = np.full(len(flips), 0xFFFFFFFF, dtype=np.uint32)
@@ -70,7 +74,7 @@ def signature(shingle_set: np.ndarray) -> bytes:
         block = x[i:i + _ROW_BLOCK, None] ^ flips
         block *= factors
         np.minimum(least, block.min(axis=0), out=least)
-    return ((least * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype("<u2").tobytes()
+    return ((least * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8).tobytes()
 
 
 _cached: list = []
@@ -124,7 +128,7 @@ def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype="<u2")
+        left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8)
                        .reshape(batch.num_rows, BANDS * ROWS) for c in ("sig_a", "sig_b"))
         alive = np.arange(batch.num_rows)
         matches = np.zeros(batch.num_rows, dtype=np.int32)
@@ -332,8 +336,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = checkpointed(classes.select("key", "least.id", "least.th", "n", "sig")) \
         .withColumn("vid", F.monotonically_increasing_id())
 
-    width = ROWS * 2
-    bucket = F.xxhash64("band", F.expr(f"substring(sig, band * {width} + 1, {width})"))
+    bucket = F.xxhash64("band", F.expr(f"substring(sig, band * {ROWS} + 1, {ROWS})"))
     members = classes.select("vid", "n", "sig", F.explode(
         F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")) \
         .select("vid", "n", bucket.alias("bucket"))
