@@ -25,7 +25,7 @@ from revlens.operators.ordered import (materialize, percentiles_cont, with_ntile
 from revlens.operators.quality import (duplicate_rows, null_counts, profile_shape,
                                        schema_summary, validation_summary)
 from revlens.plans.orders import order_totals, order_value_bucket
-from revlens.plans.enrichment import clean_sales
+from revlens.plans.enrichment import RENAMES, clean_sales
 from revlens.plans.trend import DATA_PIVOT_YEARS
 from revlens.session import ensure_checkpoint_dir
 from revlens.sources.sheets import load_gated_csv, load_sheets
@@ -74,8 +74,8 @@ def simultaneous_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
     cust = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     wide = lookup_join(cust, regions, "c_nationkey", "id", on_duplicate="error",
                        drop_right_keys=True, name="Regions").drop("c_nationkey")
-    return rename_simultaneous(wide, {"state_code": "state", "state": "state_name",
-                                      "latitude": "lat", "longitude": "lon"})
+    return rename_simultaneous(wide, {c: RENAMES[c] for c in ("state_code", "state", "latitude",
+                                                              "longitude")})
 
 
 def budget_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,17 +212,24 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sheet_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The six sheets exported as CSV and loaded as a catalogue; order
-    numbers are padded, and the padding must survive."""
+    """The six sheets exported as CSV and loaded as a catalogue; what each
+    typed column holds.  Order numbers are padded, and the padding must
+    survive."""
     sheets = sheets_from_tables(spark, sf_dir)
     sheets["Sales Orders"] = sheets["Sales Orders"].withColumn(
         "OrderNumber", F.lpad("OrderNumber", 12, "0"))
     loaded = load_sheets(spark, {n: _exported(spark, df, n.replace(" ", "_"))
                                  for n, df in sheets.items()}, fmt="csv", required=list(sheets))
-    return reduce(DataFrame.unionByName, [
-        df.agg(F.count(F.lit(1)).alias("n_rows"), F.min(F.col(f"`{df.columns[0]}`").cast("string"))
-               .alias("first_key")).select(F.lit(n).alias("sheet"), "n_rows", "first_key")
-        for n, df in loaded.items()])
+    parts = []
+    for name, df in loaded.items():
+        for c in df.columns:
+            value = F.col(f"`{c}`")
+            parts.append(df.agg(
+                F.count(F.lit(1)).alias("n_rows"), F.count(value).alias("n_values"),
+                F.count_distinct(value).alias("n_distinct"), F.min(value).cast("string").alias("low"),
+                F.max(value).cast("string").alias("high")).select(
+                F.lit(name).alias("sheet"), F.lit(c).alias("column"), "*"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 # --- functions / aggregates / windows -------------------------------------------------

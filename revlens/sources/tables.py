@@ -62,7 +62,7 @@ def geography(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("n_regionkey").cast("double").alias("lon"))
 
 
-def product_lookup(spark: SparkSession, sf_dir: str, budget_year_only=True) -> DataFrame:
+def product_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """part -> (part key, product name, unit price, product budget)."""
     part = read_table(spark, sf_dir, "part").select(
         "p_partkey", F.col("p_brand").alias("product_name"),
