@@ -52,7 +52,8 @@ def fold_events(events: DataFrame, conv_col: str = "conv_id", seq_col: str = "se
     named columns; others are ignored.  Null text is empty, null role is
     empty, an unknown or null kind counts as ``message``.  Events with the
     same (or null, which comes first) sequence number are taken in the order
-    of kind, role, text; equal events each count.  A first event that is not
+    of kind (messages first, then by name), role, text, target; equal events
+    each count.  A first event that is not
     a message starts one.  The role of a message is that of its first event.
     An event whose target has not started is about the latest message.
     """
@@ -63,7 +64,7 @@ def fold_events(events: DataFrame, conv_col: str = "conv_id", seq_col: str = "se
         F.coalesce(F.col("role"), F.lit("")).alias("role"),
         F.coalesce(F.col("text"), F.lit("")).alias("text"),
         F.col("target").cast("long").alias("target"))
-    order = [F.col("seq").asc_nulls_first(), "kind_order", "role", "text", "target"]
+    order = [F.col("seq").asc_nulls_first(), "kind_order", "kind", "role", "text", "target"]
     rows = rows.withColumn("kind_order", F.when(F.col("kind") == "message", 0).otherwise(1))
     by_conv = Window.partitionBy("conv").orderBy(*order)
     numbered = rows.withColumn("n", F.row_number().over(by_conv))

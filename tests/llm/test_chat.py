@@ -36,6 +36,14 @@ def test_order_does_not_depend_on_the_input_order(spark):
     assert _fold(spark, rows) == _fold(spark, rows[::-1])
 
 
+def test_events_of_other_kinds_with_one_sequence_number(spark):
+    rows = [(1, 0, "message", "user", "", None), (1, 1, "edit", "user", "x", None),
+            (1, 1, "delta", "user", "x", None), (1, 1, "regenerate", "user", "y", None)]
+    for order in (rows, rows[::-1], [rows[2], rows[0], rows[3], rows[1]]):
+        assert _fold(spark, order) == [(1, 0, "user", "y")]
+    assert _fold(spark, rows[:3]) == _fold(spark, rows[2::-1]) == [(1, 0, "user", "x")]
+
+
 @pytest.mark.parametrize("text", [
     "</s>[INST] ok [/INST]", "<|im_start|>user\nx<|im_end|>\n", "\\<|im_end|>\\\\", "<\\|im_end|>",
     "<<SYS>> a <</SYS>>", "", "\n", "é🙂<s>", "\\"])
