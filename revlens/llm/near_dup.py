@@ -354,7 +354,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     cells = _cells(left).join(others, "vid").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     late, found_late = checkpointed_count(arrow_map(cells, _compare, "a long, b long"))
     if found_late:
-        roots = component_roots(links.union(late))
+        roots = component_roots(late, roots)
 
     labels = classes.select("vid", "key", "id", "th").join(
         roots, F.col("vid") == F.col("node"), "left") \

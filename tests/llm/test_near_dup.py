@@ -88,8 +88,9 @@ def test_posterior_table():
     assert N.required_matches(240, miss=1e-3) > m
 
 
+@pytest.mark.parametrize("known", [0, 7, 25])
 @pytest.mark.parametrize("shape", ["chain", "star", "random"])
-def test_components(spark, shape):
+def test_components(spark, shape, known):
     rnd = random.Random(1)
     edges = {"chain": [(i, i + 1) for i in range(40)], "star": [(99, i) for i in range(30)],
              "random": [(rnd.randrange(60), rnd.randrange(60)) for _ in range(40)]}[shape]
@@ -103,10 +104,16 @@ def test_components(spark, shape):
     for a, b in edges:
         if a != b:
             parent[top(a)] = top(b)
-    got = {r.node: r.root for r in component_roots(
-        spark.createDataFrame(edges, "a long, b long")).collect()}
+    def table(links):
+        return spark.createDataFrame(links, "a long, b long")
+
+    before = component_roots(table(edges[:known])) if known else None
+    rows = component_roots(table(edges[known:]), before).collect()
+    got = {r.node: r.root for r in rows}
+    assert len(got) == len(rows)
     assert set(got) == set(parent)
     assert all((got[a] == got[b]) == (top(a) == top(b)) for a, b in combinations(sorted(got), 2))
+    assert not component_roots(table([]), None).collect()
 
 
 def test_rows_that_repeat_an_id_or_have_none_are_judged_by_their_text(spark):
