@@ -33,10 +33,34 @@ SENTENCES = {
     "CcByNc4Ref": "Licensed under CC BY-NC 4.0.",
     "CcBy4Ref": "Licensed under CC BY 4.0.",
     "CcBySa4Ref": "Licensed under CC BY-SA 4.0.",
+    "CcByNd4Ref": "Licensed under CC BY-ND 4.0.",
+    "CcByNcSa4Ref": "Licensed under CC BY-NC-SA 4.0.",
+    "CcByNcNd4Ref": "Licensed under CC BY-NC-ND 4.0.",
     "CcBy4Work": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "Cc0Ref": "Licensed under CC0 1.0.",
+    "Gpl2Terms": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "Gpl3Terms": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "Gpl2OnlyTerms": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; version 2 of the License.",
+    "Lgpl21Terms": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "Lgpl3Terms": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "Agpl3Terms": "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "LibraryNoWarranty": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "LgplSee": "See the GNU Lesser General Public License for more details.",
+    "AgplSee": "See the GNU Affero General Public License for more details.",
+    "Epl2Notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "ZlibGrant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "BoostNotice": "Distributed under the Boost Software License, Version 1.0.",
+    "BoostSee": "(See accompanying file LICENSE_1_0.txt or copy at https://www.boost.org/LICENSE_1_0.txt)",
+    "BoostSeeHttp": "(See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)",
 }
 
+#: Sentences with a name in the middle: identifier, words before it, words after it.
+SLOTS = (
+    ("BsdEndorse", "Neither the name of", "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("BsdEndorse", "Neither the name of", "nor the names of any contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("BsdEndorse", "The name of", "may not be used to endorse or promote products derived from this software without specific prior written permission."),
+)
+
 #: Tried in this order at each place; the first that fits takes its sentences.
 #: A sentence in brackets may be absent.
 RULES = (
@@ -47,6 +71,15 @@ RULES = (
     ("Apache-2.0", ("ApacheHead", "ApacheComply", "[ApacheCopy]", "[ApacheAsIs]", "[ApacheSee]")),
     ("GPL-2.0-or-later", ("Gpl2OrLater", "[GplNoWarranty]", "[GplSee]")),
     ("GPL-3.0-or-later", ("Gpl3OrLater", "[GplNoWarranty]", "[GplSee]")),
+    ("GPL-2.0-or-later", ("Gpl2Terms", "[GplNoWarranty]", "[GplSee]")),
+    ("GPL-3.0-or-later", ("Gpl3Terms", "[GplNoWarranty]", "[GplSee]")),
+    ("GPL-2.0-only", ("Gpl2OnlyTerms", "[GplNoWarranty]", "[GplSee]")),
+    ("LGPL-2.1-or-later", ("Lgpl21Terms", "[LibraryNoWarranty]", "[GplNoWarranty]", "[LgplSee]")),
+    ("LGPL-3.0-or-later", ("Lgpl3Terms", "[LibraryNoWarranty]", "[GplNoWarranty]", "[LgplSee]")),
+    ("AGPL-3.0-or-later", ("Agpl3Terms", "[GplNoWarranty]", "[AgplSee]")),
+    ("EPL-2.0", ("Epl2Notice",)),
+    ("Zlib", ("ZlibGrant",)),
+    ("BSL-1.0", ("BoostNotice", "[BoostSee]", "[BoostSeeHttp]")),
     ("MPL-2.0", ("MplNotice", "[MplCopy]")),
     ("Unlicense", ("Unlicense",)),
     ("MIT", ("MitRef",)),
@@ -56,7 +89,16 @@ RULES = (
     ("GPL-2.0-only", ("Gpl2Ref",)),
     ("CC-BY-NC-4.0", ("CcByNc4Ref",)),
     ("CC-BY-SA-4.0", ("CcBySa4Ref",)),
+    ("CC-BY-ND-4.0", ("CcByNd4Ref",)),
+    ("CC-BY-NC-SA-4.0", ("CcByNcSa4Ref",)),
+    ("CC-BY-NC-ND-4.0", ("CcByNcNd4Ref",)),
     ("CC-BY-4.0", ("CcBy4Ref",)),
     ("CC-BY-4.0", ("CcBy4Work",)),
     ("CC0-1.0", ("Cc0Ref",)),
 )
+
+#: The tag line that names a licence of these rules by its identifier.
+SPDX_TAG = "SPDX-License-Identifier: {0}"
+_named = sorted({licence for licence, _ in RULES})
+SENTENCES |= {f"Spdx:{licence}": SPDX_TAG.format(licence) for licence in _named}
+RULES += tuple((licence, (f"Spdx:{licence}",)) for licence in _named)

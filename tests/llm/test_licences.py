@@ -21,6 +21,11 @@ def _licences(text):
     (("Gpl2OrLater", "GplNoWarranty", "GplSee"), ["GPL-2.0-or-later"]),
     (("MitRef", "CcByNc4Ref"), ["MIT", "CC-BY-NC-4.0"]),
     (("MitGrant",), []),
+    (("Lgpl21Terms", "LibraryNoWarranty", "LgplSee"), ["LGPL-2.1-or-later"]),
+    (("Lgpl3Terms", "LibraryNoWarranty", "LgplSee"), ["LGPL-3.0-or-later"]),
+    (("Agpl3Terms", "GplNoWarranty", "AgplSee"), ["AGPL-3.0-or-later"]),
+    (("Epl2Notice", "ZlibGrant", "BoostNotice", "BoostSee"), ["EPL-2.0", "Zlib", "BSL-1.0"]),
+    (("Spdx:BSD-3-Clause", "Spdx:MIT"), ["BSD-3-Clause", "MIT"]),
 ])
 @pytest.mark.parametrize("wrap", [0, 40])
 def test_rules(names, licence, wrap):
@@ -67,3 +72,38 @@ def test_sentences_wrapped_over_any_number_of_lines(name, width):
 def test_a_whole_licence_in_a_narrow_column():
     names = ("MitGrant", "MitNotice", "MitAsIs", "MitLiability")
     assert _licences("\n".join(" * " + w for n in names for w in SENTENCES[n].split())) == ["MIT"]
+
+
+BSD = ("BsdGrant", "BsdSource", "BsdBinary")
+ENDORSE = SENTENCES["BsdEndorse"]
+
+
+@pytest.mark.parametrize("marks", [("1.", "2.", "3."), ("(a)", "(b)", "(c)"), ("*", "*", "*")])
+@pytest.mark.parametrize("clause, licence", [
+    ("", ["BSD-2-Clause"]),
+    (ENDORSE, ["BSD-3-Clause"]),
+    (ENDORSE.replace("the copyright holder", "Foo Inc. of Bar, Baz and Sons"), ["BSD-3-Clause"]),
+    ("The name of the author may not be used to endorse or promote products derived from this "
+     "software without specific prior written permission.", ["BSD-3-Clause"]),
+    ("Neither the name of Foo may appear anywhere.", []),
+    ("All advertising materials mentioning features or use of this software must display the "
+     "following acknowledgement:", []),
+    (ENDORSE.replace("the copyright holder", "x " * (L.SLOT_WORDS + 1)), []),
+])
+@pytest.mark.parametrize("disclaimer", ["", SENTENCES["BsdAsIs"]])
+def test_a_stricter_text_is_not_the_plain_licence(marks, clause, licence, disclaimer):
+    grant, *clauses = [SENTENCES[n] for n in BSD] + [clause] * bool(clause)
+    text = "\n".join([grant, *map(" ".join, zip(marks, clauses)), disclaimer, "and after"])
+    assert _licences(text) == licence
+
+
+@pytest.mark.parametrize("text, licence", [
+    ("Foo is free software: " + SENTENCES["Gpl3Terms"], ["GPL-3.0-or-later"]),
+    ("Foo is free software; " + SENTENCES["Gpl2OnlyTerms"], ["GPL-2.0-only"]),
+    ("// SPDX-License-Identifier: GPL-2.0-only\ncode", ["GPL-2.0-only"]),
+    ("# SPDX-License-Identifier: MIT OR Apache-2.0\ncode", []),
+    ("# SPDX-License-Identifier: Foo-1.0\ncode", []),
+])
+def test_names_and_tag_lines(text, licence):
+    assert _licences(text) == licence
+    assert licence or L.identify(text, TABLE, L._starts(TABLE))[0][0] == L.UNKNOWN
