@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import zipfile
 from pathlib import Path
 
@@ -12,6 +13,9 @@ from pyspark.sql import functions as F
 from revlens.session import ensure_checkpoint_dir
 
 PACKAGE = Path(__file__).resolve().parent.parent
+#: Removes a run's shuffle files at its end; Spark has it since 4.1, others ignore it.
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_release = threading.Lock()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,9 +24,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared folder that the
-    session names in ``spark.checkpoint.dir``; a lost executor re-reads it."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    session names in ``spark.checkpoint.dir``; a lost executor re-reads it.
+    The shuffle files behind it go once it is written: nothing reads them
+    again, and else they stay until the driver collects its garbage."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    with _release:
+        before = spark.conf.get(RELEASE, "false")
+        spark.conf.set(RELEASE, "true")
+        try:        # holds for frames made meanwhile; ``df`` may run again and keeps its own
+            once = df.select("*")
+        finally:
+            spark.conf.set(RELEASE, before)
+    return once.checkpoint(eager=True)
 
 
 def checkpointed_count(df: DataFrame, what: Column | None = None) -> tuple[DataFrame, int]:
