@@ -16,6 +16,9 @@ PACKAGE = Path(__file__).resolve().parent.parent
 #: Removes a run's shuffle files at its end; Spark has it since 4.1, others ignore it.
 RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _release = threading.Lock()
+#: Bounds a batch of rows for a Python worker by its bytes too; 10 000 rows of long
+#: texts else make tens of MB, held by the task and by the worker.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +65,13 @@ def ship_package(spark: SparkSession) -> None:
     sc._revlens_shipped = True
 
 
+def bound_batches(spark: SparkSession, most: str = "4m") -> None:
+    """From now on the session's Python workers get batches of about ``most``
+    bytes, unless the session names a bound itself."""
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, most)
+
+
 def arrow_map(df: DataFrame, function, schema) -> DataFrame:
     ship_package(df.sparkSession)
     return df.mapInArrow(function, schema)

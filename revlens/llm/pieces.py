@@ -46,7 +46,7 @@ MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CACHED_WORDS = 600_000  # a worker's memory of encoded words
 CACHED_PAIRS = 400_000  # and of pairs of pieces
-SLICE_BYTES = 4 * BLOCK_BYTES
+SLICE_BYTES = 16 * BLOCK_BYTES
 
 
 @dataclass

@@ -351,11 +351,15 @@ def fit_scorer(texts: list[bytes], targets: list[np.ndarray],
                sure: list[np.ndarray] | None = None) -> pd.DataFrame:
     """head, bucket, weight (bucket -1: the bias), one target a head; ``sure``:
     buckets that a head takes in without screening."""
-    parts = [(first, *features(texts[first:first + 500])) for first in range(0, len(texts), 500)]
-    rows = np.concatenate([np.empty(0, np.int64), *[r + first for first, r, _ in parts]])
-    names, columns = np.unique(np.concatenate(
-        [np.empty(0, np.int64), *[b for _, _, b in parts]]), return_inverse=True)
-    del parts
+    rows, buckets = [np.empty(0, np.int32)], [np.empty(0, np.int32)]   # BUCKET_BITS fit
+    for first in range(0, len(texts), 500):
+        of, bucket = features(texts[first:first + 500])
+        rows.append((of + first).astype(np.int32))
+        buckets.append(bucket.astype(np.int32))
+    rows, buckets = np.concatenate(rows), np.concatenate(buckets)
+    names, columns = np.unique(buckets, return_inverse=True)
+    del buckets
+    names = names.astype(np.int64)
     out = []
     for head, target in enumerate(targets):
         live = screen(rows, columns, len(names), target)

@@ -4,7 +4,8 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from revlens.llm.common import RELEASE, checkpointed, checkpointed_count
+from revlens.llm.common import (BATCH_BYTES, RELEASE, arrow_map, bound_batches, checkpointed,
+                                checkpointed_count)
 
 
 @pytest.fixture
@@ -58,3 +59,25 @@ def test_the_setting_returns_after_a_failure(spark):
     with pytest.raises(Exception, match="no such row"):
         checkpointed(spark.range(3).select(F.raise_error(F.lit("no such row"))))
     assert spark.conf.get(RELEASE) == was
+
+
+def test_batches_for_python_are_bounded_by_their_bytes(spark):
+    def sizes(batches):
+        import pyarrow as pa
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])],
+                                             names=["rows", "bytes"])
+
+    own = spark.newSession()            # a setting of the session alone
+    bound_batches(own)
+    texts = own.range(0, 6000, 1, 1).select(F.repeat(F.lit("x"), 2000).alias("text"))
+    got = arrow_map(texts, sizes, "rows long, bytes long").collect()
+    assert sum(r["rows"] for r in got) == 6000
+    assert max(r["bytes"] for r in got) < 5 << 20
+
+
+def test_a_bound_that_the_session_names_stays(spark):
+    own = spark.newSession()
+    own.conf.set(BATCH_BYTES, "1m")
+    bound_batches(own)
+    assert own.conf.get(BATCH_BYTES) == "1m"

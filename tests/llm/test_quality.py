@@ -1,4 +1,5 @@
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -86,3 +87,18 @@ def test_known_labels_outweigh_the_other_votes():
     posterior = Q.label_model(counts, 4, known=3)
     bad, good, open_ = (posterior[int(Q._code(np.array([[*silent, x]]))[0])] for x in (2, 1, 0))
     assert bad == 1 and good == 0 and 0.02 < open_ < 0.1
+
+
+def test_a_worker_holds_little_beside_its_batch():
+    import pyarrow as pa
+
+    prose = " ".join(f"w{i}" for i in range(400))       # 2 KB
+    batch = pa.RecordBatch.from_pydict({"id": list(range(3000)), "text": [prose] * 3000})
+    run = Q._votes_of(Q.NOTHING_LEARNED)
+    next(run(iter([batch.slice(0, 10)])))               # tables that every batch uses
+    tracemalloc.start()
+    try:
+        out = next(run(iter([batch])))
+        assert out.num_rows == 3000 and tracemalloc.get_traced_memory()[1] < 120e6
+    finally:
+        tracemalloc.stop()
